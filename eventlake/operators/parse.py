@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -40,8 +42,10 @@ def with_event_time(df: DataFrame, column: str = "timestamp", unit: str = "secon
     return df.withColumn("event_time", event_time(F.col(column), unit))
 
 
-def access_log(lines: DataFrame, column: str = "line", zone: str = "UTC") -> DataFrame:
-    """Space-separated access-log lines → (ip, userId, event_time, method, url).
+def access_log(
+    lines: DataFrame, column: str = "line", zone: str = "UTC", keep: Sequence[str] = ()
+) -> DataFrame:
+    """Space-separated access-log lines → (ip, userId, event_time, method, url) and ``keep``.
 
     The time is read in ``zone``; the offset written in the line is not used.
     """
@@ -50,6 +54,7 @@ def access_log(lines: DataFrame, column: str = "line", zone: str = "UTC") -> Dat
     utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
     micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), utc)
     return lines.select(
+        *keep,
         part[0].alias("ip"),
         part[1].alias("userId"),
         F.timestamp_micros(micros).alias("event_time"),

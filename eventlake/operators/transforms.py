@@ -14,7 +14,9 @@ PAGE_URL_PATTERN = r"^((?!\.(css|js|png|ico)$).)*$"
 
 
 def map_length(lines: DataFrame, column: str = "line") -> DataFrame:
-    return lines.select(F.length(column).alias("length"))
+    """Length of each line in UTF-16 units."""
+    units = F.length(F.encode(F.col(column), "UTF-16BE")) / 2
+    return lines.select(units.cast("int").alias("length"))
 
 
 def flat_map_split(lines: DataFrame, column: str = "line", separator: str = ",") -> DataFrame:

@@ -32,6 +32,36 @@ def exact_readings(events: DataFrame) -> DataFrame:
     )
 
 
+def epoch_seconds() -> Column:
+    return F.unix_seconds(F.col("ts").cast("timestamp"))
+
+
+def keyed_readings(events: DataFrame) -> DataFrame:
+    """(id, timestamp, temperature) with text ids and epoch seconds, as in the line files."""
+    return events.select(
+        F.concat(F.lit("sensor_"), F.col("user_id").cast("string")).alias("id"),
+        epoch_seconds().alias("timestamp"),
+        F.col("value").alias("temperature"),
+    )
+
+
+def reading_lines(events: DataFrame) -> DataFrame:
+    """The same readings as comma-separated lines."""
+    columns = [F.col(c).cast("string") for c in ("id", "timestamp", "temperature")]
+    return keyed_readings(events).select(F.concat_ws(",", *columns).alias("line"))
+
+
+def topic_records(events: DataFrame) -> DataFrame:
+    """The lines as raw topic records: (topic, value) with the value as bytes."""
+    topic = F.concat(F.lit("topic"), (F.col("user_id") % 3).cast("string")).alias("topic")
+    columns = [
+        F.concat(F.lit("sensor_"), F.col("user_id").cast("string")),
+        epoch_seconds().cast("string"),
+        F.col("value").cast("string"),
+    ]
+    return events.select(topic, F.concat_ws(",", *columns).cast("binary").alias("value"))
+
+
 def user_behaviors(events: DataFrame) -> DataFrame:
     return with_times(events).select(
         "seq",
