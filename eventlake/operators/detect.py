@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlake.functions.times import micros
-from eventlake.operators.episodes import assign_openings, finished_episodes
+from eventlake.operators.episodes import assign_episodes, finished_episodes
 from eventlake.operators.ordered import (
     CARRIED_ROW,
     CHUNK,
@@ -119,14 +119,15 @@ def click_limit(
     if reset == "calendar_day":
         period = clicks.withColumn("__period", F.to_date(ts))
     elif reset == "rolling_24h":
-        at = clicks.withColumn("__at", F.unix_micros(F.col(ts).cast("timestamp")))
-        base = chunked(at, keys, [ts, seq], chunk_rows).withColumn(
-            "__island", F.lit(0).cast("bigint")
-        )
+        at = clicks.withColumn(
+            "__at", F.unix_micros(F.col(ts).cast("timestamp"))
+        ).withColumn("__opens", F.lit(True))
         period = (
-            assign_openings(base, keys, micros("1 day"))
-            .withColumnRenamed("__opening", "__period")
-            .drop(CHUNK, "__island", "__at")
+            assign_episodes(
+                chunked(at, keys, [ts, seq], chunk_rows), keys, [ts, seq], micros("1 day")
+            )
+            .withColumnRenamed("__episode", "__period")
+            .drop(CHUNK, "__opens", "__at")
         )
     else:
         raise ValueError(f"unknown reset {reset!r}")

@@ -3,9 +3,9 @@
 Three jobs share the shape: repeated login failures (2 s from the first failure), continuous
 rises (10 s from the first rise) and click limits that reset 24 h after the first click. Which
 row opens an episode depends on the previous opening, so a key is walked in order. A hot key is
-walked chunk by chunk: each chunk is first reduced to a step function from the last opening before
-it to the last opening in it, these small functions are applied in order per key, and then every
-chunk is walked on its own with its known starting point.
+walked chunk by chunk: each chunk is first reduced to a step function from the episode running
+before it to the one running after it, these small functions are applied in order per key, and
+then every chunk is walked on its own from its known starting point.
 """
 
 from __future__ import annotations
@@ -14,18 +14,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlake.operators.ordered import (
     CHUNK,
     DEFAULT_CHUNK_ROWS,
     _chunk_match,
+    chunk_window,
     chunked,
-    running,
 )
 
-_NONE = np.iinfo(np.int64).min
+_NONE = int(np.iinfo(np.int64).min)
 
 
 def _last_openings(at: np.ndarray, window: int) -> np.ndarray:
@@ -40,24 +40,24 @@ def _last_openings(at: np.ndarray, window: int) -> np.ndarray:
 
 def _summarise(keys: list[str], window: int) -> Callable:
     def chunk_step(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__at", kind="stable")
-        at, island = pdf["__at"].to_numpy(), pdf["__island"].to_numpy()
-        one_island = island[0] == island[-1]
-        tail = at if one_island else at[island == island[-1]]
+        pdf = pdf.sort_values("__n", kind="stable")
+        opens = pdf["__opens"].to_numpy()
+        resets = np.flatnonzero(~opens)
+        at = pdf["__at"].to_numpy()
+        tail = at[resets[-1] + 1 :] if len(resets) else at
         last = _last_openings(tail, window)
         entries, exits = np.array([], np.int64), np.array([], np.int64)
-        if one_island:
+        if not len(resets):
             reach = int(np.searchsorted(at, at[0] + window, side="right")) + 1
-            at, last_of = at[:reach], last[:reach]
             # keep the largest position of every run with the same result
-            ends = np.append(last_of[1:] != last_of[:-1], True)
-            entries, exits = at[ends], last_of[ends]
+            head, result = at[:reach], last[:reach]
+            ends = np.append(result[1:] != result[:-1], True)
+            entries, exits = head[ends], result[ends]
         row = {k: [pdf[k].iloc[0]] for k in keys}
         row |= {
             CHUNK: [pdf[CHUNK].iloc[0]],
-            "__first_island": [island[0]],
-            "__last_island": [island[-1]],
-            "__fresh": [last[0]],
+            "__has_reset": [bool(len(resets))],
+            "__fresh": [last[0] if len(last) else _NONE],
             "__entries": [entries],
             "__exits": [exits],
         }
@@ -69,21 +69,19 @@ def _summarise(keys: list[str], window: int) -> Callable:
 def _compose(keys: list[str], window: int) -> Callable:
     def key_walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(CHUNK, kind="stable")
-        island, opening = None, _NONE
+        running = _NONE
         carried = []
-        for row in pdf.itertuples(index=False):
-            first, last, fresh, entries, exits = row[-5:]
-            continues = island is not None and island == first
-            carried.append(opening if continues else _NONE)
-            if continues and len(entries) and first == last:
-                i = int(np.searchsorted(entries, opening + window, side="right"))
-                opening = exits[i] if i < len(exits) else opening
+        for has_reset, fresh, entries, exits in zip(
+            pdf["__has_reset"], pdf["__fresh"], pdf["__entries"], pdf["__exits"], strict=True
+        ):
+            carried.append(running)
+            if has_reset or running == _NONE:
+                running = fresh
             else:
-                opening = fresh
-            island = last
+                i = int(np.searchsorted(entries, running + window, side="right"))
+                running = exits[i] if i < len(exits) else running
         out = pdf[[*keys, CHUNK]].copy()
         out["__entry"] = carried
-        out["__entry_island"] = pdf["__first_island"].to_numpy()
         return out
 
     return key_walk
@@ -92,76 +90,69 @@ def _compose(keys: list[str], window: int) -> Callable:
 def _walk(window: int) -> Callable:
     def partition_walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # The running episode outlives a batch: a group may span several.
-        island, opening = None, _NONE
+        running = _NONE
         for pdf in batches:
-            openings = []
-            for head, at, isl, entry, entry_island in zip(
-                pdf["__head"].tolist(),
+            episodes = []
+            for n, at, opens, entry in zip(
+                pdf["__n"].tolist(),
                 pdf["__at"].tolist(),
-                pdf["__island"].tolist(),
+                pdf["__opens"].tolist(),
                 pdf["__entry"].tolist(),
-                pdf["__entry_island"].tolist(),
                 strict=True,
             ):
-                if head or isl != island:
-                    island = isl
-                    opening = entry if isl == entry_island else _NONE
-                if opening == _NONE or at > opening + window:
-                    opening = at
-                openings.append(opening)
-            out = pdf.drop(columns=["__head", "__entry", "__entry_island"])
-            out["__opening"] = np.array(openings, dtype=np.int64)
+                if n == 1:
+                    running = entry
+                over = running == _NONE or at > running + window
+                if opens:
+                    running = at if over else running
+                    episodes.append(running)
+                else:
+                    episodes.append(_NONE if over else running)
+                    running = _NONE
+            out = pdf.drop(columns=["__n", "__entry"])
+            out["__episode"] = np.array(episodes, dtype=np.int64)
             yield out
 
     return partition_walk
 
 
-def assign_openings(rows: DataFrame, keys: list[str], window_us: int) -> DataFrame:
-    """Add ``__opening``, the position of the opening row of each row's episode.
+def assign_episodes(
+    rows: DataFrame, keys: list[str], order: list[str], window_us: int
+) -> DataFrame:
+    """Add ``__episode``, the time at which the episode a row belongs to was opened.
 
-    ``rows`` carries the keys, the chunk number, ``__island`` (episodes never span islands,
-    islands grow along the order) and ``__at`` in microseconds.
+    ``rows`` carries the keys, the order, the chunk number, ``__at`` in microseconds and
+    ``__opens``. A row that does not open is a reset: it ends any running episode and belongs to
+    the one it cuts short; if there is none ``__episode`` is NULL.
     """
     types = dict(rows.dtypes)
+    # The window clusters and sorts the rows and numbers them within a chunk; the broadcast
+    # join and the walk keep that order within the task.
+    numbered = rows.withColumn("__n", F.row_number().over(chunk_window(keys, order)))
     key_ddl = ", ".join(f"`{k}` {types[k]}" for k in [*keys, CHUNK])
-    summary_ddl = (
-        f"{key_ddl}, __first_island bigint, __last_island bigint, __fresh bigint, "
-        "__entries array<bigint>, __exits array<bigint>"
-    )
     entries = (
-        rows.where(F.col(CHUNK).isNotNull())
-        .select(*keys, CHUNK, "__island", "__at")
+        numbered.where(F.col(CHUNK).isNotNull())
+        .select(*keys, CHUNK, "__n", "__at", "__opens")
         .groupBy(*keys, CHUNK)
-        .applyInPandas(_summarise(keys, window_us), summary_ddl)
-        .groupBy(*keys)
         .applyInPandas(
-            _compose(keys, window_us),
-            f"{key_ddl}, __entry bigint, __entry_island bigint",
+            _summarise(keys, window_us),
+            f"{key_ddl}, __has_reset boolean, __fresh bigint, "
+            "__entries array<bigint>, __exits array<bigint>",
         )
+        .groupBy(*keys)
+        .applyInPandas(_compose(keys, window_us), f"{key_ddl}, __entry bigint")
         .select(
             *[F.col(k).alias(f"__c_{k}") for k in keys],
             F.col(CHUNK).alias("__c_chunk"),
             "__entry",
-            "__entry_island",
         )
     )
-    # The window clusters and sorts the rows and marks where a chunk begins; the broadcast join
-    # and the walk keep that order within the task.
-    in_order = Window.partitionBy(*keys, CHUNK).orderBy("__at")
-    prepared = (
-        rows.withColumn("__head", F.row_number().over(in_order) == 1)
-        .join(F.broadcast(entries), _chunk_match(keys), "left")
-        .select(
-            *rows.columns,
-            "__head",
-            *[
-                F.coalesce(c, F.lit(int(_NONE))).alias(c)
-                for c in ("__entry", "__entry_island")
-            ],
-        )
+    prepared = numbered.join(F.broadcast(entries), _chunk_match(keys), "left").select(
+        *rows.columns, "__n", F.coalesce("__entry", F.lit(_NONE)).alias("__entry")
     )
     row_ddl = ", ".join(f"`{c}` {types[c]}" for c in rows.columns)
-    return prepared.mapInPandas(_walk(window_us), f"{row_ddl}, __opening bigint")
+    walked = prepared.mapInPandas(_walk(window_us), f"{row_ddl}, __episode bigint")
+    return walked.withColumn("__episode", F.nullif("__episode", F.lit(_NONE)))
 
 
 def finished_episodes(
@@ -180,6 +171,7 @@ def finished_episodes(
     interval, its end included, cancels it. Times are event times; ``order[0]`` is a timestamp.
     """
     base = df if CHUNK in df.columns else chunked(df, keys, order, chunk_rows)
+    in_order = chunk_window(keys, order)
     marked = base.select(
         *keys,
         *[o for o in order if o not in keys],
@@ -188,37 +180,25 @@ def finished_episodes(
         opens.alias("__opens"),
         resets.alias("__resets"),
     )
-    islands = running(
-        marked,
-        keys,
-        order,
-        {
-            "__island": ("count", F.when(F.col("__resets"), 1)),
-            "__last_open": ("max", F.when(F.col("__opens"), F.col("__at"))),
-        },
-    )
-    opening_rows = islands.where("__opens").select(*keys, CHUNK, "__island", "__at")
-    episodes = (
-        assign_openings(opening_rows, keys, window_us)
-        .groupBy(*keys, "__island", "__opening")
-        .agg(F.max("__at").alias("__last"), F.count(F.lit(1)).alias("rows"))
-    )
-    # The reset that closes an island; one long after the last opening row cancels nothing.
-    closing = islands.where(
-        F.col("__resets") & (F.col("__at") - F.col("__last_open") <= window_us)
-    ).select(
-        *[F.col(k).alias(f"__r_{k}") for k in keys],
-        (F.col("__island") - 1).alias("__r_island"),
-        F.col("__at").alias("__closed"),
-    )
-    cancelled = (F.col("__island") == F.col("__r_island")) & (
-        F.col("__closed") <= F.col("__opening") + window_us
-    )
-    for k in keys:
-        cancelled = cancelled & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-    return episodes.join(closing, cancelled, "left_anti").select(
-        *keys,
-        F.timestamp_micros("__opening").alias("opened_at"),
-        F.timestamp_micros("__last").alias("last_at"),
-        "rows",
+    # Only the first of several resets in a row can end an episode.
+    relevant = marked.withColumn(
+        "__after_open", F.coalesce(F.lag("__opens").over(in_order), F.lit(True))
+    ).where(F.col("__opens") | (F.col("__resets") & F.col("__after_open")))
+    return (
+        assign_episodes(relevant.drop("__resets", "__after_open"), keys, order, window_us)
+        .where(F.col("__episode").isNotNull())
+        .groupBy(*keys, "__episode")
+        .agg(
+            F.max("__at").alias("__last"),
+            F.count(F.lit(1)).alias("rows"),
+            F.every("__opens").alias("__unbroken"),
+        )
+        .where("__unbroken")
+        .select(
+            *keys,
+            F.timestamp_micros("__episode").alias("opened_at"),
+            F.timestamp_micros("__last").alias("last_at"),
+            "rows",
+        )
     )
+

@@ -58,7 +58,7 @@ _ENVELOPES = """envelopes AS (
   SELECT event_id AS seq, 'topic' || (user_id % 3) AS topic, ts AS at_time,
     '{"data":' || CASE WHEN event_id % 29 = 0 THEN 'null' ELSE '{"user":' || user_id || '}' END
     || ',"meta":' || CASE WHEN event_id % 31 = 0 THEN '{}' ELSE
-       '{"k":{"priority":3,"value":' || (props->>'k') || '},"type":{"priority":'
+       '{"shard":{"priority":3,"value":' || (CAST(props->>'k' AS INT) % 3) || '},"type":{"priority":'
        || CASE WHEN event_id % 23 = 0 THEN '"high"' ELSE CAST(event_id % 7 AS VARCHAR) END
        || ',"value":"' || event_type || '"}}' END
     || CASE WHEN event_id % 19 = 0 THEN '' ELSE ',"extra_data":"e' || (props->>'k') || '"' END

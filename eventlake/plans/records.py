@@ -148,8 +148,8 @@ def envelopes(events: DataFrame) -> DataFrame:
     priority = F.when(eid % 23 == 0, F.lit('"high"')).otherwise((eid % 7).cast("string"))
     meta = F.when(eid % 31 == 0, F.lit("{}")).otherwise(
         F.concat(
-            F.lit('{"k":{"priority":3,"value":'),
-            k,
+            F.lit('{"shard":{"priority":3,"value":'),
+            (prop_k() % 3).cast("string"),
             F.lit('},"type":{"priority":'),
             priority,
             F.lit(',"value":"'),

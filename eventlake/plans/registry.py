@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlake.functions import jsonmeta, times, udfs
-from eventlake.functions.hashing import bitmap_offset
 from eventlake.operators import changelog, detect, parse, rolling, topn, transforms, windows
 from eventlake.plans import ads, logins, marketing, raw_zone, traffic
 from eventlake.plans import hot_items as items
@@ -670,13 +669,12 @@ def click_blacklist_stream(t):
 
 @_query
 def uv_running_stream(t):
-    views = rec.user_behaviors(t.stream("events")).where(F.col("behavior") == VIEW)
-    hashed = stream_windows.ascending(views).withColumn(
-        "offset", bitmap_offset(F.col("userId").cast("string"))
-    )
+    behaviors = stream_windows.ascending(rec.user_behaviors(t.stream("events")))
     path = shared_dir(t.spark, "uv")
     run.drain_batches(
-        processors.first_seen_stream(hashed, "offset"), visitors.number_first_seen(path)
+        visitors.first_sightings(behaviors, behavior=VIEW),
+        visitors.number_first_sightings(path),
+        mode="update",
     )
     schema = "window_end TIMESTAMP, seq BIGINT, uv BIGINT"
     return t.spark.read.schema(schema).parquet(f"{path}/uv/*")

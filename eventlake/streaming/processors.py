@@ -172,30 +172,6 @@ class ClickLimit(_InArrivalOrder):
             yield Row(user=key[0], ad=key[1], seq=row.seq, kind=kind)
 
 
-class FirstSeen(_InArrivalOrder):
-    """(window_end, offset, seq) the first time a window sees a bitmap position.
-
-    Keyed by window and position, so a busy window is spread over all tasks. State ends with
-    its window, by timer.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getValueState("seen", "seen boolean")
-
-    def on_row(self, key: Any, row: Row) -> Iterator[Row]:
-        if not self.seen.exists():
-            self.seen.update((True,))
-            self.handle.registerTimer(row.end_ms)
-            yield Row(end_ms=row.end_ms, offset=key[1], seq=row.seq)
-
-    def handleExpiredTimer(
-        self, key: Any, timerValues: Any, expiredTimerInfo: Any
-    ) -> Iterator[Row]:
-        self.seen.clear()
-        return iter([])
-
-
 class KeyTimer(StatefulProcessor):
     """(key, kind, value): the key's length per row, and a row when the timer runs out.
 
@@ -451,23 +427,6 @@ def click_limit_stream(
     ).select(F.col("user").alias("userId"), F.col("ad").alias("adId"), "seq", "kind")
 
 
-def first_seen_stream(views: DataFrame, offset: str, size: str = "1 hour") -> DataFrame:
-    """(window_end, offset, seq) of first sightings; set the watermark on ``views`` first."""
-    rows = views.select(
-        "event_time",
-        "seq",
-        F.col(offset).alias("offset"),
-        F.unix_millis(F.window("event_time", size).getField("end")).alias("end_ms"),
-    )
-    return _transform(
-        rows,
-        ["end_ms", "offset"],
-        FirstSeen(),
-        "end_ms bigint, offset bigint, seq bigint",
-        "EventTime",
-    ).select(F.timestamp_millis("end_ms").alias("window_end"), "offset", "seq")
-
-
 def key_timer_stream(df: DataFrame, key: str, delay_ms: int = 5000) -> DataFrame:
     """Needs an ordinary trigger: a processing-time timer keeps an availableNow run going."""
     kind = dict(df.dtypes)[key]

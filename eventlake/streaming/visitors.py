@@ -7,40 +7,60 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventlake.functions.hashing import BITMAP_BITS, bitmap_offset
 from eventlake.operators.ordered import DEFAULT_CHUNK_ROWS, running
 
-_TOTALS = "window_end TIMESTAMP, total BIGINT, batch_id BIGINT"
+_TOTALS = "window_end TIMESTAMP, total BIGINT, newest BIGINT, batch_id BIGINT"
 
 
-def number_first_seen(
+def first_sightings(
+    behaviors: DataFrame, size: str = "1 hour", behavior: str = "pv", bits: int = BITMAP_BITS
+) -> DataFrame:
+    """(window_end, offset, seq): first arrival per window and bitmap position.
+
+    Run it in update mode with the watermark set: a position comes back with every batch that
+    sees it, always with its first arrival.
+    """
+    offset = bitmap_offset(F.col("userId").cast("string"), bits).alias("offset")
+    first = (
+        behaviors.where(F.col("behavior") == behavior)
+        .groupBy(F.window("event_time", size), offset)
+        .agg(F.min("seq").alias("seq"))
+    )
+    return first.select(F.col("window.end").alias("window_end"), "offset", "seq")
+
+
+def number_first_sightings(
     path: str, chunk_rows: int = DEFAULT_CHUNK_ROWS
 ) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that numbers the first sightings of every window.
+    """A ``foreachBatch`` function that counts up the visitors of every window.
 
-    Takes `first_seen_stream` rows. Within a batch they are numbered in arrival order; the count
-    reached by earlier batches is read from small per-window totals kept with the output, under
+    Arrival numbers grow from batch to batch, so a sighting is new when its number lies above
+    all earlier batches'. New ones are numbered in arrival order on top of the count their window
+    had reached; counts and newest arrival per window and batch are kept with the output, under
     ``path`` on shared storage. Results: ``path/uv/batch-N`` with (window_end, seq, uv).
     """
 
     def number(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        counted = running(
-            batch, ["window_end"], ["seq"], {"n": ("count", F.lit(1))}, chunk_rows
-        )
         if batch_id == 0:
-            before = spark.createDataFrame([], _TOTALS)
+            earlier = spark.createDataFrame([], _TOTALS)
         else:
-            before = spark.read.schema(_TOTALS).parquet(f"{path}/totals/*")
-        reached = (
-            before.where(F.col("batch_id") < batch_id)
-            .groupBy("window_end")
-            .agg(F.sum("total").alias("__reached"))
+            earlier = spark.read.schema(_TOTALS).parquet(f"{path}/totals/*")
+        earlier = earlier.where(F.col("batch_id") < batch_id)
+        newest = earlier.agg(F.coalesce(F.max("newest"), F.lit(-1)).alias("n")).scalar()
+        new = batch.where(F.col("seq") > newest)
+        counted = running(
+            new, ["window_end"], ["seq"], {"n": ("count", F.lit(1))}, chunk_rows
         )
+        reached = earlier.groupBy("window_end").agg(F.sum("total").alias("__reached"))
         counted.join(reached, "window_end", "left").select(
             "window_end", "seq", (F.col("n") + F.coalesce("__reached", F.lit(0))).alias("uv")
         ).write.mode("overwrite").parquet(f"{path}/uv/batch-{batch_id}")
-        batch.groupBy("window_end").agg(F.count(F.lit(1)).alias("total")).withColumn(
-            "batch_id", F.lit(batch_id).cast("bigint")
-        ).write.mode("overwrite").parquet(f"{path}/totals/batch-{batch_id}")
+        new.groupBy("window_end").agg(
+            F.count(F.lit(1)).alias("total"), F.max("seq").alias("newest")
+        ).withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode(
+            "overwrite"
+        ).parquet(f"{path}/totals/batch-{batch_id}")
 
     return number
