@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.operators.ordered import DEFAULT_CHUNK_ROWS, chunked, running
+from eventlake.operators.ordered import DEFAULT_CHUNK_ROWS, ordered
 
 
 def retract_changelog(
@@ -16,12 +16,10 @@ def retract_changelog(
     chunk_rows: int = DEFAULT_CHUNK_ROWS,
 ) -> DataFrame:
     """For each input row ``-`` the key's previous (count, sum) if any, then ``+`` the new one."""
-    base = chunked(
-        df.select(key, seq, value.alias("__v")), [key], [seq], chunk_rows
-    )
-    totals = running(
-        base, [key], [seq], {"count": ("count", F.lit(1)), "sum": ("sum", F.col("__v"))}
-    )
+    rows = ordered(df.select(key, seq, value.alias("__v")), [key], [seq], chunk_rows)
+    totals = rows.running(
+        {"count": ("count", F.lit(1)), "sum": ("sum", F.col("__v"))}
+    ).result()
     previous = F.struct(
         F.lit("-").alias("op"),
         (F.col("count") - 1).alias("count"),

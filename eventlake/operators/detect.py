@@ -7,14 +7,7 @@ from pyspark.sql import functions as F
 
 from eventlake.functions.times import micros
 from eventlake.operators.episodes import assign_episodes, finished_episodes
-from eventlake.operators.ordered import (
-    CARRIED_ROW,
-    CHUNK,
-    DEFAULT_CHUNK_ROWS,
-    chunk_window,
-    chunked,
-    with_previous_rows,
-)
+from eventlake.operators.ordered import DEFAULT_CHUNK_ROWS, ordered
 
 
 def jump_alert(
@@ -26,14 +19,10 @@ def jump_alert(
     chunk_rows: int = DEFAULT_CHUNK_ROWS,
 ) -> DataFrame:
     """(key, seq, last, now) where consecutive values differ by at least ``threshold``."""
-    rows = with_previous_rows(df.select(key, seq, value), [key], [seq], 1, chunk_rows)
-    last = F.lag(value).over(chunk_window([key], [seq]))
-    return (
-        rows.withColumn("last", last)
-        .where(
-            ~F.col(CARRIED_ROW) & (F.abs(F.col("last") - F.col(value)) >= threshold)
-        )
-        .select(key, seq, "last", F.col(value).alias("now"))
+    rows = ordered(df.select(key, seq, value), [key], [seq], chunk_rows)
+    compared = rows.framed(1, lambda w: {"last": F.lag(value).over(w)}).result()
+    return compared.where(F.abs(F.col("last") - F.col(value)) >= threshold).select(
+        key, seq, "last", F.col(value).alias("now")
     )
 
 
@@ -51,15 +40,9 @@ def rise_alert(
     interval, cancels it; otherwise the alert is raised and the next rise starts anew. Silence
     after a rise still alerts.
     """
-    order = list(order)
-    rows = with_previous_rows(df.select(key, *order, value), [key], order, 1, chunk_rows)
-    compared = rows.withColumn("__last", F.lag(value).over(chunk_window([key], order))).where(
-        ~F.col(CARRIED_ROW)
-    )
+    rows = ordered(df.select(key, *order, value), [key], list(order), chunk_rows)
     alerts = finished_episodes(
-        compared,
-        [key],
-        order,
+        rows.framed(1, lambda w: {"__last": F.lag(value).over(w)}),
         opens=F.coalesce(F.col("__last") < F.col(value), F.lit(False)),
         resets=F.coalesce(F.col("__last") >= F.col(value), F.lit(False)),
         window_us=micros(interval),
@@ -86,13 +69,10 @@ def repeated_failures(
     included, discards the run.
     """
     episodes = finished_episodes(
-        df,
-        [key],
-        list(order),
+        ordered(df, [key], list(order), chunk_rows),
         opens=F.coalesce(is_failure, F.lit(False)),
         resets=~F.coalesce(is_failure, F.lit(False)),
         window_us=micros(interval),
-        chunk_rows=chunk_rows,
     )
     return episodes.where(F.col("rows") >= min_failures).select(
         key,
@@ -122,12 +102,12 @@ def click_limit(
         at = clicks.withColumn(
             "__at", F.unix_micros(F.col(ts).cast("timestamp"))
         ).withColumn("__opens", F.lit(True))
+        rows = ordered(at, keys, [ts, seq], chunk_rows)
         period = (
-            assign_episodes(
-                chunked(at, keys, [ts, seq], chunk_rows), keys, [ts, seq], micros("1 day")
-            )
+            assign_episodes(rows, micros("1 day"))
+            .result()
             .withColumnRenamed("__episode", "__period")
-            .drop(CHUNK, "__opens", "__at")
+            .drop("__opens", "__at")
         )
     else:
         raise ValueError(f"unknown reset {reset!r}")

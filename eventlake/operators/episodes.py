@@ -17,13 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.operators.ordered import (
-    CHUNK,
-    DEFAULT_CHUNK_ROWS,
-    _chunk_match,
-    chunk_window,
-    chunked,
-)
+from eventlake.operators.ordered import CHUNK, OrderedRows, written
 
 _NONE = int(np.iinfo(np.int64).min)
 
@@ -116,78 +110,74 @@ def _walk(window: int) -> Callable:
     return partition_walk
 
 
-def assign_episodes(
-    rows: DataFrame, keys: list[str], order: list[str], window_us: int
-) -> DataFrame:
+def assign_episodes(rows: OrderedRows, window_us: int) -> OrderedRows:
     """Add ``__episode``, the time at which the episode a row belongs to was opened.
 
-    ``rows`` carries the keys, the order, the chunk number, ``__at`` in microseconds and
-    ``__opens``. A row that does not open is a reset: it ends any running episode and belongs to
-    the one it cuts short; if there is none ``__episode`` is NULL.
+    The rows carry ``__at`` in microseconds and ``__opens``. A row that does not open is a reset:
+    it ends any running episode and belongs to the one it cuts short; if there is none
+    ``__episode`` is NULL.
     """
-    types = dict(rows.dtypes)
+    types = dict(rows.df.dtypes)
     # The window clusters and sorts the rows and numbers them within a chunk; the broadcast
     # join and the walk keep that order within the task.
-    numbered = rows.withColumn("__n", F.row_number().over(chunk_window(keys, order)))
-    key_ddl = ", ".join(f"`{k}` {types[k]}" for k in [*keys, CHUNK])
-    entries = (
-        numbered.where(F.col(CHUNK).isNotNull())
-        .select(*keys, CHUNK, "__n", "__at", "__opens")
-        .groupBy(*keys, CHUNK)
-        .applyInPandas(
-            _summarise(keys, window_us),
-            f"{key_ddl}, __has_reset boolean, __fresh bigint, "
-            "__entries array<bigint>, __exits array<bigint>",
-        )
-        .groupBy(*keys)
-        .applyInPandas(_compose(keys, window_us), f"{key_ddl}, __entry bigint")
-        .select(
-            *[F.col(k).alias(f"__c_{k}") for k in keys],
-            F.col(CHUNK).alias("__c_chunk"),
-            "__entry",
+    numbered = rows.df.withColumn("__n", F.row_number().over(rows.window))
+    if rows.cut:
+        key_ddl = ", ".join(f"`{k}` {types[k]}" for k in rows.partition)
+        entries = written(
+            numbered.where(F.col(CHUNK).isNotNull())
+            .select(*rows.partition, "__n", "__at", "__opens")
+            .groupBy(*rows.partition)
+            .applyInPandas(
+                _summarise(rows.keys, window_us),
+                f"{key_ddl}, __has_reset boolean, __fresh bigint, "
+                "__entries array<bigint>, __exits array<bigint>",
+            )
+            .groupBy(*rows.keys)
+            .applyInPandas(_compose(rows.keys, window_us), f"{key_ddl}, __entry bigint")
+            .select(*rows.chunk_keys(), "__entry"),
+            "chunk-entries",
         )
-    )
-    prepared = numbered.join(F.broadcast(entries), _chunk_match(keys), "left").select(
-        *rows.columns, "__n", F.coalesce("__entry", F.lit(_NONE)).alias("__entry")
-    )
-    row_ddl = ", ".join(f"`{c}` {types[c]}" for c in rows.columns)
+        entry = F.coalesce("__entry", F.lit(_NONE)).alias("__entry")
+        prepared = rows.join_chunks(entries, numbered).select(*rows.df.columns, "__n", entry)
+    else:
+        prepared = numbered.withColumn("__entry", F.lit(_NONE))
+    row_ddl = ", ".join(f"`{c}` {types[c]}" for c in rows.df.columns)
     walked = prepared.mapInPandas(_walk(window_us), f"{row_ddl}, __episode bigint")
-    return walked.withColumn("__episode", F.nullif("__episode", F.lit(_NONE)))
+    return rows.map(lambda _: walked.withColumn("__episode", F.nullif("__episode", F.lit(_NONE))))
 
 
 def finished_episodes(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    opens: Column,
-    resets: Column,
-    window_us: int,
-    chunk_rows: int = DEFAULT_CHUNK_ROWS,
+    rows: OrderedRows, opens: Column, resets: Column, window_us: int
 ) -> DataFrame:
     """Episodes that ran their full interval: (keys, ``opened_at``, ``last_at``, ``rows``).
 
     A row satisfying ``opens`` starts an episode unless one is running; later such rows within
     the interval, its end included, belong to it. A row satisfying ``resets`` within the
-    interval, its end included, cancels it. Times are event times; ``order[0]`` is a timestamp.
+    interval, its end included, cancels it. Times are event times; the leading order column is a
+    timestamp.
     """
-    base = df if CHUNK in df.columns else chunked(df, keys, order, chunk_rows)
-    in_order = chunk_window(keys, order)
-    marked = base.select(
-        *keys,
-        *[o for o in order if o not in keys],
-        CHUNK,
-        F.unix_micros(F.col(order[0]).cast("timestamp")).alias("__at"),
-        opens.alias("__opens"),
-        resets.alias("__resets"),
+    order = [o for o in rows.order if o not in rows.keys]
+    marked = rows.map(
+        lambda df: df.select(
+            *rows.partition,
+            *order,
+            F.unix_micros(F.col(rows.order[0]).cast("timestamp")).alias("__at"),
+            opens.alias("__opens"),
+            resets.alias("__resets"),
+        )
+    )
+    # Only the first of several resets in a row can end an episode. At the start of a chunk the
+    # row before is unknown, and a reset there is kept.
+    after_open = F.coalesce(F.lag("__opens").over(marked.window), F.lit(True))
+    relevant = marked.map(
+        lambda df: df.withColumn("__after_open", after_open)
+        .where(F.col("__opens") | (F.col("__resets") & F.col("__after_open")))
+        .drop("__resets", "__after_open")
     )
-    # Only the first of several resets in a row can end an episode.
-    relevant = marked.withColumn(
-        "__after_open", F.coalesce(F.lag("__opens").over(in_order), F.lit(True))
-    ).where(F.col("__opens") | (F.col("__resets") & F.col("__after_open")))
     return (
-        assign_episodes(relevant.drop("__resets", "__after_open"), keys, order, window_us)
-        .where(F.col("__episode").isNotNull())
-        .groupBy(*keys, "__episode")
+        assign_episodes(relevant, window_us)
+        .df.where(F.col("__episode").isNotNull())
+        .groupBy(*rows.keys, "__episode")
         .agg(
             F.max("__at").alias("__last"),
             F.count(F.lit(1)).alias("rows"),
@@ -195,10 +185,9 @@ def finished_episodes(
         )
         .where("__unbroken")
         .select(
-            *keys,
+            *rows.keys,
             F.timestamp_micros("__episode").alias("opened_at"),
             F.timestamp_micros("__last").alias("last_at"),
             "rows",
         )
     )
-

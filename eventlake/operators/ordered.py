@@ -1,40 +1,52 @@
 """Keyed operators that depend on row order, safe for keys of any size.
 
-A plain ``Window.partitionBy(key)`` puts a whole key into one task. Here a key with more than
-``chunk_rows`` rows is cut along its order into chunks, each chunk is one window partition, and
-what a chunk needs from the rows before it is carried over from small per-chunk summaries:
+A plain ``Window.partitionBy(key)`` puts a whole key into one task. `ordered` first counts rows per
+key. Where no key has more than ``chunk_rows`` rows, that plain window is what is used. Otherwise
+the hot keys are cut along their order into chunks, each chunk is one window partition, and what a
+chunk needs from the rows before it is carried over from small tables:
 
-* `running` adds the totals of all earlier chunks to the chunk-local running aggregate;
-* `with_previous_rows` repeats the last ``n`` rows before a chunk inside it, marked, so row
-  frames of ``n`` preceding rows are exact.
+* `OrderedRows.running` adds the totals of all earlier chunks to the chunk-local aggregate;
+* `OrderedRows.framed` repeats the last ``n`` rows before a chunk inside it while a frame of ``n``
+  preceding rows is computed.
 
 Sizes that are broadcast: a key is hot only above ``chunk_rows`` rows, and a hot key of ``c`` rows
-is cut into at most ``c / chunk_rows + 2`` chunks, so hot keys and chunk summaries together stay
-below ``3 * rows / chunk_rows`` entries. ``order`` must be a unique number or a timestamp; the
-denser a key is, the closer its chunks are to ``chunk_rows`` rows.
+is cut into at most ``c / chunk_rows + 2`` chunks, so hot keys and chunk totals together stay below
+``4 * rows / chunk_rows`` entries. They are written once to shared storage and read from there, so
+the main plan scans its input once. The leading order column is an integer or a timestamp, and the
+denser a key is along it, the closer its chunks are to ``chunk_rows`` rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from eventlake.session import shared_dir
+
 CHUNK = "__chunk"
-CARRIED_ROW = "__carried"
+_CARRIED = "__carried"
 DEFAULT_CHUNK_ROWS = 1_000_000
 
-_MERGE = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
 _LOCAL = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
+_MERGE = _LOCAL | {"count": F.sum}
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """A small result as a table in the shared folder, cut off from its lineage."""
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _position(df: DataFrame, order: list[str]) -> Column:
     """The leading order column as a number to cut along."""
     kind = dict(df.dtypes)[order[0]]
-    if kind == "timestamp":
-        return F.unix_micros(F.col(order[0]))
-    if kind == "timestamp_ntz":
+    if kind in ("timestamp", "timestamp_ntz"):
         return F.unix_micros(F.col(order[0]).cast("timestamp"))
     if kind in ("tinyint", "smallint", "int", "bigint"):
         return F.col(order[0]).cast("bigint")
@@ -45,103 +57,122 @@ def _floor_div(a: Column, b: Column) -> Column:
     return ((a - F.pmod(a, b)) / b).cast("bigint")
 
 
-def chunked(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    chunk_rows: int = DEFAULT_CHUNK_ROWS,
-) -> DataFrame:
-    """Add the chunk number: NULL for keys small enough to stay whole.
-
-    Without keys the whole input is one sequence and is cut every ``chunk_rows`` positions.
-    """
-    position = _position(df, order)
-    if not keys:
-        return df.withColumn(CHUNK, _floor_div(position, F.lit(chunk_rows).cast("bigint")))
-    hot = (
-        df.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("__rows"),
-            F.min(position).alias("__first"),
-            F.max(position).alias("__last"),
+@dataclass(frozen=True)
+class OrderedRows:
+    """Rows with their keys and order; ``cut`` says whether hot keys are cut into chunks."""
+
+    df: DataFrame
+    keys: list[str]
+    order: list[str]
+    cut: bool
+
+    @property
+    def partition(self) -> list[str]:
+        return [*self.keys, CHUNK] if self.cut else self.keys
+
+    @property
+    def window(self) -> WindowSpec:
+        return Window.partitionBy(*self.partition).orderBy(*self.order)
+
+    def map(self, change: Callable[[DataFrame], DataFrame]) -> OrderedRows:
+        """Rows changed one by one; keys, order and chunk columns have to stay."""
+        return replace(self, df=change(self.df))
+
+    def hot(self) -> DataFrame:
+        """Rows of the keys that are cut."""
+        return self.df.where(F.col(CHUNK).isNotNull())
+
+    def result(self) -> DataFrame:
+        return self.df.drop(CHUNK)
+
+    def join_chunks(self, carry: DataFrame, df: DataFrame | None = None) -> DataFrame:
+        """Left join of one small row per chunk, keyed by ``__c_<key>`` and ``__c_chunk``."""
+        pairs = [F.col(k).eqNullSafe(F.col(f"__c_{k}")) for k in self.keys]
+        match = reduce(lambda a, b: a & b, pairs, F.col(CHUNK) == F.col("__c_chunk"))
+        left = self.df if df is None else df
+        return left.join(F.broadcast(carry), match, "left")
+
+    def chunk_keys(self) -> list[Column]:
+        return [
+            *[F.col(k).alias(f"__c_{k}") for k in self.keys],
+            F.col(CHUNK).alias("__c_chunk"),
+        ]
+
+    def running(
+        self, aggs: dict[str, tuple[str, Column]], include_current: bool = True
+    ) -> OrderedRows:
+        """Add running aggregates: output column → (``sum|count|max|min``, expression).
+
+        With ``include_current=False`` they cover the rows strictly before the current one.
+        """
+        frame = self.window.rowsBetween(
+            Window.unboundedPreceding, 0 if include_current else -1
         )
-        .where(F.col("__rows") > chunk_rows)
-        .select(
-            *[F.col(k).alias(f"__hot_{k}") for k in keys],
-            "__first",
-            # positions per chunk such that an evenly spread key gets chunk_rows rows in each
-            F.greatest(
-                F.ceil(
-                    (F.col("__last") - F.col("__first") + 1).cast("double")
-                    * chunk_rows
-                    / F.col("__rows")
-                ),
-                F.lit(1).cast("bigint"),
-            ).alias("__width"),
+        if not self.cut:
+            return self.map(
+                lambda df: df.select(
+                    "*", *[_LOCAL[fn](e).over(frame).alias(o) for o, (fn, e) in aggs.items()]
+                )
+            )
+        earlier = (
+            Window.partitionBy(*self.keys)
+            .orderBy(CHUNK)
+            .rowsBetween(Window.unboundedPreceding, -1)
         )
-    )
-    same_key = reduce(
-        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__hot_{k}")) for k in keys]
-    )
-    return df.join(F.broadcast(hot), same_key, "left").select(
-        *[F.col(c) for c in df.columns],
-        _floor_div(position - F.col("__first"), F.col("__width")).alias(CHUNK),
-    )
-
-
-def chunk_window(keys: list[str], order: list[str]):
-    """Window over one chunk in order."""
-    return Window.partitionBy(*keys, CHUNK).orderBy(*order)
-
-
-def _chunk_match(keys: list[str]) -> Column:
-    pairs = [F.col(k).eqNullSafe(F.col(f"__c_{k}")) for k in keys]
-    return reduce(lambda a, b: a & b, pairs, F.col(CHUNK) == F.col("__c_chunk"))
-
-
-def running(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    aggs: dict[str, tuple[str, Column]],
-    chunk_rows: int = DEFAULT_CHUNK_ROWS,
-    include_current: bool = True,
-) -> DataFrame:
-    """Running aggregates per key: one output row per input row.
-
-    ``aggs`` maps an output column to (``sum|count|max|min``, expression). With
-    ``include_current=False`` the aggregate covers the rows strictly before the current one.
-    An input that already carries the chunk column keeps it.
-    """
-    own_chunks = CHUNK not in df.columns
-    base = chunked(df, keys, order, chunk_rows) if own_chunks else df
-
-    totals = (
-        base.where(F.col(CHUNK).isNotNull())
-        .groupBy(*keys, CHUNK)
-        .agg(*[_LOCAL[fn](e).alias(f"__c_{out}") for out, (fn, e) in aggs.items()])
-    )
-    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    carry = totals.select(
-        *[F.col(k).alias(f"__c_{k}") for k in keys],
-        F.col(CHUNK).alias("__c_chunk"),
-        *[
-            _MERGE[fn](f"__c_{out}").over(earlier).alias(f"__c_{out}")
-            for out, (fn, _) in aggs.items()
-        ],
-    )
-
-    frame = chunk_window(keys, order).rowsBetween(
-        Window.unboundedPreceding, 0 if include_current else -1
-    )
-    local = base.select(
-        "*", *[_LOCAL[fn](e).over(frame).alias(f"__l_{o}") for o, (fn, e) in aggs.items()]
-    )
-    joined = local.join(F.broadcast(carry), _chunk_match(keys), "left")
-    kept = [c for c in base.columns if not (own_chunks and c == CHUNK)]
-    return joined.select(*kept, *[_merged(o, fn).alias(o) for o, (fn, _) in aggs.items()])
+        totals = (
+            self.hot()
+            .groupBy(*self.partition)
+            .agg(*[_LOCAL[fn](e).alias(o) for o, (fn, e) in aggs.items()])
+        )
+        carry = written(
+            totals.select(
+                *self.chunk_keys(),
+                *[
+                    _MERGE[fn](o).over(earlier).alias(f"__c_{o}")
+                    for o, (fn, _) in aggs.items()
+                ],
+            ),
+            "chunk-totals",
+        )
+        local = self.df.select(
+            "*",
+            *[_LOCAL[fn](e).over(frame).alias(f"__l_{o}") for o, (fn, e) in aggs.items()],
+        )
+        merged = self.join_chunks(carry, local).select(
+            *self.df.columns, *[_merged(o, fn).alias(o) for o, (fn, _) in aggs.items()]
+        )
+        return replace(self, df=merged)
+
+    def framed(self, n: int, columns: Callable[[WindowSpec], dict[str, Column]]) -> OrderedRows:
+        """Add columns that look at the current row and up to ``n`` rows before it.
+
+        ``columns`` gets the ordered window and returns windowed expressions, e.g. a lag or an
+        aggregate over ``rowsBetween(-n, 0)``.
+        """
+        new = [c.alias(name) for name, c in columns(self.window).items()]
+        if not self.cut:
+            return self.map(lambda df: df.select("*", *new))
+        by_chunk = Window.partitionBy(*self.partition).orderBy(
+            *[F.col(o).desc() for o in self.order]
+        )
+        latest = F.row_number().over(by_chunk)
+        tails = self.hot().withColumn("__rank", latest).where(F.col("__rank") <= n)
+        # A chunk may hold fewer than n rows, so a tail is offered to the next n chunks.
+        following = Window.partitionBy(*self.keys).orderBy(CHUNK).rowsBetween(1, n)
+        successors = tails.where(F.col("__rank") == 1).select(
+            *self.chunk_keys(), F.collect_list(CHUNK).over(following).alias("__next")
+        )
+        carried = written(
+            self.join_chunks(successors, tails)
+            .withColumn(CHUNK, F.explode("__next"))
+            .withColumn("__rank", latest)
+            .where(F.col("__rank") <= n)
+            .select(*self.df.columns, F.lit(True).alias(_CARRIED)),
+            "chunk-tails",
+        )
+        rows = self.df.withColumn(_CARRIED, F.lit(False)).unionByName(carried)
+        framed = rows.select("*", *new).where(~F.col(_CARRIED)).drop(_CARRIED)
+        return replace(self, df=framed)
 
 
 def _merged(out: str, fn: str) -> Column:
@@ -155,38 +186,51 @@ def _merged(out: str, fn: str) -> Column:
     return F.coalesce(local + carried, local, carried)
 
 
-def with_previous_rows(
+def ordered(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    n: int,
     chunk_rows: int = DEFAULT_CHUNK_ROWS,
-) -> DataFrame:
-    """Make frames of up to ``n`` preceding rows exact inside `chunk_window`.
+) -> OrderedRows:
+    """Rows to be handled per key in order; without keys the input is one sequence.
 
-    Every chunk is given the ``n`` rows that precede it, marked by ``CARRIED_ROW``. Compute the
-    frame over `chunk_window`, then drop the marked rows.
+    Runs one aggregate over the key and order columns to find keys above ``chunk_rows`` rows.
     """
-    base = df if CHUNK in df.columns else chunked(df, keys, order, chunk_rows)
-    by_chunk = Window.partitionBy(*keys, CHUNK)
-    latest_first = [F.col(o).desc() for o in order]
-    tails = (
-        base.where(F.col(CHUNK).isNotNull())
-        .withColumn("__rank", F.row_number().over(by_chunk.orderBy(*latest_first)))
-        .where(F.col("__rank") <= n)
+    position = _position(df, order)
+    sizes = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__rows"),
+        F.min(position).alias("__first"),
+        F.max(position).alias("__last"),
+    )
+    hot = sizes.where(F.col("__rows") > chunk_rows).select(
+        *[F.col(k).alias(f"__h_{k}") for k in keys],
+        "__first",
+        # positions per chunk such that an evenly spread key gets chunk_rows rows in each
+        F.greatest(
+            F.ceil(
+                (F.col("__last") - F.col("__first") + 1).cast("double")
+                * chunk_rows
+                / F.col("__rows")
+            ),
+            F.lit(1).cast("bigint"),
+        ).alias("__width"),
     )
-    # A chunk may hold fewer than n rows, so a tail is offered to the next n chunks.
-    following = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(1, n)
-    successors = tails.where(F.col("__rank") == 1).select(
-        *[F.col(k).alias(f"__c_{k}") for k in keys],
-        F.col(CHUNK).alias("__c_chunk"),
-        F.collect_list(CHUNK).over(following).alias("__next"),
+    if not keys:
+        whole = hot.first()
+        if whole is None:
+            return OrderedRows(df, keys, order, cut=False)
+        first, width = F.lit(whole["__first"]), F.lit(whole["__width"])
+        return OrderedRows(
+            df.withColumn(CHUNK, _floor_div(position - first, width)), keys, order, cut=True
+        )
+    if hot.isEmpty():
+        return OrderedRows(df, keys, order, cut=False)
+    same_key = reduce(
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in keys]
     )
-    carried = (
-        tails.join(F.broadcast(successors), _chunk_match(keys))
-        .withColumn(CHUNK, F.explode("__next"))
-        .withColumn("__rank", F.row_number().over(by_chunk.orderBy(*latest_first)))
-        .where(F.col("__rank") <= n)
-        .select(*base.columns, F.lit(True).alias(CARRIED_ROW))
+    # NULL for keys small enough to stay whole
+    chunk = _floor_div(position - F.col("__first"), F.col("__width")).alias(CHUNK)
+    cut = df.join(F.broadcast(written(hot, "hot-keys")), same_key, "left").select(
+        *[F.col(c) for c in df.columns], chunk
     )
-    return base.withColumn(CARRIED_ROW, F.lit(False)).unionByName(carried)
+    return OrderedRows(cut, keys, order, cut=True)

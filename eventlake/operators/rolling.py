@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.operators.ordered import DEFAULT_CHUNK_ROWS, running
+from eventlake.operators.ordered import DEFAULT_CHUNK_ROWS, ordered
 
 
 def rolling_sum(
@@ -21,7 +21,8 @@ def rolling_sum(
     chunk_rows: int = DEFAULT_CHUNK_ROWS,
 ) -> DataFrame:
     """Sum of ``value`` over the key's rows so far."""
-    return running(df, [key], [seq], {out: ("sum", value)}, chunk_rows)
+    rows = ordered(df, [key], [seq], chunk_rows)
+    return rows.running({out: ("sum", value)}).result()
 
 
 def rolling_max_by(
@@ -38,7 +39,8 @@ def rolling_max_by(
     """
     others = [c for c in df.columns if c not in (key, by, seq)]
     best = F.struct(F.col(by), (-F.col(seq)).alias("__first"), *others)
-    rolled = running(df, [key], [seq], {"__best": ("max", best)}, chunk_rows)
+    rows = ordered(df, [key], [seq], chunk_rows)
+    rolled = rows.running({"__best": ("max", best)}).result()
     return rolled.select(
         key,
         seq,
@@ -56,7 +58,8 @@ def rolling_reduce(
     chunk_rows: int = DEFAULT_CHUNK_ROWS,
 ) -> DataFrame:
     """(key, newest timestamp, maximum so far) for each row."""
-    rolled = running(df, [key], [seq], {"__max": ("max", F.col(maximum))}, chunk_rows)
+    rows = ordered(df, [key], [seq], chunk_rows)
+    rolled = rows.running({"__max": ("max", F.col(maximum))}).result()
     return rolled.select(key, seq, newest, F.col("__max").alias(maximum))
 
 
@@ -69,7 +72,8 @@ def running_count(
 ) -> DataFrame:
     """Number of rows so far, per key or over the whole input."""
     keys = [key] if key else []
-    return running(df, keys, [seq], {out: ("count", F.lit(1))}, chunk_rows)
+    rows = ordered(df, keys, [seq], chunk_rows)
+    return rows.running({out: ("count", F.lit(1))}).result()
 
 
 def word_count(lines: DataFrame, column: str = "line") -> DataFrame:

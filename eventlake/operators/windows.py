@@ -6,15 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlake.functions.times import micros
-from eventlake.operators.ordered import (
-    CARRIED_ROW,
-    CHUNK,
-    DEFAULT_CHUNK_ROWS,
-    chunk_window,
-    chunked,
-    running,
-    with_previous_rows,
-)
+from eventlake.operators.ordered import DEFAULT_CHUNK_ROWS, ordered
 
 # A window covers instants up to one millisecond before its end (in micros).
 MILLI = 1_000
@@ -142,15 +134,11 @@ def count_window_avg(
 
     Output: key, seq of the firing row, ``n`` (row number within the key), ``avg``.
     """
-    base = chunked(df.select(key, seq, value), [key], [seq], chunk_rows)
-    numbered = running(base, [key], [seq], {"n": ("count", F.lit(1))}, chunk_rows)
-    rows = with_previous_rows(numbered, [key], [seq], size - 1)
-    frame = chunk_window([key], [seq]).rowsBetween(1 - size, 0)
-    return (
-        rows.withColumn("avg", F.avg(value).over(frame))
-        .where(~F.col(CARRIED_ROW) & (F.col("n") % slide == 0))
-        .select(key, seq, "n", "avg")
+    rows = ordered(df.select(key, seq, value), [key], [seq], chunk_rows)
+    framed = rows.running({"n": ("count", F.lit(1))}).framed(
+        size - 1, lambda w: {"avg": F.avg(value).over(w.rowsBetween(1 - size, 0))}
     )
+    return framed.result().where(F.col("n") % slide == 0).select(key, seq, "n", "avg")
 
 
 def over_rows(
@@ -165,13 +153,11 @@ def over_rows(
 
     ``aggs`` holds aggregate expressions such as ``F.avg("temperature")``.
     """
-    rows = with_previous_rows(df, [key], order, preceding, chunk_rows)
-    frame = chunk_window([key], order).rowsBetween(-preceding, 0)
-    return (
-        rows.select("*", *[a.over(frame).alias(n) for n, a in aggs.items()])
-        .where(~F.col(CARRIED_ROW))
-        .drop(CARRIED_ROW, CHUNK)
-    )
+    rows = ordered(df, [key], order, chunk_rows)
+    return rows.framed(
+        preceding,
+        lambda w: {n: a.over(w.rowsBetween(-preceding, 0)) for n, a in aggs.items()},
+    ).result()
 
 
 def late_split(
@@ -191,9 +177,8 @@ def late_split(
     ``lateness`` before that.
     """
     slide_us = micros(slide or size)
-    seen = running(
-        df, [], [seq], {"__max_ts": ("max", F.col(ts))}, chunk_rows, include_current=False
-    )
+    rows = ordered(df, [], [seq], chunk_rows)
+    seen = rows.running({"__max_ts": ("max", F.col(ts))}, include_current=False).result()
     at = F.unix_micros(F.col(ts))
     last_end = at - F.pmod(at, F.lit(slide_us)) + micros(size)
     watermark = F.unix_micros("__max_ts") - micros(out_of_orderness)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlake.functions.hashing import BITMAP_BITS, bitmap_offset
-from eventlake.operators.ordered import DEFAULT_CHUNK_ROWS, running
+from eventlake.operators.ordered import DEFAULT_CHUNK_ROWS, ordered
 from eventlake.operators.windows import tumbling, tumbling_count
 
 
@@ -111,7 +111,6 @@ def unique_visitors_running(
         .groupBy("window_end", "offset")
         .agg(F.min(seq).alias(seq))
     )
-    counted = running(
-        first_seen, ["window_end"], [seq], {"uv": ("count", F.lit(1))}, chunk_rows
-    )
+    rows = ordered(first_seen, ["window_end"], [seq], chunk_rows)
+    counted = rows.running({"uv": ("count", F.lit(1))}).result()
     return counted.select("window_end", seq, "uv")

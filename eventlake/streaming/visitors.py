@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlake.functions.hashing import BITMAP_BITS, bitmap_offset
-from eventlake.operators.ordered import DEFAULT_CHUNK_ROWS, running
+from eventlake.operators.ordered import DEFAULT_CHUNK_ROWS, ordered
 
 _TOTALS = "window_end TIMESTAMP, total BIGINT, newest BIGINT, batch_id BIGINT"
 
@@ -50,9 +50,8 @@ def number_first_sightings(
         earlier = earlier.where(F.col("batch_id") < batch_id)
         newest = earlier.agg(F.coalesce(F.max("newest"), F.lit(-1)).alias("n")).scalar()
         new = batch.where(F.col("seq") > newest)
-        counted = running(
-            new, ["window_end"], ["seq"], {"n": ("count", F.lit(1))}, chunk_rows
-        )
+        rows = ordered(new, ["window_end"], ["seq"], chunk_rows)
+        counted = rows.running({"n": ("count", F.lit(1))}).result()
         reached = earlier.groupBy("window_end").agg(F.sum("total").alias("__reached"))
         counted.join(reached, "window_end", "left").select(
             "window_end", "seq", (F.col("n") + F.coalesce("__reached", F.lit(0))).alias("uv")
