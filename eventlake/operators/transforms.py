@@ -27,9 +27,21 @@ def filter_prefix(lines: DataFrame, prefix: str, column: str = "line") -> DataFr
     return lines.where(F.col(column).startswith(prefix))
 
 
+def keep(df: DataFrame, predicate: Column, ts: str = "event_time") -> DataFrame:
+    """Filter that leaves a stream's watermark alone.
+
+    Catalyst moves a filter below the watermark unless it uses the event time, and rows dropped
+    there no longer advance it. On streams the predicate is therefore tied to the event time;
+    on batch input it stays plain and reaches the scan.
+    """
+    if df.isStreaming:
+        return df.where(F.when(F.col(ts).isNotNull(), predicate))
+    return df.where(predicate)
+
+
 def page_requests(log: DataFrame) -> DataFrame:
     """GET requests for pages, static assets left out."""
-    return log.where((F.col("method") == "GET") & F.col("url").rlike(PAGE_URL_PATTERN))
+    return keep(log, (F.col("method") == "GET") & F.col("url").rlike(PAGE_URL_PATTERN))
 
 
 def route(df: DataFrame, branches: dict[str, Column]) -> dict[str, DataFrame]:

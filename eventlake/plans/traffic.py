@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from eventlake.functions.hashing import BITMAP_BITS, bitmap_offset
 from eventlake.operators.ordered import DEFAULT_CHUNK_ROWS, ordered
+from eventlake.operators.transforms import keep
 from eventlake.operators.windows import tumbling, tumbling_count
 
 
 def _views(behaviors: DataFrame, behavior: str) -> DataFrame:
-    return behaviors.where(F.col("behavior") == behavior)
+    return keep(behaviors, F.col("behavior") == behavior)
 
 
 def page_views(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eventlake.functions.hashing import BITMAP_BITS, bitmap_offset
 from eventlake.operators.ordered import DEFAULT_CHUNK_ROWS, ordered
+from eventlake.operators.transforms import keep
 
 _TOTALS = "window_end TIMESTAMP, total BIGINT, newest BIGINT, batch_id BIGINT"
 
@@ -23,7 +24,7 @@ def first_sightings(
     """
     offset = bitmap_offset(F.col("userId").cast("string"), bits).alias("offset")
     first = (
-        behaviors.where(F.col("behavior") == behavior)
+        keep(behaviors, F.col("behavior") == behavior)
         .groupBy(F.window("event_time", size), offset)
         .agg(F.min("seq").alias("seq"))
     )

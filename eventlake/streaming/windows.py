@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventlake.functions.times import micros
 from eventlake.operators.topn import top_n_stream
-from eventlake.operators.transforms import page_requests
+from eventlake.operators.transforms import keep, page_requests
 from eventlake.operators.windows import sliding_count, tumbling, tumbling_count
 
 
@@ -43,7 +43,7 @@ def hot_items_stream(
 ) -> DataFrame:
     """The streaming form of `eventlake.plans.hot_items.hot_items`; set the watermark first."""
     counts = (
-        behaviors.where(F.col("behavior") == behavior)
+        keep(behaviors, F.col("behavior") == behavior)
         .groupBy(F.window("event_time", size, slide), "itemId")
         .agg(F.count(F.lit(1)).alias("count"))
     )
