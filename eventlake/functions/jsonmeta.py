@@ -2,40 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Field names of the envelope and of its meta entries (fixed values).
 DATA_FIELD = "data"
 META_FIELD = "meta"
 EXTRA_FIELD = "extra_data"
-PRIORITY_FIELD = "priority"
-VALUE_FIELD = "value"
+ENVELOPE_FIELDS = [DATA_FIELD, META_FIELD, EXTRA_FIELD]
+META_ENTRIES = "map<string,struct<priority:string,value:string>>"
+
 
+def read_envelopes(df: DataFrame, column: str = "value") -> DataFrame:
+    """Add data, meta and extra_data as text, parsing each value once.
 
-def envelope(value: Column) -> Column:
-    """struct(data, meta, extra_data), or NULL when one is missing, null or unreadable."""
-    fields = {
-        name: F.get_json_object(value, f"$.{name}")
-        for name in (DATA_FIELD, META_FIELD, EXTRA_FIELD)
-    }
-    complete = F.lit(True)
-    for field in fields.values():
-        complete = complete & field.isNotNull()
-    return F.when(complete, F.struct(*[c.alias(n) for n, c in fields.items()]))
+    All three are NULL when one of them is missing or null, or the value is no JSON object.
+    """
+    parsed = df.select("*", F.json_tuple(column, *ENVELOPE_FIELDS).alias(*ENVELOPE_FIELDS))
+    complete = reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in ENVELOPE_FIELDS])
+    return parsed.select(
+        *df.columns, *[F.when(complete, F.col(f)).alias(f) for f in ENVELOPE_FIELDS]
+    )
 
 
-def meta_entries(meta: Column) -> Column:
-    """Meta entries in path order as array<struct<neg_priority, pair, key, value>>.
+def with_meta_entries(df: DataFrame, meta: str = META_FIELD, out: str = "entries") -> DataFrame:
+    """Add meta entries in path order as array<struct<neg_priority, pair, key, value>>.
 
     Higher priority first, then ``key=value`` ascending. NULL when the text is no JSON object
     or an entry lacks an integer priority or a value.
     """
-    raw = F.map_entries(F.from_json(meta, "map<string,string>"))
 
     def entry(e: Column) -> Column:
-        text = F.get_json_object(e["value"], f"$.{PRIORITY_FIELD}")
-        value = F.get_json_object(e["value"], f"$.{VALUE_FIELD}")
+        text, value = e["value"]["priority"], e["value"]["value"]
         priority = F.when(text.rlike(r"^[+-]?\d{1,10}$"), text.try_cast("int"))
         return F.struct(
             (-priority.cast("bigint")).alias("neg_priority"),
@@ -44,16 +44,18 @@ def meta_entries(meta: Column) -> Column:
             value.alias("value"),
         )
 
-    entries = F.transform(raw, entry)
+    # Two steps, so that the parsed entries are a column and not parsed again per use.
+    raw = F.map_entries(F.from_json(meta, META_ENTRIES))
+    parsed = df.withColumn("__entries", F.transform(raw, entry))
     valid = F.forall(
-        entries, lambda e: e["neg_priority"].isNotNull() & e["pair"].isNotNull()
+        "__entries", lambda e: e["neg_priority"].isNotNull() & e["pair"].isNotNull()
     )
-    return F.when(valid, F.array_sort(entries))
+    return parsed.withColumn(out, F.when(valid, F.array_sort("__entries"))).drop("__entries")
 
 
-def meta_path(meta: Column) -> Column:
-    """Sub-path such as ``b=7/a=x``; empty for ``{}``, NULL for bad meta."""
-    return F.array_join(F.transform(meta_entries(meta), lambda e: e["pair"]), "/")
+def entries_path(entries: Column) -> Column:
+    """Sub-path such as ``b=7/a=x``; empty for no entries, NULL for bad meta."""
+    return F.array_join(F.transform(entries, lambda e: e["pair"]), "/")
 
 
 def data_pair(data: Column, extra: Column) -> Column:

@@ -10,6 +10,8 @@ from eventlake.operators.ordered import DEFAULT_CHUNK_ROWS, ordered
 
 # A window covers instants up to one millisecond before its end (in micros).
 MILLI = 1_000
+# Windows per row from which a sliding count spreads its result before writing it out.
+SPREAD_FROM = 60
 
 
 def _bounds(window: str = "window") -> list[Column]:
@@ -106,6 +108,11 @@ def sliding_count(
         F.sum("change").over(by_time).alias(out),
         F.lead("at").over(by_time).alias("__until"),
     ).where((F.col(out) > 0) & (F.col("__until") > F.col("at")))
+    if size_us // slide_us >= SPREAD_FROM:
+        # Each level becomes many windows. Spread them first: AQE sizes tasks by what goes in,
+        # and a few keys would otherwise do all the work.
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        levels = levels.repartition(tasks, "at", *keys)
     ends = levels.select(
         *keys,
         F.explode(F.sequence("at", F.col("__until") - slide_us, F.lit(slide_us))).alias(

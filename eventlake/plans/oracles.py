@@ -257,7 +257,8 @@ _SQL: dict[str, str] = {
     "epoch_to_event_time": """SELECT event_id, date_trunc('second', ts) AS from_seconds,
         date_trunc('millisecond', ts) AS from_millis FROM events""",
     "json_envelope": f"WITH {_ENVELOPES} SELECT seq, data, meta, extra_data FROM complete",
-    "json_meta_path": f"WITH {_ENVELOPES} SELECT seq, path FROM paths",
+    "json_meta_path": f"""WITH {_ENVELOPES}
+        SELECT v.seq, path FROM envelopes v LEFT JOIN paths p ON v.seq = p.seq""",
     "json_encode_pair": """SELECT event_id,
         CAST(json_object('data', event_type, 'extraData', props) AS VARCHAR) AS pair
         FROM events""",

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.functions.jsonmeta import data_pair, envelope, meta_entries, meta_path
+from eventlake.functions.jsonmeta import (
+    data_pair,
+    entries_path,
+    read_envelopes,
+    with_meta_entries,
+)
 
 # Sub-paths hidden from scans of the lake root (fixed values).
 META_SUB_PATH = ".meta"
@@ -21,9 +26,7 @@ def route_envelopes(values: DataFrame) -> DataFrame:
     array<struct<key, value>> and is empty for the two hidden paths. Other columns are kept.
     """
     rest = [c for c in values.columns if c not in ("topic", "value")]
-    parsed = values.withColumn("__e", envelope(F.col("value"))).withColumn(
-        "__m", meta_entries(F.col("__e.meta"))
-    )
+    parsed = with_meta_entries(read_envelopes(values), out="__m")
     pairs = F.transform(
         "__m", lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))
     )
@@ -34,11 +37,11 @@ def route_envelopes(values: DataFrame) -> DataFrame:
 
     good = F.array(
         target(
-            F.array_join(F.transform("__m", lambda e: e["pair"]), "/"),
-            data_pair(F.col("__e.data"), F.col("__e.extra_data")),
+            entries_path(F.col("__m")),
+            data_pair(F.col("data"), F.col("extra_data")),
             pairs,
         ),
-        target(F.lit(META_SUB_PATH), data_pair(F.col("__e.meta"), F.lit("")), no_pairs),
+        target(F.lit(META_SUB_PATH), data_pair(F.col("meta"), F.lit("")), no_pairs),
     )
     bad = F.array(
         target(
@@ -66,6 +69,3 @@ def bucketed(routed: DataFrame, at: Column | None = None, **kwargs) -> DataFrame
     return routed.withColumn("dt", dt).withColumn(
         "bucket", F.concat_ws("/", F.nullif("path", F.lit("")), "dt")
     )
-
-
-__all__ = ["bucket_date", "bucketed", "meta_path", "route_envelopes"]

@@ -178,17 +178,14 @@ def partition_id(t):
 
 @_query
 def json_envelope(t):
-    parsed = rec.envelopes(t.events).select(
-        "seq", jsonmeta.envelope(F.col("value")).alias("e")
-    )
-    return parsed.where(F.col("e").isNotNull()).select("seq", "e.*")
+    parsed = jsonmeta.read_envelopes(rec.envelopes(t.events))
+    return parsed.where(F.col("data").isNotNull()).select("seq", *jsonmeta.ENVELOPE_FIELDS)
 
 
 @_query
 def json_meta_path(t):
-    meta = jsonmeta.envelope(F.col("value"))["meta"]
-    paths = rec.envelopes(t.events).select("seq", jsonmeta.meta_path(meta).alias("path"))
-    return paths.where(F.col("path").isNotNull())
+    parsed = jsonmeta.with_meta_entries(jsonmeta.read_envelopes(rec.envelopes(t.events)))
+    return parsed.select("seq", jsonmeta.entries_path(F.col("entries")).alias("path"))
 
 
 @_query

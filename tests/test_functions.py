@@ -65,13 +65,18 @@ def test_hash_goldens(spark):
         ('{"a":{"priority":"high","value":"x"}}', None),
         ('{"a":{"priority":99999999999,"value":"x"}}', None),
         ('{"a":"x"}', None),
+        ('{"a":"x","b":{"priority":1,"value":"y"}}', None),
+        ('{"a":[1],"b":{"priority":1,"value":"y"}}', None),
+        ('{"a":{"priority":1,"value":{"v":2}}}', 'a={"v":2}'),
         ('{"a":null}', None),
         ("[1]", None),
         ("not json", None),
     ],
 )
 def test_meta_path(spark, meta, path):
-    assert one(spark, meta, jsonmeta.meta_path) == path
+    df = spark.createDataFrame([(meta,)], "meta string")
+    found = jsonmeta.with_meta_entries(df).select(jsonmeta.entries_path(F.col("entries")))
+    assert found.first()[0] == path
 
 
 @pytest.mark.parametrize(
@@ -82,13 +87,16 @@ def test_meta_path(spark, meta, path):
         ('{"data":null,"meta":{},"extra_data":"e"}', None),
         ('{"data":1,"meta":{}}', None),
         ('{"data":1,', None),
+        ('{"data":1,"meta":{},"extra_data":"e"', None),
+        ('{"data": {"a": 1},"meta":{},"extra_data":true}', ('{"a":1}', "{}", "true")),
         ("[]", None),
         ("", None),
     ],
 )
 def test_envelope(spark, value, fields):
-    found = one(spark, value, jsonmeta.envelope)
-    assert (found and tuple(found)) == fields
+    df = spark.createDataFrame([(value,)], "value string")
+    found = tuple(jsonmeta.read_envelopes(df).drop("value").first())
+    assert found == (fields or (None, None, None))
 
 
 def test_data_pair_keeps_payloads_as_text(spark):
