@@ -42,6 +42,11 @@ def with_event_time(df: DataFrame, column: str = "timestamp", unit: str = "secon
     return df.withColumn("event_time", event_time(F.col(column), unit))
 
 
+def with_processing_time(df: DataFrame, out: str = "event_time") -> DataFrame:
+    """Use the time of processing as the time column; results depend on when the job runs."""
+    return df.withColumn(out, F.current_timestamp())
+
+
 def access_log(
     lines: DataFrame, column: str = "line", zone: str = "UTC", keep: Sequence[str] = ()
 ) -> DataFrame:

@@ -408,7 +408,7 @@ _SQL: dict[str, str] = {
                                      - INTERVAL 3 SECONDS FROM events)""",
     "raw_route": f"WITH {_ENVELOPES} SELECT seq, path, topic, data FROM routed",
     "raw_bucket_rows": f"""WITH {_ENVELOPES} SELECT path,
-        strftime(at_time + INTERVAL 8 HOURS, '%Y-%m-%d') AS dt, data AS line FROM routed""",
+        strftime(at_time + INTERVAL 8 HOURS, '%Y-%m') AS dt, data AS line FROM routed""",
     "udaf_avg": f"""WITH {_READINGS} SELECT id,
         {_avg6('sum(cents)', 'count(*)')} AS avg_temp FROM readings GROUP BY id""",
     "udf_hash_code": f"""WITH {_KEYED}, hashed AS (
@@ -435,5 +435,15 @@ _SQL: dict[str, str] = {
 }
 
 
+_SQL["count_window_avg_stream"] = _SQL["count_window_avg"]
+_SQL["retract_changelog_stream"] = _SQL["retract_changelog"]
+_SQL["count_avg_update_stream"] = _SQL["group_count_avg"]
+_SQL["over_rows_stream"] = f"""WITH {_READINGS}, framed AS (
+  SELECT id, seq, count(id) OVER w AS n, sum(cents) OVER w AS total
+  FROM readings WINDOW w AS (PARTITION BY id ORDER BY seq
+                             ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
+SELECT id, seq, n AS "count", {_avg6('total', 'n')} AS avg FROM framed"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)

@@ -537,7 +537,7 @@ def raw_route(t):
 
 def _bucketed(t: _Tables) -> DataFrame:
     routed = raw_zone.route_envelopes(rec.envelopes(t.events))
-    return raw_zone.bucketed(routed, F.col("at"))
+    return raw_zone.bucketed(routed, F.col("at"), date_format="yyyy-MM")
 
 
 @_query
@@ -675,3 +675,44 @@ def uv_running_stream(t):
     )
     schema = "window_end TIMESTAMP, seq BIGINT, uv BIGINT"
     return t.spark.read.schema(schema).parquet(f"{path}/uv/*")
+
+
+@_query
+def count_window_avg_stream(t):
+    averaged = run.drain(
+        processors.count_window_avg_stream(
+            rec.sensor_readings(t.stream("events")), "id", "temperature"
+        )
+    )
+    return averaged.withColumn("avg", F.round("avg", 6))
+
+
+@_query
+def over_rows_stream(t):
+    over = run.drain(
+        processors.over_rows_stream(rec.sensor_readings(t.stream("events")), "id", "temperature")
+    )
+    return over.select("id", "seq", "count", F.round("avg", 6).alias("avg"))
+
+
+@_query
+def retract_changelog_stream(t):
+    changes = run.drain(
+        processors.changelog_stream(rec.sensor_readings(t.stream("events")), "id", "temperature")
+    )
+    return changes.withColumn("sum", F.round("sum", 2))
+
+
+@_query
+def count_avg_update_stream(t):
+    path = shared_dir(t.spark, "updates")
+    readings = rec.exact_readings(t.stream("events"))
+    run.drain_batches(
+        rolling.group_count_avg(readings, "id", "temperature"),
+        run.write_batch_folder(path),
+        mode="update",
+    )
+    newest = run.latest_update(
+        t.spark, path, "id BIGINT, count BIGINT, avg DECIMAL(16,6)", ["id"]
+    )
+    return newest.withColumn("avg", F.col("avg").cast("double"))

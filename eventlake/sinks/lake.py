@@ -113,8 +113,15 @@ def lake_batches(base: str, **kwargs) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def _decoded(name: Column) -> Column:
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def read_lake_lines(spark: SparkSession, base: str, hidden: bool = True) -> DataFrame:
-    """(path, dt, line) of every bucket, with the hidden ones unless told otherwise."""
+    """(path, dt, line) of every bucket, with the hidden ones unless told otherwise.
+
+    ``path`` is the path the rows were routed to, whatever layout holds them.
+    """
     roots = [base]
     if hidden:
         roots += [r for r in (f"{base}/{META_SUB_PATH}", f"{base}/{ERROR_SUB_PATH}")]
@@ -130,9 +137,11 @@ def read_lake_lines(spark: SparkSession, base: str, hidden: bool = True) -> Data
             found.unionByName(lines.select("value", "_metadata.file_path"))
         )
     marker = base.rstrip("/").rsplit("/", 1)[-1]
-    below = F.substring_index("file_path", f"/{marker}/", -1)
+    # The metadata column encodes folder names, which themselves escape special characters.
+    below = F.substring_index(_decoded(F.col("file_path")), f"/{marker}/", -1)
+    folders = F.regexp_extract(below, r"^(?:(.*)/)?dt=[^/]*/", 1)
     return found.select(
-        F.regexp_extract(below, r"^(?:(.*)/)?dt=[^/]*/", 1).alias("path"),
+        _decoded(F.regexp_replace(folders, "^path=", "")).alias("path"),
         F.regexp_extract(below, r"(?:^|/)dt=([^/]*)/", 1).alias("dt"),
         F.col("value").alias("line"),
     )
