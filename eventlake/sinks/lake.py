@@ -15,6 +15,8 @@ from eventlake.plans.raw_zone import ERROR_SUB_PATH, META_SUB_PATH
 
 BATCH = "batch"
 _LINE = "data STRING, extraData STRING"
+# What Spark names the folder of an empty partition value (fixed value).
+_EMPTY = "__HIVE_DEFAULT_PARTITION__"
 _TAKEN = {"data", "extradata", "dt", BATCH, "path"}
 
 
@@ -141,7 +143,9 @@ def read_lake_lines(spark: SparkSession, base: str, hidden: bool = True) -> Data
     below = F.substring_index(_decoded(F.col("file_path")), f"/{marker}/", -1)
     folders = F.regexp_extract(below, r"^(?:(.*)/)?dt=[^/]*/", 1)
     return found.select(
-        _decoded(F.regexp_replace(folders, "^path=", "")).alias("path"),
+        F.replace(
+            _decoded(F.regexp_replace(folders, "^path=", "")), F.lit(_EMPTY), F.lit("")
+        ).alias("path"),
         F.regexp_extract(below, r"(?:^|/)dt=([^/]*)/", 1).alias("dt"),
         F.col("value").alias("line"),
     )
