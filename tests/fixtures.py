@@ -1,6 +1,6 @@
-"""Input rows the jobs are shown on (fixed values), and helpers."""
+"""Input rows the jobs are shown on (readings, logins and clicks are fixed values)."""
 
-HELLO_LINES = ["hello liyuan", "hello world", "hello zazahui", "wo shi da shuai ge", "zhen de c"]
+HELLO_LINES = ["hello there", "hello world", "hello again", "one more line now", "the end c"]
 
 SENSOR_ROWS = [
     ("sensor_1", 1547718199, 35.8),
