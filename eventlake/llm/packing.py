@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +17,8 @@ from eventlake.llm.common import over_texts, written
 WINDOW_TOKENS = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-# Words whose ids a task remembers; it starts anew when there are more.
-REMEMBERED_WORDS = 300_000
+# Words whose ids a worker remembers; it starts anew when there are more.
+REMEMBERED_WORDS = 500_000
 # For each length, how many partner lengths are tried in combinations of three.
 PARTNERS = 8
 _SINGLES = 40  # bits for the sequences of one piece that a task numbers
@@ -32,7 +32,16 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class WordTokens:
-    """Ids of texts, word by word: no token of this kind of tokenizer spans white space."""
+    """Ids of texts, word by word: no token of this kind of tokenizer spans white space.
+
+    New words are encoded many at a time: words of letters end in a token that ends a word, and between
+    others stands a digit that is a token of its own. A
+    full stop or comma after a letter or digit is a token too, so a word before it is encoded once.
+    The tokenizer lower-cases, so words are remembered in lower case (but where a text may hold the
+    name of a special token, which is told from other text by its case).
+    """
+
+    SEPARATOR = b"7"
 
     def __init__(self, path: str, most: int = REMEMBERED_WORDS) -> None:
         from tokenizers import Tokenizer
@@ -41,23 +50,105 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         self.most = most
+        (self.separator,) = self._encode([self.SEPARATOR])[0].tolist()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ending = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ending[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.lowers = self._same(b"Aa", b"aa")
+        self.stops = {
+            stop: self._encode([stop])[0].tobytes()
+            for stop in (b".", b",")
+            if self._same(b"a" + stop, b"a " + stop) and self._same(b"7" + stop, b"7 " + stop)
+        }
+
+    def _encode(self, words: list[bytes]) -> list[np.ndarray]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.asarray(e.ids, dtype="<u4") for e in found]
+
+    def _same(self, a: bytes, b: bytes) -> bool:
+        x, y = self._encode([a, b])
+        return np.array_equal(x, y)
+
+    def _learn(self, new: list[bytes]) -> None:
+        # Words of letters end in a token that ends a word, and hold no other.
+        lettered, others = [], []
+        for w in new:
+            (lettered if w.decode("utf-8", "replace").isalpha() else others).append(w)
+        for start in range(0, len(lettered), 256):
+            self._cut(lettered[start : start + 256], b" ", lambda ids: np.flatnonzero(self.ending[ids]) + 1)
+        between = b" " + self.SEPARATOR + b" "
+        together = [w for w in others if self.SEPARATOR not in w]
+        for start in range(0, len(together), 256):
+            self._cut(together[start : start + 256], between, None)
+        alone = [w for w in others if self.SEPARATOR in w]
+        self.known.update((w, i.tobytes()) for w, i in zip(alone, self._encode(alone)))
+
+    def _cut(self, words: list[bytes], between: bytes, ends: Callable | None) -> None:
+        """Encodes the words as one text and cuts its ids; one by one if they can't be told apart."""
+        (ids,) = self._encode([between.join(words)])
+        if ends is not None:
+            high = ends(ids)
+            low = np.concatenate([[0], high[:-1]])
+        else:
+            cuts = np.flatnonzero(ids == self.separator)
+            low, high = np.append(0, cuts + 1), np.append(cuts, len(ids))
+        if len(high) != len(words):
+            self.known.update((w, i.tobytes()) for w, i in zip(words, self._encode(words)))
+            return
+        data = ids.tobytes()
+        self.known.update(
+            (w, data[a:b]) for w, a, b in zip(words, (low * 4).tolist(), (high * 4).tolist())
+        )
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        words = [t.split() if t else [] for t in texts]
+        numbers, found, sizes = _Numbers(), [], []
+        for text in texts:
+            if text:
+                words = (text.lower() if self.lowers and b"<|" not in text else text).split()
+                found += map(numbers.__getitem__, words)
+                sizes.append(len(words))
+            else:
+                sizes.append(0)
         if len(self.known) > self.most:
             self.known.clear()
-        new = list(set().union(*words).difference(self.known))
-        for start in range(0, len(new), 8192):
-            part = new[start : start + 8192]
-            found = self.tokenizer.encode_batch_fast(
-                [w.decode("utf-8", "replace") for w in part], add_special_tokens=False
-            )
-            self.known.update(
-                (w, np.asarray(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, found)
-            )
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, w)) for w in words]
+        new = numbers.keys() - self.known.keys()
+        stopped = [w for w in new if w[-1:] in self.stops and w[-2:-1].isalnum()]
+        new.difference_update(stopped)
+        new.update(w[:-1] for w in stopped)
+        self._learn(list(new.difference(self.known)))
+        self.known.update((w, self.known[w[:-1]] + self.stops[w[-1:]]) for w in stopped)
+        # Each word's ids are a stretch of ``flat``; the texts' words pick their stretches.
+        encoded = list(map(self.known.__getitem__, numbers))
+        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+        flat = np.frombuffer(b"".join(encoded), dtype="<u4")
+        word = np.array(found, dtype=np.int64)
+        length = lengths[word]
+        ends = np.cumsum(length)
+        at = np.arange(ends[-1] if len(ends) else 0)
+        at += np.repeat((np.cumsum(lengths) - lengths)[word] - (ends - length), length)
+        ids = flat[at]
+        cuts = np.concatenate([[0], ends])[np.cumsum([0, *sizes])].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+
+class _Numbers(dict):
+    """Words numbered as they come up."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+def remembered(path: str) -> WordTokens:
+    """The encoder of this process: tasks that run in one worker after another share its words."""
+    import tokenizers
+
+    encoders = tokenizers.__dict__.setdefault("_encoders_of_tasks", {})
+    if path not in encoders:
+        encoders[path] = WordTokens(path)
+    return encoders[path]
 
 
 def measure(docs: DataFrame, path: str, end_id: int = END_ID, window: int = WINDOW_TOKENS) -> DataFrame:
@@ -72,7 +163,7 @@ def measure(docs: DataFrame, path: str, end_id: int = END_ID, window: int = WIND
     half = window // 2
 
     def work(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordTokens(path)
+        encode = remembered(path)
         part = TaskContext.get().partitionId()
         seen = np.zeros(half, dtype=np.int64)
         single = 0
