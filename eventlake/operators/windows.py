@@ -10,8 +10,12 @@ from eventlake.operators.ordered import DEFAULT_CHUNK_ROWS, ordered
 
 # A window covers instants up to one millisecond before its end (in micros).
 MILLI = 1_000
-# Windows per row from which a sliding count spreads its result before writing it out.
-SPREAD_FROM = 60
+# A sliding count works in blocks of so many window lengths.
+BLOCK_WINDOWS = 4
+
+
+def _floor_div(a: Column, b: int) -> Column:
+    return ((a - F.pmod(a, F.lit(b))) / b).cast("bigint")
 
 
 def _bounds(window: str = "window") -> list[Column]:
@@ -69,8 +73,10 @@ def sliding_count(
 
     Streams use the built-in sliding window. The batch form counts slide-sized panes first and
     turns each pane into two changes: plus its count where it enters a window, minus it where
-    it leaves. A running sum per key gives the count of every window, so two rows per pane are
-    shuffled however many windows overlap (720 for one hour every five seconds).
+    it leaves. A running sum gives the count of every window, so two rows per pane are shuffled
+    however many windows overlap (720 for one hour every five seconds). The sum runs within a key
+    and a block of ``BLOCK_WINDOWS`` window lengths; a pane whose windows reach into the next block
+    is there from its start, so blocks need nothing of each other and a key is never one task.
     """
     size_us, slide_us = micros(size), micros(slide)
     if df.isStreaming or size_us % slide_us:
@@ -88,31 +94,36 @@ def sliding_count(
     panes = df.groupBy(*keys, pane_end.alias("__pane"), enters.alias("__enters")).agg(
         F.count(F.lit(1)).alias("__n")
     )
-    changes = panes.select(
+    block_us = BLOCK_WINDOWS * size_us
+    leaves = F.col("__pane") + size_us
+    blocks = panes.where(F.col("__enters") < leaves).withColumn(
+        "__block",
+        F.explode(
+            F.sequence(
+                _floor_div(F.col("__enters"), block_us), _floor_div(leaves - 1, block_us)
+            )
+        ),
+    )
+    begins, ends_ = F.col("__block") * block_us, (F.col("__block") + 1) * block_us
+    changes = blocks.select(
         *keys,
+        "__block",
         F.explode(
             F.array(
-                F.struct(F.col("__enters").alias("at"), F.col("__n").alias("change")),
                 F.struct(
-                    (F.col("__pane") + size_us).alias("at"), (-F.col("__n")).alias("change")
+                    F.greatest("__enters", begins).alias("at"), F.col("__n").alias("change")
                 ),
+                F.struct(F.least(leaves, ends_).alias("at"), (-F.col("__n")).alias("change")),
             )
         ).alias("__c"),
-    ).select(*keys, "__c.*")
-    # Ordered by time; one row per key and pane edge, so a key's rows are bounded by the time
-    # range, not by its traffic.
-    by_time = Window.partitionBy(*keys).orderBy("at")
+    ).select(*keys, "__block", "__c.*")
+    by_time = Window.partitionBy(*keys, "__block").orderBy("at")
     levels = changes.select(
         *keys,
         "at",
         F.sum("change").over(by_time).alias(out),
         F.lead("at").over(by_time).alias("__until"),
     ).where((F.col(out) > 0) & (F.col("__until") > F.col("at")))
-    if size_us // slide_us >= SPREAD_FROM:
-        # Each level becomes many windows. Spread them first: AQE sizes tasks by what goes in,
-        # and a few keys would otherwise do all the work.
-        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        levels = levels.repartition(tasks, "at", *keys)
     ends = levels.select(
         *keys,
         F.explode(F.sequence("at", F.col("__until") - slide_us, F.lit(slide_us))).alias(

@@ -143,7 +143,7 @@ def _episodes(opens: str, resets: str, source: str, key: str, hours: int) -> str
     return f"""
     marked AS (SELECT *, {opens} AS opens, {resets} AS resets FROM {source}),
     islands AS (SELECT *, count(CASE WHEN resets THEN 1 END) OVER (
-                  PARTITION BY {key} ORDER BY event_time) AS island FROM marked),
+                  PARTITION BY {key} ORDER BY event_time, seq) AS island FROM marked),
     opening AS (SELECT {key}, island, event_time AS at_time FROM islands WHERE opens),
     closing AS (SELECT {key}, island - 1 AS island, event_time AS at_time FROM islands WHERE resets),
     episodes AS (
@@ -164,14 +164,14 @@ def _episodes(opens: str, resets: str, source: str, key: str, hours: int) -> str
 
 
 _RISES = f"""WITH RECURSIVE {_READINGS},
-compared AS (SELECT *, lag(temperature) OVER (PARTITION BY id ORDER BY event_time) AS before
+compared AS (SELECT *, lag(temperature) OVER (PARTITION BY id ORDER BY event_time, seq) AS before
              FROM readings),
 {_episodes('coalesce(before < temperature, false)', 'coalesce(before >= temperature, false)',
            'compared', 'id', 10)}
 SELECT id, s AS rise_start, s + INTERVAL 10 HOURS AS alert_time FROM finished"""
 
 _LOGINS = f"""WITH RECURSIVE logins AS (
-  SELECT user_id, ts AS event_time, event_type = 'error' AS failed FROM events),
+  SELECT user_id, event_id AS seq, ts AS event_time, event_type = 'error' AS failed FROM events),
 {_episodes('failed', 'NOT failed', 'logins', 'user_id', 24)}
 SELECT user_id AS "userId", s AS first_fail, last_at AS last_fail, n AS fail_times"""
 
@@ -361,9 +361,12 @@ _SQL: dict[str, str] = {
         ranked AS (SELECT *, row_number() OVER (
             PARTITION BY window_end ORDER BY "count" DESC, url) AS n FROM counts)
         SELECT window_end, CAST(n AS INT) AS rank, url, "count" FROM ranked WHERE n <= 3""",
-    "hot_pages_late": f"""WITH {_LOG}, {_SEEN}, {_PAGE_WINDOWS}
-        SELECT seq, ip, "userId", event_time, method, url FROM log
-        WHERE {_NOT_ASSET} AND seq NOT IN (SELECT seq FROM page_windows)""",
+    # Late rows are those whose last window was closed too.
+    "hot_pages_late": f"""WITH {_LOG}, {_SEEN}
+        SELECT seq, ip, "userId", event_time, method, url FROM seen
+        WHERE {_NOT_ASSET} AND wm IS NOT NULL
+          AND make_timestamp((epoch_us(event_time) // 5000000 + 120) * 5000000)
+              - INTERVAL 1 MILLISECOND + INTERVAL 1 MINUTE <= wm""",
     "page_views": _PAGE_VIEWS,
     "page_views_salted": _PAGE_VIEWS,
     "unique_visitors": _UV,
@@ -427,8 +430,8 @@ _SQL: dict[str, str] = {
         CAST(arg_max(value, event_id) AS VARCHAR) AS value FROM events GROUP BY user_id""",
     "sink_jdbc_upsert": """SELECT user_id AS id, coalesce(
           arg_max(value, event_id) FILTER (event_type = 'view'),
-          arg_max(value, event_id) FILTER (event_type = 'signup')) AS temp
-        FROM events WHERE event_type IN ('view', 'signup') GROUP BY user_id""",
+          arg_max(value, event_id) FILTER (event_type IS DISTINCT FROM 'view')) AS temp
+        FROM events GROUP BY user_id""",
     "sink_doc_payload": f"""WITH {_KEYED} SELECT CAST(json_object('id', id,
         'temp', CAST(temperature AS VARCHAR), 'ts', CAST(timestamp AS VARCHAR)) AS VARCHAR)
         AS document FROM keyed""",

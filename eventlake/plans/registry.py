@@ -43,7 +43,7 @@ class _Tables:
 
     def stream(self, name: str) -> DataFrame:
         """The table as a stream; a glob, since a stream reads folders or globs only."""
-        path = f"{self.dir}/{name}*.parquet"
+        path = f"{self.dir}/{name[:-1]}[{name[-1]}].parquet"
         return self.spark.readStream.schema(getattr(self, name).schema).parquet(path)
 
 
@@ -171,11 +171,6 @@ def epoch_to_event_time(t):
     )
 
 
-@_query
-def partition_id(t):
-    return transforms.with_partition_id(t.events.select("event_id", "user_id"))
-
-
 @_query
 def json_envelope(t):
     parsed = jsonmeta.read_envelopes(rec.envelopes(t.events))
@@ -367,7 +362,11 @@ def retract_changelog(t):
 @_query
 def rise_alert(t):
     return detect.rise_alert(
-        rec.sensor_readings(t.events), "id", "temperature", RISE_INTERVAL
+        rec.sensor_readings(t.events),
+        "id",
+        "temperature",
+        RISE_INTERVAL,
+        order=("event_time", "seq"),
     )
 
 
@@ -526,7 +525,9 @@ def marketing_total(t):
 
 @_query
 def login_fail(t):
-    return logins.login_failures(rec.login_events(t.events), interval=LOGIN_INTERVAL)
+    return logins.login_failures(
+        rec.login_events(t.events), interval=LOGIN_INTERVAL, order=("event_time", "seq")
+    )
 
 
 @_query
@@ -601,8 +602,9 @@ def sink_jdbc_upsert(t):
     readings = rec.with_times(t.events).select(
         F.col("user_id").alias("id"), F.col("value").alias("temp"), "seq", "event_type"
     )
-    before = upsert.latest_per_key(readings.where(F.col("event_type") == "signup"), ["id"])
-    batch = upsert.latest_per_key(readings.where(F.col("event_type") == VIEW), ["id"])
+    stored = F.coalesce(F.col("event_type") != VIEW, F.lit(True))
+    before = upsert.latest_per_key(readings.where(stored), ["id"])
+    batch = upsert.latest_per_key(readings.where(~stored), ["id"])
     return upsert.merge_latest(before.select("id", "temp"), batch, ["id"])
 
 

@@ -33,10 +33,13 @@ def builder(app: str = "eventlake") -> SparkSession.Builder:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the folder all executors share (``spark.checkpoint.dir``).
 
-    Only where the cluster names none (unit tests) is a local folder made and set.
+    Only on a local master (unit tests) is a local folder made and set where none is named.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="eventlake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/eventlake/{purpose}-{uuid.uuid4().hex}"

@@ -1,12 +1,14 @@
-"""Dated lake buckets: ``<base>/<key=value>/…/dt=<date>`` with one JSON document per line.
+"""Dated lake buckets, with one JSON document per line.
 
-Rows with the same path keys share one write whose partition columns are those keys, so Spark
-creates the nested folders. There are as many writes as there are key lists, not paths.
+A row lies in ``<base>/path=<escaped path>/dt=<date>``; rows of the hidden sub-paths lie likewise below
+those. Key lists that are asked for get nested folders, ``<base>/<key=value>/…/dt=<date>``. Which
+folders a row goes to depends on the row and the arguments only, so a batch that is written again
+replaces itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,21 +22,10 @@ _EMPTY = "__HIVE_DEFAULT_PARTITION__"
 _TAKEN = {"data", "extradata", "dt", BATCH, "path"}
 
 
-def _layout() -> Column:
-    """struct(prefix, keys): rows of one layout go into one write.
-
-    Keys that cannot be columns of one table leave the row to the flat layout (keys NULL).
-    """
-    keys = F.transform("entries", lambda e: e["key"])
-    lowered = F.transform(keys, lambda k: F.lower(k))
-    usable = (F.size(F.array_distinct(lowered)) == F.size(keys)) & ~F.arrays_overlap(
-        lowered, F.array(*[F.lit(t) for t in sorted(_TAKEN)])
-    )
-    hidden = F.size("entries") == 0
-    return F.struct(
-        F.when(hidden, F.col("path")).otherwise(F.lit("")).alias("prefix"),
-        F.when(hidden | usable, keys).alias("keys"),
-    )
+def _nests(keys: Sequence[str]) -> Column:
+    """Rows with just these path keys, in this order."""
+    names = F.transform("entries", lambda e: e["key"])
+    return names == F.array(*[F.lit(k) for k in keys]).cast("array<string>")
 
 
 def write_lake(
@@ -42,50 +33,45 @@ def write_lake(
     base: str,
     batch_id: int | None = None,
     max_records_per_file: int = 0,
-    max_layouts: int = 200,
+    nested: Sequence[Sequence[str]] = (),
 ) -> None:
     """Write `eventlake.plans.raw_zone.bucketed` rows.
 
     With a ``batch_id`` the rows go into a ``batch=N`` folder below the date and replace what an
-    earlier try of the same batch left there. Layouts beyond ``max_layouts`` are written together
-    under ``path=<escaped path>``, so nothing is dropped.
+    earlier try of the same batch left there. There is a write for each key list of ``nested``, one
+    for all other rows, and one for each hidden sub-path.
     """
-    lines = rows.select(
-        "path", "dt", "entries", _layout().alias("layout"), F.from_json("data", _LINE).alias("l")
-    ).persist()
-    try:
-        found = lines.select("layout").distinct().where("layout.keys IS NOT NULL")
-        layouts = [r.layout for r in found.limit(max_layouts).collect()]
-        flat = F.lit(True)
-        for layout in layouts:
-            mine = (F.col("layout.prefix") == layout.prefix) & (
-                F.col("layout.keys") == F.array(*[F.lit(k) for k in layout.keys]).cast(
-                    "array<string>"
-                )
-            )
-            flat = flat & ~F.coalesce(mine, F.lit(False))
-            columns = [
-                F.col("entries")[i]["value"].alias(key) for i, key in enumerate(layout.keys)
-            ]
-            folder = f"{base}/{layout.prefix}" if layout.prefix else base
-            _write(
-                lines.where(mine).select("l.*", *columns, "dt"),
-                folder,
-                [*layout.keys, "dt"],
-                batch_id,
-                max_records_per_file,
-            )
-        rest = lines.where(flat)
-        if not rest.isEmpty():
-            _write(
-                rest.select("l.*", "path", "dt"),
-                base,
-                ["path", "dt"],
-                batch_id,
-                max_records_per_file,
-            )
-    finally:
-        lines.unpersist()
+    for keys in nested:
+        lowered = [k.lower() for k in keys]
+        if not keys or len(set(lowered)) < len(keys) or _TAKEN & set(lowered):
+            raise ValueError(f"{list(keys)} cannot be partition columns")
+    lines = rows.select("path", "dt", "entries", F.from_json("data", _LINE).alias("l"))
+    flat = F.lit(True)
+    for keys in nested:
+        columns = [F.col("entries")[i]["value"].alias(key) for i, key in enumerate(keys)]
+        flat = flat & ~_nests(keys)
+        _write(
+            lines.where(_nests(keys)).select("l.*", *columns, "dt"),
+            base,
+            [*keys, "dt"],
+            batch_id,
+            max_records_per_file,
+        )
+    hidden = {
+        root: (F.col("path") == root) | F.startswith("path", F.lit(f"{root}/"))
+        for root in (META_SUB_PATH, ERROR_SUB_PATH)
+    }
+    visible = flat
+    for mine in hidden.values():
+        visible = visible & ~mine
+    for folder, mine in [(base, visible), *((f"{base}/{r}", m) for r, m in hidden.items())]:
+        _write(
+            lines.where(mine).select("l.*", "path", "dt"),
+            folder,
+            ["path", "dt"],
+            batch_id,
+            max_records_per_file,
+        )
 
 
 def _write(
@@ -144,7 +130,7 @@ def read_lake_lines(spark: SparkSession, base: str, hidden: bool = True) -> Data
     folders = F.regexp_extract(below, r"^(?:(.*)/)?dt=[^/]*/", 1)
     return found.select(
         F.replace(
-            _decoded(F.regexp_replace(folders, "^path=", "")), F.lit(_EMPTY), F.lit("")
+            _decoded(F.regexp_replace(folders, "^(?:[^=]*/)?path=", "")), F.lit(_EMPTY), F.lit("")
         ).alias("path"),
         F.regexp_extract(below, r"(?:^|/)dt=([^/]*)/", 1).alias("dt"),
         F.col("value").alias("line"),

@@ -11,7 +11,7 @@ from eventlake.functions.hashing import BITMAP_BITS, bitmap_offset
 from eventlake.operators.ordered import DEFAULT_CHUNK_ROWS, ordered
 from eventlake.operators.transforms import keep
 
-_TOTALS = "window_end TIMESTAMP, total BIGINT, newest BIGINT, batch_id BIGINT"
+_TOTALS = "window_end TIMESTAMP, total BIGINT"
 
 
 def first_sightings(
@@ -19,16 +19,23 @@ def first_sightings(
 ) -> DataFrame:
     """(window_end, offset, seq): first arrival per window and bitmap position.
 
-    Run it in update mode with the watermark set: a position comes back with every batch that
-    sees it, always with its first arrival.
+    Run it in update mode with the watermark set. A position's state keeps the micro-batch that
+    saw it first and the least arrival number in there; it comes out in that batch only, whatever
+    arrival numbers other batches hold.
     """
     offset = bitmap_offset(F.col("userId").cast("string"), bits).alias("offset")
+    # On a stream this is the micro-batch's time, the same for all its rows and for a replay.
+    batch_time = F.current_timestamp().alias("at")
     first = (
         keep(behaviors, F.col("behavior") == behavior)
-        .groupBy(F.window("event_time", size), offset)
-        .agg(F.min("seq").alias("seq"))
+        .select("event_time", offset, "seq", batch_time)
+        .groupBy(F.window("event_time", size), "offset")
+        .agg(F.min(F.struct("at", "seq")).alias("first"), F.max("at").alias("latest"))
+        .where(F.col("first.at") == F.col("latest"))
+    )
+    return first.select(
+        F.col("window.end").alias("window_end"), "offset", F.col("first.seq").alias("seq")
     )
-    return first.select(F.col("window.end").alias("window_end"), "offset", "seq")
 
 
 def number_first_sightings(
@@ -36,10 +43,10 @@ def number_first_sightings(
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that counts up the visitors of every window.
 
-    Arrival numbers grow from batch to batch, so a sighting is new when its number lies above
-    all earlier batches'. New ones are numbered in arrival order on top of the count their window
-    had reached; counts and newest arrival per window and batch are kept with the output, under
-    ``path`` on shared storage. Results: ``path/uv/batch-N`` with (window_end, seq, uv).
+    A batch holds new sightings only. They are numbered in arrival order on top of the count
+    their window had reached; each batch keeps the counts of all windows so far, so the next reads
+    those of one batch. Results, under ``path`` on shared storage: ``path/uv/batch-N`` with
+    (window_end, seq, uv).
     """
 
     def number(batch: DataFrame, batch_id: int) -> None:
@@ -47,20 +54,16 @@ def number_first_sightings(
         if batch_id == 0:
             earlier = spark.createDataFrame([], _TOTALS)
         else:
-            earlier = spark.read.schema(_TOTALS).parquet(f"{path}/totals/*")
-        earlier = earlier.where(F.col("batch_id") < batch_id)
-        newest = earlier.agg(F.coalesce(F.max("newest"), F.lit(-1)).alias("n")).scalar()
-        new = batch.where(F.col("seq") > newest)
-        rows = ordered(new, ["window_end"], ["seq"], chunk_rows)
+            earlier = spark.read.schema(_TOTALS).parquet(f"{path}/totals/batch-{batch_id - 1}")
+        rows = ordered(batch, ["window_end"], ["seq"], chunk_rows)
         counted = rows.running({"n": ("count", F.lit(1))}).result()
-        reached = earlier.groupBy("window_end").agg(F.sum("total").alias("__reached"))
+        reached = earlier.select("window_end", F.col("total").alias("__reached"))
         counted.join(reached, "window_end", "left").select(
             "window_end", "seq", (F.col("n") + F.coalesce("__reached", F.lit(0))).alias("uv")
         ).write.mode("overwrite").parquet(f"{path}/uv/batch-{batch_id}")
-        new.groupBy("window_end").agg(
-            F.count(F.lit(1)).alias("total"), F.max("seq").alias("newest")
-        ).withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode(
-            "overwrite"
-        ).parquet(f"{path}/totals/batch-{batch_id}")
+        new = batch.groupBy("window_end").agg(F.count(F.lit(1)).alias("total"))
+        earlier.unionByName(new).groupBy("window_end").agg(
+            F.sum("total").alias("total")
+        ).write.mode("overwrite").parquet(f"{path}/totals/batch-{batch_id}")
 
     return number

@@ -4,13 +4,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from eventlake.plans import oracles, registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = registry.queries(), oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -30,9 +31,9 @@ def sorted_frame(df):
     return df.sort_values(list(df.columns), ignore_index=True)
 
 
-def test_every_query_but_the_task_index_has_an_oracle():
-    assert set(QUERIES) - set(ORACLES) == {"partition_id"}
-    assert set(ORACLES) <= set(QUERIES)
+def test_every_query_has_an_oracle_and_is_registered():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -46,6 +47,5 @@ def test_query(spark, duck, name):
         assert same.all(), (c, found[~same].head(3), expected[~same].head(3))
 
 
-def test_entry_and_task_index(spark):
+def test_entry(spark):
     assert contract.entry(spark).count() > 0
-    assert QUERIES["partition_id"](spark, SF).count() == 1000

@@ -114,6 +114,25 @@ def test_running_visitors(spark, events, source, chunk_rows):
     assert rows(found) == rows(batch)
 
 
+def test_running_visitors_with_arrival_numbers_out_of_order(spark):
+    """A first sighting counts whatever numbers earlier batches had."""
+    at = "timestamp'2024-01-01 10:00:00'"
+    rows_ = [(0, 1, 10), (0, 2, 11), (1, 3, 5), (1, 4, 12), (2, 1, 1), (2, 5, 2)]
+    df = spark.createDataFrame(rows_, "file int, userId bigint, seq bigint").selectExpr(
+        "file", "userId", "seq", "'view' AS behavior", f"{at} AS event_time"
+    )
+    path = shared_dir(spark, "uv")
+    behaviors = sw.ascending(stream(spark, in_files(spark, df, "file")))
+    run.drain_batches(
+        visitors.first_sightings(behaviors, behavior="view"),
+        visitors.number_first_sightings(path),
+        mode="update",
+    )
+    found = spark.read.parquet(f"{path}/uv/*").collect()
+    assert sorted(r.seq for r in found) == [2, 5, 10, 11, 12]
+    assert sorted(r.uv for r in found) == [1, 2, 3, 4, 5]
+
+
 def test_word_count_in_update_mode(spark):
     lines = spark.createDataFrame([(i, "a b a") for i in range(6)], "i int, line string")
     source = in_files(spark, lines, "i")
