@@ -204,8 +204,14 @@ def train(
         * F.greatest(F.lit(1), F.octet_length("text") - F.lit(most_bytes))
     )
     rank = Window.partitionBy("lang").orderBy("u", "doc_id", "text")
+    usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
+    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    if not sizes:
+        return Network.random([], hidden, seed)
+    # Only rows that may be among the first go to the ranking: a few times the sample, whatever the input.
+    shares = [F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, 4 * documents / n))]
     sample = (
-        labelled.where("lang IS NOT NULL AND text IS NOT NULL")
+        usable.where(seeded_unit(seed, F.col("doc_id")) < F.create_map(*shares)[F.col("lang")])
         .withColumn("text", F.substring(lower, (place + 1).cast("int"), F.lit(most_bytes)))
         .withColumn("u", seeded_unit(seed, F.col("doc_id")))
         .withColumn("rank", F.row_number().over(rank))

@@ -141,7 +141,8 @@ def with_edited(
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
         F.col("doc_id").cast("bigint").alias("doc_id"),
     ).withColumn("at", F.col("k").cast("double"))
-    cuts = ids.approxQuantile("at", [i / blocks for i in range(1, blocks)], 0.25 / blocks)
+    shares = [i / blocks for i in range(1, blocks)]
+    cuts = ids.approxQuantile("at", shares, 0.25 / blocks) if shares else []
     splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
     if len(splits) < 3:
         splits.insert(1, 0.0)

@@ -128,8 +128,8 @@ WITH users AS (
 )
 SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.call_id, a.call_id) AS call_id,
        coalesce(c.turn, a.result_turn) AS turn, c.level,
-       CASE WHEN c.call_id IS NULL THEN 0 ELSE 1 END AS n_calls,
-       CASE WHEN a.call_id IS NULL THEN 0 ELSE 1 END AS n_results,
+       CAST(CASE WHEN c.call_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_calls,
+       CAST(CASE WHEN a.call_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_results,
        CASE WHEN c.call_id IS NULL THEN 'no call' WHEN c.text IS NULL THEN 'text missing'
             WHEN a.call_id IS NULL THEN 'no result' ELSE 'ok' END AS status,
        CASE WHEN c.call_id IS NOT NULL THEN
