@@ -16,36 +16,3 @@ def top_n(
     """
     w = Window.partitionBy(*group).orderBy(F.col(by).desc(), *ties)
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= n)
-
-
-def top_n_stream(
-    counts: DataFrame,
-    by: str,
-    n: int,
-    ties: list[str],
-    shards: int = 64,
-    out: str = "rank",
-) -> DataFrame:
-    """Streaming top-N of closed windows; ``counts`` is an append-mode windowed count.
-
-    ``counts`` needs the ``window`` struct column. Row numbers are not available on streams,
-    so candidates are collected, first per shard of a window, then the ``n`` best of every
-    shard per window: no task holds more than a window's share of one shard.
-    """
-    candidate = F.struct((-F.col(by)).alias("__neg"), *ties, F.col(by))
-    sharded = (
-        counts.withColumn("__shard", F.pmod(F.xxhash64(*ties), F.lit(shards)))
-        .groupBy("window", "__shard")
-        .agg(F.slice(F.array_sort(F.collect_list(candidate)), 1, n).alias("__best"))
-    )
-    merged = sharded.groupBy("window").agg(
-        F.slice(F.array_sort(F.flatten(F.collect_list("__best"))), 1, n).alias("__best")
-    )
-    return merged.select(
-        "window", F.posexplode("__best").alias("__pos", "__row")
-    ).select(
-        F.col("window.start").alias("window_start"),
-        F.col("window.end").alias("window_end"),
-        (F.col("__pos") + 1).alias(out),
-        *[f"__row.{c}" for c in [*ties, by]],
-    )

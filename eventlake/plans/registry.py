@@ -46,6 +46,22 @@ class _Tables:
         path = f"{self.dir}/{name[:-1]}[{name[-1]}].parquet"
         return self.spark.readStream.schema(getattr(self, name).schema).parquet(path)
 
+    def in_batches(self, name: str, order: str, n: int = 3) -> DataFrame:
+        """The table as a stream of several micro-batches, in the order of a number column."""
+        table = getattr(self, name)
+        path = shared_dir(self.spark, f"batches-{name}")
+        cuts = table.approxQuantile(order, [k / n for k in range(1, n)], 0.01)
+        bounds = [-float("inf"), *cuts, float("inf")]
+        for low, high in zip(bounds, bounds[1:], strict=False):
+            part = table.where((F.col(order) > low) & (F.col(order) <= high))
+            part.write.mode("append").parquet(path)
+        files = self.spark.read.parquet(path).select(F.col("_metadata.file_path")).distinct().count()
+        return (
+            self.spark.readStream.schema(table.schema)
+            .option("maxFilesPerTrigger", max(1, files // n))
+            .parquet(path)
+        )
+
 
 _QUERIES: dict[str, Query] = {}
 
@@ -620,13 +636,22 @@ def sink_doc_payload(t):
 
 @_query
 def hot_items_stream(t):
-    behaviors = stream_windows.ascending(rec.user_behaviors(t.stream("events")))
-    return run.drain(stream_windows.hot_items_stream(behaviors, behavior=VIEW))
+    behaviors = stream_windows.ascending(rec.user_behaviors(t.in_batches("events", "event_id")))
+    return stream_windows.drain_hot_items(behaviors, behavior=VIEW)
+
+
+@_query
+def hot_pages_stream(t):
+    lines = rec.access_log_lines(t.in_batches("events", "event_id"), t.pages)
+    log = parse.access_log(lines, keep=["seq"])
+    return stream_windows.drain_hot_pages(
+        stream_windows.with_lateness(log, "3 hours", "1 minute")
+    )
 
 
 @_query
 def unique_visitors_stream(t):
-    behaviors = stream_windows.ascending(rec.user_behaviors(t.stream("events")))
+    behaviors = stream_windows.ascending(rec.user_behaviors(t.in_batches("events", "event_id")))
     return run.drain(traffic.unique_visitors(behaviors, behavior=VIEW))
 
 
@@ -668,7 +693,7 @@ def click_blacklist_stream(t):
 
 @_query
 def uv_running_stream(t):
-    behaviors = stream_windows.ascending(rec.user_behaviors(t.stream("events")))
+    behaviors = stream_windows.ascending(rec.user_behaviors(t.in_batches("events", "event_id")))
     path = shared_dir(t.spark, "uv")
     run.drain_batches(
         visitors.first_sightings(behaviors, behavior=VIEW),

@@ -9,6 +9,7 @@ keys into chunks instead.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -22,11 +23,19 @@ def _arrival_order(rows: Iterator[Row]) -> list[Row]:
 
 
 class _InArrivalOrder(StatefulProcessor):
-    """Handles rows one by one in arrival order, without timers."""
+    """Handles rows one by one in arrival order; state is read and written once for all of them."""
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        self.load()
         for row in _arrival_order(rows):
             yield from self.on_row(key, row)
+        self.store()
+
+    def load(self) -> None:
+        raise NotImplementedError
+
+    def store(self) -> None:
+        raise NotImplementedError
 
     def on_row(self, key: Any, row: Row) -> Iterator[Row]:
         raise NotImplementedError
@@ -42,26 +51,35 @@ class JumpAlert(_InArrivalOrder):
         self.threshold = threshold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "value double")
+        self.state = handle.getValueState("last", "value double")
+
+    def load(self) -> None:
+        self.last = self.state.get()[0] if self.state.exists() else None
+
+    def store(self) -> None:
+        self.state.update((self.last,))
 
     def on_row(self, key: Any, row: Row) -> Iterator[Row]:
-        if self.last.exists():
-            last = self.last.get()[0]
-            if abs(last - row.value) >= self.threshold:
-                yield Row(key=key[0], seq=row.seq, last=last, now=row.value)
-        self.last.update((row.value,))
+        last, self.last = self.last, row.value
+        if last is not None and abs(last - row.value) >= self.threshold:
+            yield Row(key=key[0], seq=row.seq, last=last, now=row.value)
 
 
 class RunningCount(_InArrivalOrder):
     """(key, seq, running_count)."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", "n bigint")
+        self.state = handle.getValueState("count", "n bigint")
+
+    def load(self) -> None:
+        self.n = self.state.get()[0] if self.state.exists() else 0
+
+    def store(self) -> None:
+        self.state.update((self.n,))
 
     def on_row(self, key: Any, row: Row) -> Iterator[Row]:
-        n = (self.count.get()[0] if self.count.exists() else 0) + 1
-        self.count.update((n,))
-        yield Row(key=key[0], seq=row.seq, running_count=n)
+        self.n += 1
+        yield Row(key=key[0], seq=row.seq, running_count=self.n)
 
 
 class RollingReduce(_InArrivalOrder):
@@ -73,12 +91,16 @@ class RollingReduce(_InArrivalOrder):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "at bigint, value double")
 
+    def load(self) -> None:
+        self.so_far = tuple(self.state.get()) if self.state.exists() else None
+
+    def store(self) -> None:
+        self.state.update(self.so_far)
+
     def on_row(self, key: Any, row: Row) -> Iterator[Row]:
         new = (row.at, row.value)
-        if self.state.exists():
-            new = self.reduce(tuple(self.state.get()), new)
-        self.state.update(new)
-        yield Row(key=key[0], seq=row.seq, at=new[0], value=new[1])
+        self.so_far = new if self.so_far is None else self.reduce(self.so_far, new)
+        yield Row(key=key[0], seq=row.seq, at=self.so_far[0], value=self.so_far[1])
 
 
 class Changelog(_InArrivalOrder):
@@ -87,14 +109,17 @@ class Changelog(_InArrivalOrder):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("aggregate", "n bigint, total double")
 
+    def load(self) -> None:
+        self.n, self.total = self.state.get() if self.state.exists() else (0, 0.0)
+
+    def store(self) -> None:
+        self.state.update((self.n, self.total))
+
     def on_row(self, key: Any, row: Row) -> Iterator[Row]:
-        n, total = 0, 0.0
-        if self.state.exists():
-            n, total = self.state.get()
-            yield Row(key=key[0], seq=row.seq, op="-", count=n, sum=total)
-        n, total = n + 1, total + row.value
-        self.state.update((n, total))
-        yield Row(key=key[0], seq=row.seq, op="+", count=n, sum=total)
+        if self.n:
+            yield Row(key=key[0], seq=row.seq, op="-", count=self.n, sum=self.total)
+        self.n, self.total = self.n + 1, self.total + row.value
+        yield Row(key=key[0], seq=row.seq, op="+", count=self.n, sum=self.total)
 
 
 class _RecentRows(_InArrivalOrder):
@@ -106,13 +131,19 @@ class _RecentRows(_InArrivalOrder):
         self.recent = handle.getListState("recent", "value double")
         self.seen = handle.getValueState("seen", "n bigint")
 
-    def push(self, value: float) -> tuple[int, list[float]]:
-        values = [v[0] for v in self.recent.get()] if self.recent.exists() else []
-        values = [*values, value][-self.size :]
-        self.recent.put([(v,) for v in values])
-        n = (self.seen.get()[0] if self.seen.exists() else 0) + 1
-        self.seen.update((n,))
-        return n, values
+    def load(self) -> None:
+        known = self.recent.get() if self.recent.exists() else ()
+        self.values = deque((v[0] for v in known), maxlen=self.size)
+        self.n = self.seen.get()[0] if self.seen.exists() else 0
+
+    def store(self) -> None:
+        self.recent.put([(v,) for v in self.values])
+        self.seen.update((self.n,))
+
+    def push(self, value: float) -> tuple[int, deque]:
+        self.values.append(value)
+        self.n += 1
+        return self.n, self.values
 
 
 class CountWindowAvg(_RecentRows):
@@ -143,32 +174,56 @@ class OverRows(_RecentRows):
 class ClickLimit(_InArrivalOrder):
     """(user, ad, seq, kind): ``pass`` for the first clicks, ``warn`` once, the rest dropped.
 
-    Counting restarts on a new UTC day, or 24 h after the first counted click.
+    Counting restarts on a new UTC day, or 24 h after the first counted click. With ``expires``
+    (event time) a timer at that point clears the state of a pair that is not clicked again.
     """
 
     DAY_US = 86_400_000_000
 
-    def __init__(self, limit: int = 100, reset: str = "calendar_day"):
+    def __init__(self, limit: int = 100, reset: str = "calendar_day", expires: bool = False):
         if reset not in ("calendar_day", "rolling_24h"):
             raise ValueError(f"unknown reset {reset!r}")
-        self.limit, self.reset = limit, reset
+        self.limit, self.reset, self.expires = limit, reset, expires
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("clicks", "first bigint, n bigint")
 
+    def load(self) -> None:
+        self.first, self.n = self.state.get() if self.state.exists() else (None, 0)
+        self.before = self.first
+
+    def store(self) -> None:
+        self.state.update((self.first, self.n))
+        if self.expires and self.first != self.before:
+            self.handle.registerTimer(self._end_ms(self.first))
+
+    def _end_ms(self, first: int) -> int:
+        """The first millisecond at which counting has restarted."""
+        if self.reset == "calendar_day":
+            return (first // self.DAY_US + 1) * self.DAY_US // 1000
+        return (first + self.DAY_US) // 1000 + 1
+
+    def handleExpiredTimer(
+        self, key: Any, timerValues: Any, expiredTimerInfo: Any
+    ) -> Iterator[Row]:
+        # A later click may have started a count of its own, with a timer of its own.
+        if self.state.exists():
+            if self._end_ms(self.state.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+                self.state.clear()
+        return iter(())
+
     def _expired(self, first: int, at: int) -> bool:
         if self.reset == "calendar_day":
             return first // self.DAY_US != at // self.DAY_US
         return at > first + self.DAY_US
 
     def on_row(self, key: Any, row: Row) -> Iterator[Row]:
-        first, n = self.state.get() if self.state.exists() else (row.at, 0)
-        if self._expired(first, row.at):
-            first, n = row.at, 0
-        n += 1
-        if n <= self.limit + 1:
-            self.state.update((first, n))
-            kind = "pass" if n <= self.limit else "warn"
+        if self.first is None or self._expired(self.first, row.at):
+            self.first, self.n = row.at, 0
+        if self.n <= self.limit:
+            self.n += 1
+            kind = "pass" if self.n <= self.limit else "warn"
             yield Row(user=key[0], ad=key[1], seq=row.seq, kind=kind)
 
 
@@ -413,17 +468,29 @@ def over_rows_stream(df: DataFrame, key: str, value: str, preceding: int = 2) ->
 
 
 def click_limit_stream(
-    clicks: DataFrame, limit: int = 100, reset: str = "calendar_day"
+    clicks: DataFrame,
+    limit: int = 100,
+    reset: str = "calendar_day",
+    out_of_orderness: str | None = "1 day",
 ) -> DataFrame:
-    """Passing clicks and warnings in one output, told apart by ``kind``."""
+    """Passing clicks and warnings in one output, told apart by ``kind``.
+
+    Counts are cleared once the watermark, ``out_of_orderness`` behind the newest click, has passed
+    their reset; clicks older than the watermark are dropped. With None nothing is dropped and
+    counts stay.
+    """
     rows = clicks.select(
-        "userId", "adId", "seq", F.unix_micros("event_time").alias("at")
+        "userId", "adId", "seq", "event_time", F.unix_micros("event_time").alias("at")
     )
+    expires = out_of_orderness is not None
+    if expires:
+        rows = rows.withWatermark("event_time", out_of_orderness)
     return _transform(
         rows,
         ["userId", "adId"],
-        ClickLimit(limit, reset),
+        ClickLimit(limit, reset, expires),
         "user bigint, ad bigint, seq bigint, kind string",
+        "EventTime" if expires else "None",
     ).select(F.col("user").alias("userId"), F.col("ad").alias("adId"), "seq", "kind")
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlake.functions.times import micros
-from eventlake.operators.topn import top_n_stream
+from eventlake.operators.topn import top_n
 from eventlake.operators.transforms import keep, page_requests
 from eventlake.operators.windows import sliding_count, tumbling, tumbling_count
+from eventlake.session import shared_dir
+from eventlake.streaming.run import drain_batches, write_batch_folder
 
 
 def ascending(df: DataFrame, ts: str = "event_time") -> DataFrame:
@@ -33,46 +37,64 @@ def with_lateness(
     return df.withWatermark(ts, f"{total // 1000} milliseconds")
 
 
-def hot_items_stream(
-    behaviors: DataFrame,
-    n: int = 5,
-    size: str = "1 hour",
-    slide: str = "5 minutes",
-    behavior: str = "pv",
-    shards: int = 64,
-) -> DataFrame:
-    """The streaming form of `eventlake.plans.hot_items.hot_items`; set the watermark first."""
-    counts = (
-        keep(behaviors, F.col("behavior") == behavior)
-        .groupBy(F.window("event_time", size, slide), "itemId")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
-    ranked = top_n_stream(counts, "count", n, ["itemId"], shards)
-    return ranked.select("window_end", "rank", "itemId", "count")
-
-
-def hot_pages_stream(
-    log: DataFrame,
-    n: int = 3,
-    size: str = "10 minutes",
-    slide: str = "5 seconds",
-    shards: int = 64,
+def ranked_batches(path: str, by: str, n: int, ties: list[str]) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that ranks the windows a micro-batch closes.
+
+    In append mode all counts of a window come out in the one micro-batch that closes it, so the
+    batch form of top-N is all that is needed. A batch that is handed over again replaces itself.
+    """
+    write = write_batch_folder(path)
+
+    def rank(batch: DataFrame, batch_id: int) -> None:
+        ranked = top_n(batch, ["window_end"], by, n, ties)
+        write(ranked.select("window_end", "rank", *ties, by), batch_id)
+
+    return rank
+
+
+def _closed_counts(df: DataFrame, size: str, slide: str, key: str) -> DataFrame:
+    counts = df.groupBy(F.window("event_time", size, slide), key).agg(F.count(F.lit(1)).alias("count"))
+    return counts.select(F.col("window.end").alias("window_end"), key, "count")
+
+
+def _drain_ranked(counts: DataFrame, n: int, key: str, path: str | None) -> DataFrame:
+    spark = counts.sparkSession
+    path = path or shared_dir(spark, "ranked")
+    drain_batches(counts, ranked_batches(path, "count", n, [key]))
+    kind = dict(counts.dtypes)[key]
+    found = spark.read.schema(
+        f"window_end TIMESTAMP, rank INT, {key} {kind}, count BIGINT, batch_id BIGINT"
+    ).parquet(path)
+    return found.drop("batch_id")
+
+
+def hot_item_counts(
+    behaviors: DataFrame, size: str = "1 hour", slide: str = "5 minutes", behavior: str = "pv"
 ) -> DataFrame:
-    """The streaming form of `eventlake.plans.hot_pages.hot_pages`; see `with_lateness`."""
-    counts = (
-        page_requests(log)
-        .groupBy(F.window("event_time", size, slide), "url")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
-    ranked = top_n_stream(counts, "count", n, ["url"], shards)
-    return ranked.select("window_end", "rank", "url", "count")
+    """(window_end, itemId, count) of closed windows; set the watermark first."""
+    return _closed_counts(keep(behaviors, F.col("behavior") == behavior), size, slide, "itemId")
+
+
+def drain_hot_items(behaviors: DataFrame, n: int = 5, path: str | None = None, **kwargs) -> DataFrame:
+    """The streaming form of `eventlake.plans.hot_items.hot_items`, run to the end of its input."""
+    return _drain_ranked(hot_item_counts(behaviors, **kwargs), n, "itemId", path)
+
+
+def hot_page_counts(log: DataFrame, size: str = "10 minutes", slide: str = "5 seconds") -> DataFrame:
+    """(window_end, url, count) of closed windows; see `with_lateness`."""
+    return _closed_counts(page_requests(log), size, slide, "url")
+
+
+def drain_hot_pages(log: DataFrame, n: int = 3, path: str | None = None, **kwargs) -> DataFrame:
+    """The streaming form of `eventlake.plans.hot_pages.hot_pages`, run to the end of its input."""
+    return _drain_ranked(hot_page_counts(log, **kwargs), n, "url", path)
 
 
 __all__ = [
     "ascending",
     "bounded",
-    "hot_items_stream",
-    "hot_pages_stream",
+    "drain_hot_items",
+    "drain_hot_pages",
     "sliding_count",
     "tumbling",
     "tumbling_count",

@@ -73,7 +73,7 @@ def test_min_by(spark, events, source):
 
 def test_hot_items(spark, events, source):
     behaviors = sw.ascending(rec.user_behaviors(stream(spark, source)))
-    found = run.drain(sw.hot_items_stream(behaviors, behavior="view", shards=3))
+    found = sw.drain_hot_items(behaviors, behavior="view")
     batch = hot_items.hot_items(rec.user_behaviors(events), behavior="view")
     assert rows(found) == rows(closed(batch, events))
 
@@ -88,7 +88,7 @@ def test_hot_pages(spark):
         with_event_time(stream(spark, source)), "1 second", "1 minute"
     )
     kwargs = {"size": "1 minute", "slide": "30 seconds"}
-    found = run.drain(sw.hot_pages_stream(requests, **kwargs))
+    found = sw.drain_hot_pages(requests, **kwargs)
     batch = hot_pages.hot_pages(with_event_time(log), **kwargs)
     assert rows(found) == rows(batch.where("url <> '/end'")) and found.count() > 20
 
@@ -195,7 +195,7 @@ def test_click_limit(spark, reset):
     )
     source = in_files(spark, clicks, "seq")
     found = run.drain(
-        processors.click_limit_stream(with_event_time(stream(spark, source)), 1, reset)
+        processors.click_limit_stream(with_event_time(stream(spark, source)), 1, reset, None)
     )
     passed, warned = detect.click_limit(
         with_event_time(clicks), ["userId", "adId"], 1, reset=reset
@@ -204,6 +204,24 @@ def test_click_limit(spark, reset):
     assert rows(found.where("kind = 'warn'").select("seq")) == rows(warned.select("warned_at"))
 
 
+@pytest.mark.parametrize("reset", ["calendar_day", "rolling_24h"])
+def test_click_limit_clears_counts(spark, reset):
+    """Counts are cleared by timer and start again; clicks in order give what the batch gives."""
+    day = 86_400
+    times = [10, 20, 30, day + 5, day + 40, 3 * day, 3 * day + 1, 6 * day, 6 * day + 9, 6 * day + 10]
+    clicks = spark.createDataFrame(
+        [(i, 1 + i % 2 * (at > 5 * day), 7, at) for i, at in enumerate(times)],
+        "seq bigint, userId bigint, adId bigint, timestamp bigint",
+    )
+    source = in_files(spark, clicks, "seq")
+    found = run.drain(
+        processors.click_limit_stream(with_event_time(stream(spark, source)), 1, reset, "1 hour")
+    )
+    passed, warned = detect.click_limit(with_event_time(clicks), ["userId", "adId"], 1, reset=reset)
+    assert rows(found.where("kind = 'pass'").select("seq")) == rows(passed.select("seq"))
+    assert rows(found.where("kind = 'warn'").select("seq")) == rows(warned.select("warned_at"))
+
+
 def test_login_failures_and_rises(spark, events, source):
     data = [(i, *r) for i, r in enumerate([*LOGIN_ROWS, (0, "success", 1558431000)])]
     df = spark.createDataFrame(
