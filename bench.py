@@ -62,8 +62,20 @@ HEADLINE = [
     "sink_latest_per_key",
     "sink_csv_roundtrip",
     "wm_ascending",
+    "raw_bucket_rows",
     "hot_items_stream",
+    "hot_pages_stream",
     "unique_visitors_stream",
+    "temp_jump_alert_stream",
+    "running_count_stream",
+    "rise_alert_stream",
+    "login_fail_stream",
+    "click_blacklist_stream",
+    "uv_running_stream",
+    "count_window_avg_stream",
+    "over_rows_stream",
+    "retract_changelog_stream",
+    "count_avg_update_stream",
 ]
 
 

@@ -36,7 +36,7 @@ def with_meta_entries(df: DataFrame, meta: str = META_FIELD, out: str = "entries
 
     def entry(e: Column) -> Column:
         text, value = e["value"]["priority"], e["value"]["value"]
-        priority = F.when(text.rlike(r"^[+-]?\d{1,10}$"), text.try_cast("int"))
+        priority = F.when(text.rlike(r"^[+-]?0*\d{1,10}$"), text.try_cast("int"))
         return F.struct(
             (-priority.cast("bigint")).alias("neg_priority"),
             F.concat(e["key"], F.lit("="), value).alias("pair"),

@@ -121,6 +121,7 @@ def click_limit(
     warnings = ranked.where(F.col("__n") == limit + 1).select(
         *keys,
         F.col(seq).alias("warned_at"),
+        # Fixed value: the text must match.
         F.lit(f"click over {limit} times.").alias("warning"),
     )
     return passed, warnings

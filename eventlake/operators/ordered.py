@@ -9,11 +9,11 @@ chunk needs from the rows before it is carried over from small tables:
 * `OrderedRows.framed` repeats the last ``n`` rows before a chunk inside it while a frame of ``n``
   preceding rows is computed.
 
-Sizes that are broadcast: a key is hot only above ``chunk_rows`` rows, and a hot key of ``c`` rows
-is cut into at most ``c / chunk_rows + 2`` chunks, so hot keys and chunk totals together stay below
-``4 * rows / chunk_rows`` entries. They are written once to shared storage and read from there, so
-the main plan scans its input once. The leading order column is an integer or a timestamp, and the
-denser a key is along it, the closer its chunks are to ``chunk_rows`` rows.
+Chunks are ranges of nearly equal size: the hot keys' positions are range-partitioned once, and the
+borders are kept, so a burst or an outlier makes no chunk large (rows of one key at one instant stay
+together). There are at most ``rows / chunk_rows`` ranges, and one more for each hot key; borders
+and chunk totals are that many. Borders go to the tasks; totals are written to shared storage and
+joined. The leading order column is an integer or a timestamp.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -53,10 +55,6 @@ def _position(df: DataFrame, order: list[str]) -> Column:
     raise ValueError(f"order column {order[0]!r} must be an integer or timestamp, not {kind}")
 
 
-def _floor_div(a: Column, b: Column) -> Column:
-    return ((a - F.pmod(a, b)) / b).cast("bigint")
-
-
 @dataclass(frozen=True)
 class OrderedRows:
     """Rows with their keys and order; ``cut`` says whether hot keys are cut into chunks."""
@@ -90,7 +88,7 @@ class OrderedRows:
         pairs = [F.col(k).eqNullSafe(F.col(f"__c_{k}")) for k in self.keys]
         match = reduce(lambda a, b: a & b, pairs, F.col(CHUNK) == F.col("__c_chunk"))
         left = self.df if df is None else df
-        return left.join(F.broadcast(carry), match, "left")
+        return left.join(carry, match, "left")
 
     def chunk_keys(self) -> list[Column]:
         return [
@@ -194,43 +192,38 @@ def ordered(
 ) -> OrderedRows:
     """Rows to be handled per key in order; without keys the input is one sequence.
 
-    Runs one aggregate over the key and order columns to find keys above ``chunk_rows`` rows.
+    Runs one aggregate over the key columns to find keys above ``chunk_rows`` rows; keys that share a
+    64-bit hash are cut alike.
     """
-    position = _position(df, order)
-    sizes = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__rows"),
-        F.min(position).alias("__first"),
-        F.max(position).alias("__last"),
-    )
-    hot = sizes.where(F.col("__rows") > chunk_rows).select(
-        *[F.col(k).alias(f"__h_{k}") for k in keys],
-        "__first",
-        # positions per chunk such that an evenly spread key gets chunk_rows rows in each
-        F.greatest(
-            F.ceil(
-                (F.col("__last") - F.col("__first") + 1).cast("double")
-                * chunk_rows
-                / F.col("__rows")
-            ),
-            F.lit(1).cast("bigint"),
-        ).alias("__width"),
-    )
-    if not keys:
-        whole = hot.first()
-        if whole is None:
-            return OrderedRows(df, keys, order, cut=False)
-        first, width = F.lit(whole["__first"]), F.lit(whole["__width"])
-        return OrderedRows(
-            df.withColumn(CHUNK, _floor_div(position - first, width)), keys, order, cut=True
-        )
-    if hot.isEmpty():
+    position = F.coalesce(_position(df, order), F.lit(-(1 << 63)).cast("bigint"))
+    named = F.xxhash64(*keys) if keys else F.lit(0).cast("bigint")
+    narrow = df.select(named.alias("__key"), position.alias("__at"))
+    sizes = narrow.groupBy("__key").agg(F.count(F.lit(1)).alias("__rows"))
+    hot = written(sizes.where(F.col("__rows") > chunk_rows), "hot-keys")
+    rows = hot.agg(F.sum("__rows")).first()[0]
+    if rows is None:
         return OrderedRows(df, keys, order, cut=False)
-    same_key = reduce(
-        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in keys]
-    )
-    # NULL for keys small enough to stay whole
-    chunk = _floor_div(position - F.col("__first"), F.col("__width")).alias(CHUNK)
-    cut = df.join(F.broadcast(written(hot, "hot-keys")), same_key, "left").select(
-        *[F.col(c) for c in df.columns], chunk
+    # Ranges of nearly equal size by key and position; their borders are drawn once and kept.
+    ranges = (
+        narrow.join(hot.select("__key"), "__key", "left_semi")
+        .repartitionByRange(-(-rows // chunk_rows), "__key", "__at")
+        .groupBy("__key", F.spark_partition_id().alias("__range"))
+        .agg(F.min("__at").alias("__from"))
     )
-    return OrderedRows(cut, keys, order, cut=True)
+    borders: dict[int, list[int]] = {}
+    for row in written(ranges.select("__key", "__from"), "chunk-borders").collect():
+        borders.setdefault(row["__key"], []).append(row["__from"])
+    cuts = {key: np.array(sorted(found), dtype=np.int64) for key, found in borders.items()}
+
+    @F.pandas_udf("bigint")
+    def chunk_of(key: pd.Series, at: pd.Series) -> pd.Series:
+        """The chunk of a row, None for keys small enough to stay whole."""
+        keys_, ats = key.to_numpy(np.int64), at.to_numpy(np.int64)
+        found = np.full(len(keys_), -1, dtype=np.int64)
+        for one in np.unique(keys_).tolist():
+            if one in cuts:
+                mine = keys_ == one
+                found[mine] = np.maximum(0, np.searchsorted(cuts[one], ats[mine], "right") - 1)
+        return pd.Series(found, dtype="Int64").mask(found < 0)
+
+    return OrderedRows(df.withColumn(CHUNK, chunk_of(named, position)), keys, order, cut=True)

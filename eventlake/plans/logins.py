@@ -11,6 +11,7 @@ from eventlake.operators.detect import repeated_failures
 
 def warning_text(interval: str, fail_times: Column) -> Column:
     seconds = micros(interval) // 1_000_000
+    # Fixed value: the text must match.
     return F.concat(
         F.lit(f"login fail in {seconds}s for "), fail_times.cast("string"), F.lit(" times")
     )

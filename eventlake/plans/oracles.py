@@ -19,7 +19,7 @@ _CLICKS = """clicks AS (
   FROM events JOIN nation ON user_id % 25 = n_nationkey)"""
 _MARKETING = """marketing AS (
   SELECT event_type AS behavior, ts AS event_time,
-         ['app store', 'wechat', 'weibo'][CAST(props->>'k' AS INT) % 3 + 1] AS channel
+         ['search', 'mail', 'partner'][CAST(props->>'k' AS INT) % 3 + 1] AS channel
   FROM events WHERE event_type = 'error')"""
 _LOG = """log AS (
   SELECT event_id AS seq, '10.0.0.' || (user_id % 256) AS ip,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHANNELS = ["app store", "wechat", "weibo"]
+CHANNELS = ["search", "mail", "partner"]
 
 
 def prop_k() -> Column:

@@ -80,18 +80,6 @@ def unique_visitors_bitmap(
     return tumbling(hashed, size, [], [F.count_distinct("offset").alias("uv")], ts)
 
 
-def unique_visitors_approx(
-    behaviors: DataFrame,
-    size: str = "1 hour",
-    behavior: str = "pv",
-    ts: str = "event_time",
-    relative_sd: float = 0.02,
-) -> DataFrame:
-    """HyperLogLog estimate per window, for when a bounded error is enough."""
-    uv = F.approx_count_distinct("userId", relative_sd).alias("uv")
-    return tumbling(_views(behaviors, behavior), size, [], [uv], ts)
-
-
 def unique_visitors_running(
     behaviors: DataFrame,
     size: str = "1 hour",

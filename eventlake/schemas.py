@@ -1,26 +1,6 @@
-"""Record types as DDL. ``timestamp`` is epoch seconds unless a comment says millis."""
+"""Record types as DDL."""
 
 from __future__ import annotations
 
+# timestamp is epoch seconds
 SENSOR_READING = "id STRING, timestamp BIGINT, temperature DOUBLE"
-USER_BEHAVIOR = (
-    "userId BIGINT, itemId BIGINT, categoryId INT, behavior STRING, timestamp BIGINT"
-)
-LOGIN_EVENT = "userId BIGINT, ip STRING, loginState STRING, timestamp BIGINT"
-AD_CLICK_EVENT = (
-    "userId BIGINT, adId BIGINT, province STRING, city STRING, timestamp BIGINT"
-)
-# timestamp in milliseconds
-MARKETING_USER_BEHAVIOR = (
-    "userId BIGINT, behavior STRING, channel STRING, timestamp BIGINT"
-)
-# timestamp in milliseconds
-ACCESS_LOG_EVENT = (
-    "ip STRING, userId STRING, timestamp BIGINT, method STRING, url STRING"
-)
-TOPIC_VALUE = "topic STRING, value STRING"
-SINK_PATH_DATA = "path STRING, topic STRING, data STRING"
-LOGIN_FAIL_WARNING = (
-    "userId BIGINT, firstFailTime BIGINT, lastFailTime BIGINT, failTimes INT, "
-    "warningMsg STRING"
-)

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def record_text(name: str, columns: dict[str, str]) -> Column:
-    """``Name{id='a', timestamp=1, temperature=2.0}``; columns maps name to type."""
+    """``Name{id='a', timestamp=1, temperature=2.0}`` (fixed format); columns maps name to type."""
     parts: list[Column] = []
     for i, (column, kind) in enumerate(columns.items()):
         quote = "'" if kind == "string" else ""

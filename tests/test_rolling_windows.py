@@ -233,3 +233,18 @@ def test_records_from_the_driver_tables_are_pruned(spark):
     counts = windows.sliding_count(rec.user_behaviors(events), "1 hour", "5 minutes", ["behavior"])
     plan = counts._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string>" in plan
+
+
+def test_an_outlier_makes_no_large_chunk(spark):
+    """One row of a far year, and a burst, leave the chunks near their target."""
+    from eventlake.operators.ordered import CHUNK, ordered
+
+    rows = spark.range(20_000).selectExpr("id AS seq", "1 AS k", "timestamp_seconds(1700000000 + id) AS at")
+    far = spark.sql("SELECT 20000L AS seq, 1 AS k, timestamp'2460-01-01' AS at")
+    found = ordered(rows.union(far), ["k"], ["at"], chunk_rows=1000)
+    sizes = [r["count"] for r in found.df.groupBy(CHUNK).count().collect()]
+    assert found.cut and len(sizes) >= 15 and max(sizes) < 3000
+    counted = found.running({"n": ("count", F.lit(1))}).result()
+    assert counted.where("n <> seq + 1").isEmpty()
+    whole = ordered(rows.union(far), [], ["at"], chunk_rows=1000)
+    assert max(r["count"] for r in whole.df.groupBy(CHUNK).count().collect()) < 3000
