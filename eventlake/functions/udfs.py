@@ -24,6 +24,15 @@ def avg_temp(value: Column) -> Column:
     return F.sum(value) / F.count(value)
 
 
+def avg_temp_sql(value: str) -> str:
+    """`avg_temp` of a SQL expression, to be put into a statement.
+
+    A function registered by name can't hold aggregates, and a grouped pandas function would see a
+    whole group in one task; as text the aggregate stays partial.
+    """
+    return f"sum({value}) / count({value})"
+
+
 def split_words(text: Column, separator: str = "_") -> Column:
     """Table function body: array<struct<word, length>> of the pieces of ``text``."""
     return F.transform(
@@ -50,12 +59,5 @@ class SplitWords:
 
 
 def register(spark: SparkSession) -> None:
-    """Make the aggregate and table functions callable by name in ``spark.sql``.
-
-    The aggregate is a SQL function made of sum and count, so it is partially aggregated.
-    """
-    spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION avg_temp(value DOUBLE) RETURNS DOUBLE "
-        "RETURN sum(value) / count(value)"
-    )
+    """Make the table function callable by name in ``spark.sql``; aggregates have `avg_temp_sql`."""
     spark.udtf.register("split_words", SplitWords)

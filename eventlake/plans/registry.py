@@ -569,8 +569,9 @@ def raw_bucket_rows(t):
 
 @_query
 def udaf_avg(t):
-    averaged = rec.exact_readings(t.events).groupBy("id").agg(
-        udfs.avg_temp(F.col("temperature")).alias("avg_temp")
+    averaged = t.spark.sql(
+        f"SELECT id, {udfs.avg_temp_sql('temperature')} AS avg_temp FROM {{readings}} GROUP BY id",
+        readings=rec.exact_readings(t.events),
     )
     return averaged.withColumn("avg_temp", F.round("avg_temp", 6).cast("double"))
 

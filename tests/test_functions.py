@@ -117,7 +117,9 @@ def test_times(spark):
 def test_udfs_from_sql(spark, sensors):
     udfs.register(spark)
     sensors.createOrReplaceTempView("udf_sensors")
-    mean = spark.sql("SELECT id, avg_temp(temperature) AS a FROM udf_sensors GROUP BY id")
+    mean = spark.sql(
+        f"SELECT id, {udfs.avg_temp_sql('temperature')} AS a FROM udf_sensors GROUP BY id"
+    )
     native = sensors.groupBy("id").agg(udfs.avg_temp(F.col("temperature")).alias("a"))
     expected = {"sensor_1": 36.3, "sensor_6": 20.4, "sensor_7": 5.2, "sensor_10": 38.1}
     for df in (mean, native):
