@@ -1,8 +1,8 @@
-"""Near duplicates by 64-bit SimHash and the general pigeonhole principle."""
+"""Near duplicates by 64-bit SimHash, or by shared shingles, and the general pigeonhole principle."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.llm.common import over_texts, written
+from eventlake.llm.common import over_texts, seeded_unit, written
 from eventlake.llm.components import components
 
 BITS = 64
@@ -19,6 +19,12 @@ MOST_DIFFERING = 2
 HASH_SEED = 42
 # Buckets of at most so many fingerprints are compared pair by pair; larger ones by midpoints.
 PAIRED_BUCKET = 48
+# Shingles of more than COMMON_FROM documents of a seeded share come last in the order of prefixes, so
+# many of them at most. Links depend on none of the three, only the number of candidates does.
+COMMON_SHARE = 0.125
+COMMON_FROM = 1
+COMMON_MOST = 1 << 17
+SET_BLOCK_BYTES = 1 << 20
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -264,7 +270,192 @@ def links(reps: DataFrame, most: int = MOST_DIFFERING) -> DataFrame:
     return paired.union(joined).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def _sets(texts: list[bytes | None], words: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each whole text's shingles; none of a text without words.
+
+    Words are as for the fingerprints; a text of fewer words is one shingle.
+    """
+    known: dict[bytes, int] = {}
+    tokens = [text.lower().split() if text else [] for text in texts]
+    for word in {w for some in tokens for w in some}:
+        known[word] = xxhash.xxh64_intdigest(word, HASH_SEED)
+    out = []
+    for some in tokens:
+        hashes = np.fromiter(map(known.__getitem__, some), dtype=np.uint64, count=len(some))
+        width = min(words, len(some))
+        found = np.full(max(0, len(some) - width + 1) if width else 0, width, dtype=np.uint64)
+        for k in range(width):
+            found *= np.uint64(0x9E3779B97F4A7C15)
+            found += hashes[k : len(some) - width + 1 + k]
+            found ^= found >> np.uint64(32)
+            found *= np.uint64(0xD6E8FEB86659FD93)
+        out.append(np.unique(found))
+    return out
+
+
+def _set_key(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.astype("<u8").tobytes(), HASH_SEED) if len(shingles) else 0
+
+
+def _set_keys(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([_set_key(s) for s in sets], dtype=np.uint64).view(np.int64)
+
+
+def _text_sets(docs: DataFrame, words: int, work: Callable, schema: str, *columns: Column) -> DataFrame:
+    """``work`` on (block, sets) of every block of ``docs``."""
+
+    def each(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks:
+            yield work(block, _sets(block.column("text").to_pylist(), words))
+
+    return over_texts(docs, [*columns, F.col("text").cast("binary").alias("text")], each, schema, SET_BLOCK_BYTES)
+
+
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(low 32 bits of the hash, ascending, and rank) of the commonest shingles, the commonest last.
+
+    Counted over ``COMMON_SHARE`` of the documents. Shingles that share the 32 bits share a rank.
+    """
+
+    def work(block: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
+        every = np.concatenate([np.empty(0, np.uint64), *sets])
+        low, n = np.unique(every.astype(np.uint32), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(low.view(np.int32)), pa.array(n.astype(np.int32))], ["low", "n"])
+
+    some = docs.where(seeded_unit(HASH_SEED, F.col("doc_id")) < COMMON_SHARE)
+    counts = _text_sets(some, words, work, "low INT, n INT").groupBy("low").agg(F.sum("n").alias("n"))
+    top = (
+        counts.where(F.col("n") > COMMON_FROM)
+        .orderBy(F.desc("n"), "low")
+        .limit(COMMON_MOST)
+        .select("low")
+        .toArrow()
+    )  # at most COMMON_MOST rows
+    low = top.column("low").to_numpy().astype(np.int32).view(np.uint32)
+    rank = np.arange(len(low), 0, -1, dtype=np.int64)
+    order = np.argsort(low)
+    return low[order], rank[order]
+
+
+def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(shingle, key, n, at): the first shingles of each document's set of ``n``, and their places.
+
+    Sets of Jaccard similarity ``similarity`` share one of their first ``n - ceil(similarity * n) + 1``
+    shingles in any order common to all sets; here the commonest come last.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
+
+    def work(block: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
+        common, rank = shared.value
+        shingles, rows = [np.empty(0, np.uint64)], []
+        keys = _set_keys(sets)
+        for i, found in enumerate(sets):
+            if not len(found):
+                continue
+            most = len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1
+            ranks = np.zeros(len(found), dtype=np.int64)
+            if len(common):
+                low = found.astype(np.uint32)
+                place = np.minimum(np.searchsorted(common, low), len(common) - 1)
+                ranks = np.where(common[place] == low, rank[place], 0)
+            first = np.lexsort((found, ranks))[:most]
+            shingles.append(found[first])
+            rows.append((keys[i], len(found), len(first)))
+        lengths = [r[2] for r in rows]
+        at = [np.arange(k, dtype=np.int32) for k in lengths]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate(shingles).view(np.int64)),
+                pa.array(np.repeat(np.array([r[0] for r in rows], np.int64), lengths)),
+                pa.array(np.repeat(np.array([r[1] for r in rows], np.int32), lengths)),
+                pa.array(np.concatenate([np.empty(0, np.int32), *at])),
+            ],
+            ["shingle", "key", "n", "at"],
+        )
+
+    return _text_sets(docs, words, work, "shingle BIGINT, key BIGINT, n INT, at INT")
+
+
+def similar_sets(docs: DataFrame, reps: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b), keys of all pairs of distinct shingle sets with a Jaccard similarity of ``similarity`` or more.
+
+    ``reps``: (key, rep), a document for each set; copies are left out. Candidates share a shingle of their prefixes, and the sets' sizes and what is left after the
+    shared place allow the similarity; they are verified on the whole sets.
+    """
+    doc_id = F.col("doc_id").cast("bigint")
+    docs = docs.select(doc_id.alias("doc_id"), "text")
+    one_each = docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    rows = prefixes(one_each, words, similarity)
+    x, y = rows.alias("x"), rows.alias("y")
+    sizes = F.col("x.n") + F.col("y.n")
+    # Of two sets of sizes m and n, the intersection has to reach (m + n) * s / (1 + s).
+    least = sizes * F.lit(similarity / (1 + similarity)) - F.lit(1e-9)
+    left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    pairs = written(
+        x.join(y, F.col("x.shingle") == F.col("y.shingle"))
+        .where((F.col("x.key") < F.col("y.key")) & (F.least("x.n", "y.n") >= least))
+        # The places count only what comes after the first shared shingle; before it none is shared.
+        .groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+        .agg(F.max(left - least).alias("room"), F.first(least).alias("least"))
+        .where("room >= 0")
+        .select("a", "b", "least"),
+        "simhash-candidates",
+    )
+
+    def work(block: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
+        values = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(_set_keys(sets)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
+            ["key", "shingles"],
+        )
+
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    holders = reps.join(wanted, "key", "left_semi").select(F.col("rep").alias("doc_id"))
+    held = docs.join(holders, "doc_id", "left_semi")
+    sets = written(
+        _text_sets(held, words, work, "key BIGINT, shingles ARRAY<BIGINT>")
+        .join(wanted, "key", "left_semi")
+        .groupBy("key")
+        .agg(F.first("shingles").alias("shingles")),
+        "simhash-sets",
+    )
+    both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
+    return both.where(F.size(F.array_intersect("of_a", "of_b")) >= F.col("least")).select("a", "b")
+
+
+def near_duplicates_by_shingles(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(doc_id, component_id) for every row of ``docs``, as `near_duplicates` but by shingle sets.
+
+    Documents link whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity``
+    or more. No pair is lost: at 0.8 the SimHashes of short texts differ in up to 17 of 64 bits and
+    more, where no part of them selects, so candidates come from the pigeonhole on shingles instead.
+    Shingles and sets are told apart by 64-bit hashes. Texts without words are alike.
+    """
+
+    def work(block: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(_set_keys(sets))], ["doc_id", "key"])
+
+    doc_id = F.col("doc_id").cast("bigint")
+    keys = written(_text_sets(docs, words, work, "doc_id BIGINT, key BIGINT", doc_id), "simhash-keys")
+    reps = written(
+        keys.groupBy("key").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "simhash-reps"
+    )
+    joined = written(
+        similar_sets(docs, reps, words, similarity)
+        .join(reps.toDF("a", "rep_a"), "a")
+        .join(reps.toDF("b", "rep_b"), "b")
+        .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")),
+        "simhash-links",
+    )
+    found = components(joined)
+    member = reps.join(found, reps["rep"] == found["node"], "left").select(
+        "key", F.coalesce("component", "rep").alias("component_id")
+    )
+    return keys.join(written(member, "simhash-members"), "key", "left").select("doc_id", "component_id")
+
+
+def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Fingerprints that differ in at most two bits link; the component is the smallest doc_id
@@ -272,7 +463,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     the end. A row without doc_id gets its group's component; a group of such rows only gets null.
     An empty table gives an empty result.
     """
-    fps = written(fingerprints(docs), "simhash-fingerprints")
+    fps = written(fingerprints(docs, words), "simhash-fingerprints")
     reps = written(
         fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "simhash-reps"
     )
@@ -286,11 +477,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(member, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+def keep_one(
+    docs: DataFrame,
+    found: DataFrame | None = None,
+    words: int = SHINGLE_WORDS,
+    similarity: float | None = None,
+) -> DataFrame:
     """``docs`` without the near duplicates: of each component the document it is named after stays.
 
-    Rows without doc_id stay; of rows that repeat the same doc_id all stay or none.
+    With ``similarity`` documents link by their sets of ``words``-word shingles, otherwise by
+    SimHashes. Rows without doc_id stay; of rows that repeat the same doc_id all stay or none.
     """
-    member = near_duplicates(docs) if found is None else found
+    if found is not None:
+        member = found
+    elif similarity is not None:
+        member = near_duplicates_by_shingles(docs, words, similarity)
+    else:
+        member = near_duplicates(docs, words)
     gone = member.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
