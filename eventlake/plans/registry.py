@@ -47,18 +47,26 @@ class _Tables:
         return self.spark.readStream.schema(getattr(self, name).schema).parquet(path)
 
     def in_batches(self, name: str, order: str, n: int = 3) -> DataFrame:
-        """The table as a stream of several micro-batches, in the order of a number column."""
+        """The table as a stream of several micro-batches, in the order of a number column.
+
+        Every micro-batch is one whole part of the table. All parts have the same number of files,
+        filled up with empty ones, and a trigger takes so many; nulls are in the first part.
+        """
         table = getattr(self, name)
         path = shared_dir(self.spark, f"batches-{name}")
         cuts = table.approxQuantile(order, [k / n for k in range(1, n)], 0.01)
         bounds = [-float("inf"), *cuts, float("inf")]
-        for low, high in zip(bounds, bounds[1:], strict=False):
-            part = table.where((F.col(order) > low) & (F.col(order) <= high))
-            part.write.mode("append").parquet(path)
-        files = self.spark.read.parquet(path).select(F.col("_metadata.file_path")).distinct().count()
+        most = max(1, -(-table.rdd.getNumPartitions() // n))
+        for k, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            inside = (F.col(order) > low) & (F.col(order) <= high)
+            part = table.where(inside | F.col(order).isNull() if k == 0 else inside)
+            part.repartitionByRange(most, order).write.mode("append").parquet(path)
+            files = len(self.spark.read.schema(table.schema).parquet(path).inputFiles())
+            for _ in range((k + 1) * most - files):
+                table.limit(0).coalesce(1).write.mode("append").parquet(path)
         return (
             self.spark.readStream.schema(table.schema)
-            .option("maxFilesPerTrigger", max(1, files // n))
+            .option("maxFilesPerTrigger", most)
             .parquet(path)
         )
 
