@@ -39,9 +39,14 @@ def keep(df: DataFrame, predicate: Column, ts: str = "event_time") -> DataFrame:
     return df.where(predicate)
 
 
+def page_request() -> Column:
+    """Whether a request is a GET for a page, not for a static asset."""
+    return (F.col("method") == "GET") & F.col("url").rlike(PAGE_URL_PATTERN)
+
+
 def page_requests(log: DataFrame) -> DataFrame:
     """GET requests for pages, static assets left out."""
-    return keep(log, (F.col("method") == "GET") & F.col("url").rlike(PAGE_URL_PATTERN))
+    return keep(log, page_request())
 
 
 def route(df: DataFrame, branches: dict[str, Column]) -> dict[str, DataFrame]:

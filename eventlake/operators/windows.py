@@ -65,8 +65,9 @@ def sliding_count(
     ts: str = "event_time",
     out: str = "count",
     open_after: Column | None = None,
+    weight: Column | None = None,
 ) -> DataFrame:
-    """Rows per key and sliding window.
+    """Rows per key and sliding window, or the sum of a whole-number ``weight`` of them.
 
     ``open_after`` (epoch micros, batch only) leaves a row out of the windows that end at or
     before it, for rows that arrived after some of their windows were closed.
@@ -79,10 +80,9 @@ def sliding_count(
     is there from its start, so blocks need nothing of each other and a key is never one task.
     """
     size_us, slide_us = micros(size), micros(slide)
+    total = F.count(F.lit(1)) if weight is None else F.sum(weight)
     if df.isStreaming or size_us % slide_us:
-        grouped = df.groupBy(F.window(ts, size, slide), *keys).agg(
-            F.count(F.lit(1)).alias(out)
-        )
+        grouped = df.groupBy(F.window(ts, size, slide), *keys).agg(total.alias(out))
         return grouped.select(*_bounds(), *keys, out)
 
     at = F.unix_micros(F.col(ts))
@@ -92,7 +92,7 @@ def sliding_count(
         next_end = open_after - F.pmod(open_after, F.lit(slide_us)) + slide_us
         enters = F.least(F.greatest(pane_end, next_end), pane_end + size_us)
     panes = df.groupBy(*keys, pane_end.alias("__pane"), enters.alias("__enters")).agg(
-        F.count(F.lit(1)).alias("__n")
+        total.alias("__n")
     )
     block_us = BLOCK_WINDOWS * size_us
     leaves = F.col("__pane") + size_us

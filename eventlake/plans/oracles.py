@@ -213,6 +213,57 @@ SELECT window_end, CAST(rank AS INT) AS rank, "itemId", "count" FROM ranked WHER
 # Windows an append-mode stream has closed when its input ends.
 _CLOSED = "window_end <= (SELECT max(ts) FROM events)"
 
+
+def _part(seq: str, source: str, n: int) -> str:
+    """The micro-batch of a row, where ``n`` of them cover equal ranges of ``seq``."""
+    low, width = f"(SELECT min({seq}) FROM {source})", f"(SELECT max({seq}) - min({seq}) + 1 FROM {source})"
+    return f"(({seq} - {low} + 1) * {n} - 1) // {width}"
+
+
+# Rankings of six micro-batches: windows the watermark reached in one (first), and those it had
+# reached before that a late request of the batch still changed, three hours at most.
+_PAGE_UPDATES = f"""WITH {_LOG},
+parted AS (SELECT *, {_part('seq', 'log', 6)} AS p FROM log),
+marks AS (
+  SELECT b, (SELECT epoch_us(max(event_time)) - 1000000 + 1000 FROM parted WHERE p <= b) AS now
+  FROM range(6) r(b)),
+steps AS (SELECT *, lag(now) OVER (ORDER BY b) AS passed FROM marks),
+counted AS (
+  SELECT url, p, e FROM (
+    SELECT url, p, (epoch_us(event_time) // 5000000 + i) * 5000000 AS e
+    FROM parted, range(1, 121) r(i) WHERE {_NOT_ASSET}) JOIN steps ON b = p
+  WHERE passed IS NULL OR e > passed - 10800000000),
+changed AS (
+  SELECT DISTINCT b, e, CASE WHEN passed IS NULL OR e > passed THEN 'first' ELSE 'corrected' END AS kind
+  FROM counted JOIN steps ON p <= b
+  WHERE e <= now AND (passed IS NULL OR e > passed OR p = b)),
+counts AS (
+  SELECT b, c.e, kind, url, count(*) AS "count"
+  FROM changed c JOIN counted k ON c.e = k.e AND k.p <= c.b GROUP BY b, c.e, kind, url),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY b, e ORDER BY "count" DESC, url) AS n FROM counts)
+SELECT make_timestamp(e) AS window_end, CAST(n AS INT) AS rank, url, "count", kind, b AS batch_id
+FROM ranked WHERE n <= 3"""
+
+_SAME_ROW = """o.window_end = s.window_end AND o.rank = s.rank AND o."itemId" = s."itemId"
+    AND o."count" = s."count" """
+
+# States after each of four micro-batches, and what tells one from the next.
+_RANKED_CHANGES = f"""WITH {_BEHAVIORS},
+parted AS (
+  SELECT {_tumble(21_600_000_000)}, "itemId", {_part('seq', 'behaviors', 4)} AS p FROM behaviors),
+counts AS (
+  SELECT b, window_end, "itemId", count(*) AS "count" FROM parted JOIN range(4) r(b) ON p <= b
+  GROUP BY b, window_end, "itemId"),
+states AS (
+  SELECT * FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY b, window_end ORDER BY "count" DESC, "itemId") AS INT) AS rank
+    FROM counts) WHERE rank <= 5)
+SELECT b AS batch_id, '+' AS op, window_end, rank, "itemId", "count" FROM states s
+WHERE NOT EXISTS (SELECT 1 FROM states o WHERE o.b = s.b - 1 AND {_SAME_ROW})
+UNION ALL
+SELECT b + 1, '-', window_end, rank, "itemId", "count" FROM states s
+WHERE b < 3 AND NOT EXISTS (SELECT 1 FROM states o WHERE o.b = s.b + 1 AND {_SAME_ROW})"""
+
 _JUMPS = f"""WITH {_READINGS}, compared AS (
   SELECT *, lag(temperature) OVER (PARTITION BY id ORDER BY seq) AS before FROM readings)
 SELECT id, seq, before AS "last", temperature AS "now" FROM compared
@@ -384,6 +435,18 @@ _SQL: dict[str, str] = {
         SELECT window_start, window_end, count(DISTINCT "offset") AS uv
         FROM (SELECT {_tumble(3_600_000_000)}, {_OFFSET} AS "offset"
               FROM behaviors WHERE behavior = 'view') GROUP BY window_start, window_end""",
+    "uv_bitmap_daily": f"""WITH {_BEHAVIORS}
+        SELECT window_start, window_end, count(DISTINCT "offset") AS uv
+        FROM (SELECT {_tumble(86_400_000_000)}, {_OFFSET} AS "offset"
+              FROM behaviors WHERE behavior = 'view') GROUP BY window_start, window_end""",
+    "hot_pages_updates_stream": _PAGE_UPDATES,
+    "topn_changelog": _RANKED_CHANGES,
+    "ad_clicks_stream": f"""WITH {_CLICKS} SELECT province, window_end,
+        strftime(window_end, '%Y-%m-%d %H:%M:%S') || '.0' AS window_end_text, "count"
+        FROM ({_sliding('clicks', 3_600_000_000, 300_000_000, 'province')}) WHERE {_CLOSED}""",
+    "marketing_by_channel_stream": f"""WITH {_MARKETING}
+        SELECT channel, behavior, window_end, "count"
+        FROM ({_sliding('marketing', 3_600_000_000, 5_000_000, 'channel, behavior')}) WHERE {_CLOSED}""",
     "uv_running": _UV_RUNNING,
     "uv_running_stream": _UV_RUNNING,
     "ad_clicks_by_province": f"""WITH {_CLICKS} SELECT province, window_end,

@@ -18,7 +18,7 @@ from eventlake.session import shared_dir
 from eventlake.sinks import documents, files, lake, topics, upsert
 from eventlake.sources import files as file_sources
 from eventlake.sources import topics as topic_sources
-from eventlake.streaming import processors, run, visitors
+from eventlake.streaming import processors, ranked, run, visitors
 from eventlake.streaming import windows as stream_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,15 +46,20 @@ class _Tables:
         path = f"{self.dir}/{name[:-1]}[{name[-1]}].parquet"
         return self.spark.readStream.schema(getattr(self, name).schema).parquet(path)
 
-    def in_batches(self, name: str, order: str, n: int = 3) -> DataFrame:
+    def in_batches(self, name: str, order: str, n: int = 3, even: bool = False) -> DataFrame:
         """The table as a stream of several micro-batches, in the order of a number column.
 
         Every micro-batch is one whole part of the table. All parts have the same number of files,
-        filled up with empty ones, and a trigger takes so many; nulls are in the first part.
+        filled up with empty ones, and a trigger takes so many; nulls are in the first part. Parts
+        are about equal in rows or, with ``even``, cover equal ranges of a whole-number column.
         """
         table = getattr(self, name)
         path = shared_dir(self.spark, f"batches-{name}")
-        cuts = table.approxQuantile(order, [k / n for k in range(1, n)], 0.01)
+        if even:
+            low, high = table.agg(F.min(order), F.max(order)).first()
+            cuts = [] if low is None else [low + (high - low + 1) * k // n - 1 for k in range(1, n)]
+        else:
+            cuts = table.approxQuantile(order, [k / n for k in range(1, n)], 0.01)
         bounds = [-float("inf"), *cuts, float("inf")]
         most = max(1, -(-table.rdd.getNumPartitions() // n))
         for k, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
@@ -504,6 +509,12 @@ def uv_bitmap(t):
     return traffic.unique_visitors_bitmap(rec.user_behaviors(t.events), behavior=VIEW)
 
 
+@_query
+def uv_bitmap_daily(t):
+    hourly = traffic.visitor_bitmaps(rec.user_behaviors(t.events), behavior=VIEW)
+    return traffic.bitmap_visitors(traffic.merged_bitmaps(hourly, "1 day"))
+
+
 @_query
 def uv_running(t):
     return traffic.unique_visitors_running(rec.user_behaviors(t.events), behavior=VIEW)
@@ -658,6 +669,32 @@ def hot_pages_stream(t):
     )
 
 
+@_query
+def hot_pages_updates_stream(t):
+    events = t.in_batches("events", "event_id", 6, even=True)
+    log = parse.access_log(rec.access_log_lines(events, t.pages), keep=["seq"])
+    return stream_windows.drain_hot_page_updates(log, lateness="3 hours")
+
+
+@_query
+def topn_changelog(t):
+    events = t.in_batches("events", "event_id", 4, even=True)
+    behaviors = stream_windows.ascending(rec.user_behaviors(events))
+    return ranked.drain_ranked_changes(behaviors, "itemId")
+
+
+@_query
+def ad_clicks_stream(t):
+    clicks = rec.ad_clicks(t.in_batches("events", "event_id"), t.nation)
+    return stream_windows.drain_ad_clicks(stream_windows.ascending(clicks))
+
+
+@_query
+def marketing_by_channel_stream(t):
+    events = stream_windows.ascending(rec.marketing_events(t.in_batches("events", "event_id")))
+    return stream_windows.drain_marketing(events, F.col("behavior") == "error")
+
+
 @_query
 def unique_visitors_stream(t):
     behaviors = stream_windows.ascending(rec.user_behaviors(t.in_batches("events", "event_id")))

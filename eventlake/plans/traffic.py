@@ -67,17 +67,51 @@ def unique_visitors(
     )
 
 
-def unique_visitors_bitmap(
+def visitor_bitmaps(
     behaviors: DataFrame,
     size: str = "1 hour",
     behavior: str = "pv",
     ts: str = "event_time",
     bits: int = BITMAP_BITS,
 ) -> DataFrame:
-    """Distinct bitmap positions per window: users whose ids collide count once."""
+    """(window_start, window_end, bucket, bitmap): each window's visitors as bits of a bitmap of ``bits`` positions.
+
+    The bitmap is in buckets of 32,768 positions (4 KB), only those that have a visitor. Bits are
+    set before the shuffle, so a task sends at most one bitmap for each window and bucket, however many views
+    there are, and a window never has more than ``bits`` / 8 bytes. Bitmaps merge with `merged_bitmaps`.
+    """
     offset = bitmap_offset(F.col("userId").cast("string"), bits)
     hashed = _views(behaviors, behavior).select(ts, offset.alias("offset"))
-    return tumbling(hashed, size, [], [F.count_distinct("offset").alias("uv")], ts)
+    placed = hashed.select(
+        ts,
+        F.bitmap_bucket_number("offset").alias("bucket"),
+        F.bitmap_bit_position("offset").alias("position"),
+    )
+    return tumbling(placed, size, ["bucket"], [F.bitmap_construct_agg("position").alias("bitmap")], ts)
+
+
+def merged_bitmaps(bitmaps: DataFrame, size: str) -> DataFrame:
+    """Bitmaps of windows merged into those of longer windows: visitors of several count once."""
+    at = F.col("window_start").alias("at")
+    return tumbling(
+        bitmaps.select(at, "bucket", "bitmap"), size, ["bucket"], [F.bitmap_or_agg("bitmap").alias("bitmap")], "at"
+    )
+
+
+def bitmap_visitors(bitmaps: DataFrame) -> DataFrame:
+    """(window_start, window_end, uv): how many bits of each window's bitmap are set."""
+    return bitmaps.groupBy("window_start", "window_end").agg(F.sum(F.bitmap_count("bitmap")).alias("uv"))
+
+
+def unique_visitors_bitmap(
+    behaviors: DataFrame,
+    size: str = "1 hour",
+    behavior: str = "pv",
+    ts: str = "event_time",
+    bits: int = BITMAP_BITS,
+) -> DataFrame:
+    """Set bitmap positions per window: users whose ids collide count once."""
+    return bitmap_visitors(visitor_bitmaps(behaviors, size, behavior, ts, bits))
 
 
 def unique_visitors_running(

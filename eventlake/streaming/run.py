@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,10 +57,11 @@ def drain_batches(
     write: Callable[[DataFrame, int], None],
     mode: str = "append",
     checkpoint: str | None = None,
-) -> None:
+) -> int | None:
     """Run a stream to the end of its input, handing every micro-batch to ``write``.
 
     A batch may be handed over again after a failure, so ``write`` has to overwrite by batch id.
+    Returns the last watermark in epoch micros, None where the stream has none.
     """
     spark = stream.sparkSession
     with rocksdb_state(spark):
@@ -71,6 +73,9 @@ def drain_batches(
             .start()
         )
         query.awaitTermination()
+    progress = query.lastProgress
+    reached = (progress.eventTime or {}).get("watermark") if progress else None
+    return int(datetime.fromisoformat(reached).timestamp() * 1000) * 1000 if reached else None
 
 
 def write_batch_folder(path: str) -> Callable[[DataFrame, int], None]:

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.functions.times import micros
+from eventlake.functions.times import format_time, micros
 from eventlake.operators.topn import top_n
-from eventlake.operators.transforms import keep, page_requests
-from eventlake.operators.windows import sliding_count, tumbling, tumbling_count
+from eventlake.operators.transforms import keep, page_request, page_requests
 from eventlake.session import shared_dir
-from eventlake.streaming.run import drain_batches, write_batch_folder
+from eventlake.streaming.panes import CorrectedWindows, drain_closed_windows
+from eventlake.streaming.run import drain_batches
 
 
 def ascending(df: DataFrame, ts: str = "event_time") -> DataFrame:
@@ -37,66 +37,81 @@ def with_lateness(
     return df.withWatermark(ts, f"{total // 1000} milliseconds")
 
 
-def ranked_batches(path: str, by: str, n: int, ties: list[str]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that ranks the windows a micro-batch closes.
+def _ranked(n: int, key: str) -> Callable[[DataFrame], DataFrame]:
+    """Top ``n`` of whole windows, as `ClosedWindows` and `CorrectedWindows` hand them over."""
 
-    In append mode all counts of a window come out in the one micro-batch that closes it, so the
-    batch form of top-N is all that is needed. A batch that is handed over again replaces itself.
-    """
-    write = write_batch_folder(path)
-
-    def rank(batch: DataFrame, batch_id: int) -> None:
-        ranked = top_n(batch, ["window_end"], by, n, ties)
-        write(ranked.select("window_end", "rank", *ties, by), batch_id)
+    def rank(counts: DataFrame) -> DataFrame:
+        kind = ["kind"] if "kind" in counts.columns else []
+        return top_n(counts, ["window_end"], "count", n, [key]).select("window_end", "rank", key, "count", *kind)
 
     return rank
 
 
-def _closed_counts(df: DataFrame, size: str, slide: str, key: str) -> DataFrame:
-    counts = df.groupBy(F.window("event_time", size, slide), key).agg(F.count(F.lit(1)).alias("count"))
-    return counts.select(F.col("window.end").alias("window_end"), key, "count")
-
+def drain_hot_items(
+    behaviors: DataFrame,
+    n: int = 5,
+    path: str | None = None,
+    size: str = "1 hour",
+    slide: str = "5 minutes",
+    behavior: str = "pv",
+) -> DataFrame:
+    """The streaming form of `eventlake.plans.hot_items.hot_items`, run to the end of its input.
 
-def _drain_ranked(counts: DataFrame, n: int, key: str, path: str | None) -> DataFrame:
-    spark = counts.sparkSession
-    path = path or shared_dir(spark, "ranked")
-    drain_batches(counts, ranked_batches(path, "count", n, [key]))
-    kind = dict(counts.dtypes)[key]
-    found = spark.read.schema(
-        f"window_end TIMESTAMP, rank INT, {key} {kind}, count BIGINT, batch_id BIGINT"
-    ).parquet(path)
-    return found.drop("batch_id")
+    Set the watermark first.
+    """
+    views = keep(behaviors, F.col("behavior") == behavior)
+    return drain_closed_windows(views, size, slide, ["itemId"], _ranked(n, "itemId"), path)
 
 
-def hot_item_counts(
-    behaviors: DataFrame, size: str = "1 hour", slide: str = "5 minutes", behavior: str = "pv"
+def drain_hot_pages(
+    log: DataFrame, n: int = 3, path: str | None = None, size: str = "10 minutes", slide: str = "5 seconds"
 ) -> DataFrame:
-    """(window_end, itemId, count) of closed windows; set the watermark first."""
-    return _closed_counts(keep(behaviors, F.col("behavior") == behavior), size, slide, "itemId")
-
+    """The streaming form of `eventlake.plans.hot_pages.hot_pages`, run to the end of its input; see `with_lateness`."""
+    return drain_closed_windows(page_requests(log), size, slide, ["url"], _ranked(n, "url"), path)
+
+
+def drain_hot_page_updates(
+    log: DataFrame,
+    n: int = 3,
+    path: str | None = None,
+    size: str = "10 minutes",
+    slide: str = "5 seconds",
+    out_of_orderness: str = "1 second",
+    lateness: str = "1 minute",
+) -> DataFrame:
+    """(window_end, rank, url, count, kind, batch_id): rankings when windows close, and corrected ones.
 
-def drain_hot_items(behaviors: DataFrame, n: int = 5, path: str | None = None, **kwargs) -> DataFrame:
-    """The streaming form of `eventlake.plans.hot_items.hot_items`, run to the end of its input."""
-    return _drain_ranked(hot_item_counts(behaviors, **kwargs), n, "itemId", path)
+    A late request overwrites its page's count in all its windows that are kept, and these are ranked
+    again; see `CorrectedWindows`. ``log`` has no watermark of its own.
+    """
+    spark = log.sparkSession
+    path = path or shared_dir(spark, "page-updates")
+    updates = CorrectedWindows(
+        path, size, slide, ["url"], out_of_orderness, lateness, _ranked(n, "url"), page_request()
+    )
+    drain_batches(log.select("event_time", "method", "url"), updates)
+    schema = "window_end TIMESTAMP, rank INT, url STRING, count BIGINT, kind STRING, batch_id BIGINT"
+    return spark.read.schema(schema).parquet(f"{path}/updates")
+
+
+def drain_ad_clicks(
+    clicks: DataFrame, size: str = "1 hour", slide: str = "5 minutes", zone: str = "UTC", path: str | None = None
+) -> DataFrame:
+    """The streaming form of `eventlake.plans.ads.clicks_by_province`; set the watermark first."""
 
+    def finish(counts: DataFrame) -> DataFrame:
+        text = format_time(F.col("window_end"), zone).alias("window_end_text")
+        return counts.select("province", "window_end", text, "count")
 
-def hot_page_counts(log: DataFrame, size: str = "10 minutes", slide: str = "5 seconds") -> DataFrame:
-    """(window_end, url, count) of closed windows; see `with_lateness`."""
-    return _closed_counts(page_requests(log), size, slide, "url")
+    return drain_closed_windows(clicks, size, slide, ["province"], finish, path)
 
 
-def drain_hot_pages(log: DataFrame, n: int = 3, path: str | None = None, **kwargs) -> DataFrame:
-    """The streaming form of `eventlake.plans.hot_pages.hot_pages`, run to the end of its input."""
-    return _drain_ranked(hot_page_counts(log, **kwargs), n, "url", path)
+def drain_marketing(
+    events: DataFrame, kept: Column, size: str = "1 hour", slide: str = "5 seconds", path: str | None = None
+) -> DataFrame:
+    """The streaming form of `eventlake.plans.marketing.marketing_by_channel`; set the watermark first."""
 
+    def finish(counts: DataFrame) -> DataFrame:
+        return counts.select("channel", "behavior", "window_end", "count")
 
-__all__ = [
-    "ascending",
-    "bounded",
-    "drain_hot_items",
-    "drain_hot_pages",
-    "sliding_count",
-    "tumbling",
-    "tumbling_count",
-    "with_lateness",
-]
+    return drain_closed_windows(keep(events, kept), size, slide, ["channel", "behavior"], finish, path)

@@ -59,7 +59,7 @@ def closed(df, events, delay="0 seconds"):
 
 def test_windows(spark, events, source):
     readings = sw.bounded(rec.sensor_readings(stream(spark, source)), "2 hours")
-    found = run.drain(sw.tumbling_count(readings, "1 hour", ["id"]))
+    found = run.drain(windows.tumbling_count(readings, "1 hour", ["id"]))
     batch = windows.tumbling_count(rec.sensor_readings(events), "1 hour", ["id"])
     assert rows(found) == rows(closed(batch, events, "2 hours"))
 
