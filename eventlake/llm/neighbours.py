@@ -1,4 +1,4 @@
-"""Near-duplicate embeddings by NN-descent, exact links within groups, and an audit of recall."""
+"""Near-duplicate embeddings by NN-descent, lists enlarged to groups and across them, exact links, an audit of recall."""
 
 from __future__ import annotations
 
@@ -19,10 +19,15 @@ TABLES = 8
 LEAF = 96  # vectors of a starting leaf, about
 ROUNDS = 3
 SETTLED = 0.002  # share of improved list entries below which the graph has settled
-BLOCK = 256  # vectors of a group that a task compares with as many others
-AUDITED = 256  # vectors whose links are counted by brute force
+BLOCK = 256  # vectors of a group that a task compares with as many others, at least
+MOST_BLOCK = 4096  # and at most
+STRIP = 512  # rows of a block compared at once
+AUDITED = 256  # vectors whose links are counted by brute force, and so many more of each size of group:
+AUDITED_OF_SIZE = 16
 LEAST_RECALL = 0.97
 ATTEMPTS = 3
+JOINING = 24  # rounds in which groups are offered each other, at most
+MOST_DOUBLINGS = 3  # of contracted lists that hold nothing but possible links
 SLACK = 0.03  # what quantised cosines may be off
 SEED = 8
 
@@ -230,16 +235,18 @@ def verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return both.select("u", "v", "x", "y").mapInArrow(exact, "a BIGINT, b BIGINT")
 
 
-def links_within(groups: DataFrame, reps: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(id, links): for each vector of a group, how many vectors of it, copies counted, it links to.
+def _blocks(size: Column, block: int) -> Column:
+    """How many blocks a group is cut into: about 16 if it is large, more where they would pass ``MOST_BLOCK``."""
+    each = F.least(F.greatest(F.ceil(size / 16), F.lit(block)), F.lit(max(block, MOST_BLOCK)))
+    return F.ceil(size / each).cast("int")
 
-    ``groups``: (id, component). This is the list of a vector enlarged as far as its group goes. A
-    group is cut into blocks; each pair of blocks is compared by itself, and only counts leave it.
-    """
+
+def _tiles(groups: DataFrame, reps: DataFrame, block: int) -> DataFrame:
+    """The vectors of every group once for each pair of blocks they take part in: as often as it has blocks."""
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    rows = (
+    return (
         groups.join(sizes, "component")
-        .withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+        .withColumn("blocks", _blocks(F.col("size"), block))
         .withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .join(reps.select("id", "vector", "copies"), "id")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -254,32 +261,212 @@ def links_within(groups: DataFrame, reps: DataFrame, threshold: float, block: in
         )
     )
 
+
+def links_within(groups: DataFrame, reps: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(id, links): for each vector of a group, how many vectors of it, copies counted, it links to.
+
+    ``groups``: (id, component). This is the list of a vector enlarged as far as its group goes. A
+    group is cut into blocks; each pair of blocks is compared by itself, and only counts leave it.
+    """
+
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(group["vector"].to_numpy()).astype(np.float64)
         copies, ids = group["copies"].to_numpy(), group["id"].to_numpy()
-        mine, low, high = group["mine"].to_numpy(), group["low"].iloc[0], group["high"].iloc[0]
-        near = x @ x.T >= threshold
-        np.fill_diagonal(near, False)
-        if low != high:  # pairs within a block are counted where it meets itself
-            near &= mine[:, None] != mine[None, :]
-        return pd.DataFrame({"id": ids, "links": near @ copies})
+        mine, within = group["mine"].to_numpy(), group["low"].iloc[0] == group["high"].iloc[0]
+        links = np.zeros(len(ids), dtype=np.int64)
+        for i in range(0, len(x), STRIP):
+            near = x[i : i + STRIP] @ x.T >= threshold
+            at = np.arange(i, i + len(near))
+            near[at - i, at] = False
+            if not within:  # pairs within a block are counted where it meets itself
+                near &= mine[at][:, None] != mine[None, :]
+            links[at] = near @ copies
+        return pd.DataFrame({"id": ids, "links": links})
 
     return (
-        rows.groupBy("component", "low", "high")
+        _tiles(groups, reps, block)
+        .groupBy("component", "low", "high")
         .applyInPandas(compare, "id BIGINT, links BIGINT")
         .groupBy("id")
         .agg(F.sum("links").alias("links"))
     )
 
 
-def audit(reps: DataFrame, found: DataFrame, threshold: float, audited: int = AUDITED, seed: int = SEED) -> float:
-    """Share of true links found, for ``audited`` vectors chosen by hash, each compared with all vectors.
+def edges_within(groups: DataFrame, reps: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): links within ``groups`` (id, component), enough of them to connect whatever is connected.
+
+    From each pair of blocks comes at most one for each vector, to the smallest id it reaches in there.
+    """
+
+    def connect(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id", ignore_index=True)
+        x, ids = np.stack(group["vector"].to_numpy()).astype(np.float64), group["id"].to_numpy()
+        lowest, before = np.arange(len(ids)), None
+        while before is None or (before != lowest).any():
+            before = lowest.copy()
+            for i in range(0, len(x), STRIP):
+                near = x[i : i + STRIP] @ x.T >= threshold
+                at = np.arange(i, i + len(near))
+                near[at - i, at] = True
+                lowest[at] = np.where(near, lowest[None, :], len(ids)).min(axis=1)
+        some = lowest != np.arange(len(ids))
+        return pd.DataFrame({"a": ids[some], "b": ids[lowest[some]]})
+
+    return _tiles(groups, reps, block).groupBy("component", "low", "high").applyInPandas(connect, "a BIGINT, b BIGINT")
+
+
+def edges_between(pairs: DataFrame, blobs: DataFrame, reps: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): for the members of each pair (x, y) of ``blobs`` (id, blob) a link to the other, where there is one.
+
+    The larger of a pair is compared in blocks with the members of all its partners together, so it is copied
+    as often as these make blocks, not once for each of them.
+    """
+    sizes = written(blobs.groupBy("blob").agg(F.count(F.lit(1)).alias("size")), "neighbours-sizes")
+    sized = pairs.join(sizes.toDF("x", "size_x"), "x").join(sizes.toDF("y", "size_y"), "y")
+    turned = F.col("size_x") >= F.col("size_y")
+    large, small = F.when(turned, F.col("x")).otherwise(F.col("y")), F.when(turned, F.col("y")).otherwise(F.col("x"))
+    asked = written(
+        sized.select(large.alias("large"), small.alias("blob")).distinct().join(blobs, "blob").select("large", "id"),
+        "neighbours-partners",
+    )
+    cut = written(
+        asked.groupBy("large")
+        .agg(F.count(F.lit(1)).alias("partners"))
+        .join(sizes.toDF("large", "size"), "large")
+        .select("large", _blocks(F.col("size"), block).alias("of_x"), _blocks(F.col("partners"), block).alias("of_y")),
+        "neighbours-cuts",
+    )
+
+    def side(rows: DataFrame, own: str, other: str, name: int) -> DataFrame:
+        mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
+        theirs = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        return rows.join(cut, "large").select(
+            "large", "id", F.lit(name).alias("side"), mine.alias(own), theirs.alias(other)
+        )
+
+    members = blobs.withColumnRenamed("blob", "large")
+    both = side(members, "of_x", "of_y", 0).unionByName(side(asked, "of_y", "of_x", 1))
 
-    ``found``: (id, links) with links to other vectors, copies counted.
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        own = (group["side"] == 0).to_numpy()
+        x, y = (
+            np.stack(v.to_numpy()).astype(np.float64) if len(v) else np.empty((0, 0))
+            for v in (group["vector"][own], group["vector"][~own])
+        )
+        out_a, out_b = [], []
+        if len(x) and len(y):
+            of_x, of_y = group["id"][own].to_numpy(), group["id"][~own].to_numpy()
+            for i in range(0, len(y), STRIP):
+                near = y[i : i + STRIP] @ x.T >= threshold
+                some = np.flatnonzero(near.any(axis=1))
+                out_a.append(of_y[i + some])
+                out_b.append(of_x[near[some].argmax(axis=1)])
+        return pd.DataFrame({"a": np.concatenate([np.empty(0, np.int64), *out_a]), "b": np.concatenate([np.empty(0, np.int64), *out_b])})
+
+    return (
+        both.join(reps.select("id", "vector"), "id")
+        .groupBy("large", "of_x", "of_y")
+        .applyInPandas(compare, "a BIGINT, b BIGINT")
+    )
+
+
+def _groups_of(edges: DataFrame) -> DataFrame:
+    found = components(edges)
+    return written(found.select(F.col("node").alias("id"), "component").distinct(), "neighbours-groups")
+
+
+def joined_groups(
+    edges: DataFrame, reps: DataFrame, threshold: float, k: int, tables: int, rounds: int = ROUNDS
+) -> DataFrame:
+    """(id, component): the groups of the links (a, b), those made one that hold a link between them.
+
+    A list that is full of its own group's members never reaches another group, however long the group makes
+    it. So each group is contracted to one vector, and NN-descent runs among these and the vectors without
+    a group. A group's radius is the largest angle to its vector: two whose angle passes both radii and the
+    threshold's angle have no link. Others are compared, by their vectors first, then by all their members in blocks. This
+    goes on while groups join, and with longer lists while some list holds nothing but possible links.
+    """
+    forest, doublings = edges, 0
+    for step in range(JOINING):
+        groups = _groups_of(forest)
+        if groups.isEmpty():
+            return groups
+        chosen = F.min_by("id", F.struct(F.xxhash64(F.lit(SEED), "id"), "id"))
+        heads = groups.groupBy("component").agg(chosen.alias("id"))
+        alone = reps.select("id").join(groups.select("id"), "id", "left_anti").select("id", F.col("id").alias("blob"))
+        core = written(heads.select("id", F.col("component").alias("blob")).unionByName(alone), "neighbours-core")
+        some = written(reps.join(core, "id"), "neighbours-contracted")
+        n = some.count()
+        if n < 2:
+            return groups
+        graph = written(start(some, n, k, tables, seed=SEED + 1 + step), "neighbours-graph")
+        for _ in range(rounds):
+            graph, changed = descend(graph, some, k)
+            if changed <= SETTLED * n * k:
+                break
+        centers = some.select(F.col("blob").alias("component"), F.col("vector").alias("center"))
+        dot = F.aggregate(F.zip_with("vector", "center", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+        radii = written(
+            groups.join(reps.select("id", "vector"), "id")
+            .join(centers, "component")
+            .groupBy("component")
+            .agg(F.max(F.acos(F.greatest(F.least(dot, F.lit(1.0)), F.lit(-1.0)))).alias("radius")),
+            "neighbours-radii",
+        )
+        wide = written(
+            core.join(radii, core["blob"] == radii["component"], "left").select(
+                "id", "blob", F.coalesce("radius", F.lit(0.0)).alias("radius")
+            ),
+            "neighbours-radii",
+        )
+        angle = F.lit(float(np.arccos(threshold))) + F.col("radius_u") + F.col("radius_v")
+        near = written(
+            graph.join(wide.toDF("u", "of_u", "radius_u"), "u")
+            .join(wide.toDF("v", "of_v", "radius_v"), "v")
+            .where(F.col("s") >= F.cos(F.least(angle, F.lit(float(np.pi)))) - SLACK),
+            "neighbours-offers",
+        )
+        direct = written(
+            verified(near.where(F.col("s") >= threshold - SLACK).select("u", "v"), reps, threshold), "neighbours-edges"
+        )
+        linked = direct.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        pairs = near.join(linked.unionByName(linked.select(F.col("v").alias("u"), F.col("u").alias("v"))), ["u", "v"], "left_anti")
+        pairs = pairs.select(F.least("of_u", "of_v").alias("x"), F.greatest("of_u", "of_v").alias("y")).distinct()
+        blobs = groups.select("id", F.col("component").alias("blob")).unionByName(alone)
+        between = written(edges_between(pairs, blobs, reps, threshold), "neighbours-between")
+        if direct.isEmpty() and between.isEmpty():
+            full = near.groupBy("u").count().where(F.col("count") >= min(k, n - 1))
+            if k >= n - 1 or doublings == MOST_DOUBLINGS or full.isEmpty():
+                return groups
+            k, doublings = 2 * k, doublings + 1
+            continue
+        again = groups.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        forest = again.unionByName(direct).unionByName(between)
+    return _groups_of(forest)
+
+
+def audit(
+    reps: DataFrame, found: DataFrame, groups: DataFrame, threshold: float, audited: int = AUDITED, seed: int = SEED
+) -> float:
+    """The least share of true links found, of any size of group and of all sampled vectors.
+
+    Some vectors are compared with all: ``audited`` of all, and ``AUDITED_OF_SIZE`` of each size of group (by
+    powers of two, none included), both chosen by hash. A vector's share is its own: large groups hide no
+    lost link of small ones. ``found``: (id, links) with links to other vectors, copies counted.
     """
-    chosen = (
-        reps.select("id", "vector", F.xxhash64(F.lit(seed), "id").alias("h")).orderBy("h", "id").limit(audited).collect()
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    sized = groups.join(sizes, "component").select("id", F.floor(F.log2("size")).cast("int").alias("size"))
+    placed = reps.select("id", F.xxhash64(F.lit(seed), "id").alias("h")).join(sized, "id", "left")
+    placed = placed.withColumn("size", F.coalesce("size", F.lit(-1)))
+    by_size = placed.withColumn("nth", F.row_number().over(Window.partitionBy("size").orderBy("h", "id")))
+    some = (
+        by_size.where(F.col("nth") <= AUDITED_OF_SIZE)
+        .select("id", "size")
+        .union(placed.orderBy("h", "id").limit(audited).select("id", "size"))
+        .distinct()
     )
+    sampled = written(some, "neighbours-audited")
+    chosen = reps.select("id", "vector").join(sampled, "id").collect()  # audited + AUDITED_OF_SIZE * 64 at most
     by_dims: dict[int, tuple[list[int], np.ndarray]] = {}
     for dims in {len(r["vector"]) for r in chosen}:
         some = [r for r in chosen if len(r["vector"]) == dims]
@@ -304,12 +491,14 @@ def audit(reps: DataFrame, found: DataFrame, threshold: float, audited: int = AU
         .groupBy("id")
         .agg(F.sum("true_links").alias("true_links"))
     )
-    sums = (
+    own = (
         true.join(found, "id", "left")
-        .agg(F.sum("true_links").alias("t"), F.sum(F.coalesce("links", F.lit(0))).alias("f"))
-        .first()
+        .join(sampled, "id")
+        .where(F.col("true_links") > 0)
+        .select("size", (F.coalesce("links", F.lit(0)) / F.col("true_links")).alias("share"))
     )
-    return 1.0 if not sums["t"] else sums["f"] / sums["t"]
+    shares = own.groupBy("size").agg(F.avg("share").alias("share")).union(own.agg(F.lit(-2), F.avg("share")))
+    return min((row["share"] for row in shares.collect() if row["share"] is not None), default=1.0)
 
 
 def near_duplicates(
@@ -323,10 +512,12 @@ def near_duplicates(
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding).
 
     Equal vectors are one until the end. NN-descent refines a neighbour graph; its edges that reach the
-    threshold join vectors into groups, within which all links are counted exactly: a full list of
-    links is thereby enlarged to all its group. An audit compares some vectors with all others; if it
-    finds less than ``least_recall`` of the links, the graph is made anew with twice the neighbours
-    and tables, ``ATTEMPTS`` times at most. No pair below the threshold counts.
+    threshold join vectors into groups, and groups that hold a link between them into larger ones
+    (`joined_groups`). Within a group all links are counted exactly: a full list of links is thereby enlarged to
+    all its group. An audit compares some vectors with all others; if it finds less than ``least_recall`` of
+    the links of any size of group, the graph is made anew with twice the neighbours and tables. After ``ATTEMPTS`` such
+    graphs all vectors are compared in blocks, which is exact. Tables grow with the number of vectors.
+    No pair below the threshold counts.
 
     A vector that is null, zero, or holds null or non-finite components links with nothing: 0 links, a
     component of its own, kept. So does a row without vec_id, whose component is null and which is
@@ -335,8 +526,8 @@ def near_duplicates(
     """
     member, reps = distinct_vectors(vectors)
     n = reps.count()
-    k, many = neighbours, tables
-    for attempt in range(ATTEMPTS):
+    k, many = neighbours, tables + max(0, int(np.ceil(np.log2(max(n, 1) / LEAF))))
+    for _ in range(ATTEMPTS):
         graph = written(start(reps, n, k, many), "neighbours-graph")
         for _ in range(rounds):
             graph, changed = descend(graph, reps, k)
@@ -346,13 +537,15 @@ def near_duplicates(
             verified(graph.where(F.col("s") >= threshold - SLACK).select("u", "v"), reps, threshold),
             "neighbours-edges",
         )
-        groups = written(
-            components(edges).select(F.col("node").alias("id"), "component").distinct(), "neighbours-groups"
-        )
+        groups = joined_groups(edges, reps, threshold, k, many, rounds)
         found = written(links_within(groups, reps, threshold), "neighbours-links")
-        if attempt == ATTEMPTS - 1 or audit(reps, found, threshold) >= least_recall:
+        if audit(reps, found, groups, threshold) >= least_recall:
             break
         k, many = 2 * k, 2 * many
+    else:
+        every = reps.select("id", F.col("dims").cast("bigint").alias("component"))
+        groups = _groups_of(edges_within(every, reps, threshold))
+        found = written(links_within(groups, reps, threshold), "neighbours-links")
     each = reps.join(found, "id", "left").join(groups, "id", "left").select(
         F.col("id").alias("rep"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("bigint").alias("links"),

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from eventlake.llm import neighbours
 from tests.llm.conftest import SF
@@ -37,12 +38,48 @@ def test_planted_groups(spark):
     found = neighbours.near_duplicates(df).collect()
     expected = plain(rows)
     assert {r.vec_id for r in found} == set(expected)
-    assert all(r.n_links <= expected[r.vec_id][0] for r in found)
-    assert sum(r.n_links for r in found) >= 0.97 * sum(n for n, _ in expected.values())
-    assert np.mean([r.component_id == expected[r.vec_id][1] for r in found]) > 0.97
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == expected
     assert all(r.kept == (r.vec_id == r.component_id) for r in found)
 
 
+def crowds(size, dims=16, spread=0.012, apart=0.355):
+    """Two groups, each close together, all cosines between them a little above 0.9."""
+    rng = np.random.default_rng(size)
+    one, two = np.zeros(dims), np.zeros(dims)
+    one[0], two[0], two[1] = 1, np.cos(apart), np.sin(apart)
+    vectors = [c + spread * rng.normal(size=dims) for c in (one, two) for _ in range(size)]
+    vectors += list(rng.normal(size=(20, dims)))
+    return [(i, v.tolist()) for i, v in enumerate(vectors)]
+
+
+@pytest.mark.parametrize("size", [120, 1000])
+def test_groups_whose_lists_are_full_of_their_own(spark, size):
+    rows = crowds(size)
+    unit = np.array([np.array(v) / np.linalg.norm(v) for _, v in rows])
+    near = unit @ unit.T >= 0.9
+    assert near[: 2 * size, : 2 * size].all()
+    df = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_duplicates(df).collect()}
+    assert {i: n for i, (n, _) in found.items()} == dict(enumerate((near.sum(axis=1) - 1).tolist()))
+    assert {found[i][1] for i in range(2 * size)} == {0}
+
+
+def test_chain_of_groups_and_exhaustive_search(spark):
+    # Groups in a ring, neighbours linked by some of their members only.
+    rng = np.random.default_rng(9)
+    rows, dims = [], 12
+    for g in range(12):
+        centre = np.zeros(dims)
+        centre[0], centre[1] = np.cos(g * 0.47), np.sin(g * 0.47)
+        rows += [(len(rows) + i, (centre + 0.02 * rng.normal(size=dims)).tolist()) for i in range(40)]
+    expected = plain(rows)
+    df = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_duplicates(df).collect()} == expected
+    # An audit that nothing satisfies ends in the search in blocks.
+    found = neighbours.near_duplicates(df, rounds=1, least_recall=1.1).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == expected
+
+
 def test_given_table(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     expected = plain([(r.vec_id, r.embedding) for r in df.collect()])
