@@ -272,3 +272,17 @@ def predict(
     return over_texts(
         docs, [F.col(c) for c in columns], work, f"{fields}lang_pred STRING, score DOUBLE"
     )
+
+
+def told(found: DataFrame) -> DataFrame:
+    """Rows of ``found`` (text, lang, lang_pred, score) whose language can be told.
+
+    The least score of a labelled row with letters is the limit: rows below it go, and so do rows whose text is null or
+    has no letter. If nothing was learned (no labelled row), all rows with letters stay.
+    """
+    least, rows = found.where(F.col("lang").isNotNull() & (F.col("lang_pred") != UNKNOWN)).agg(
+        F.min("score"), F.count(F.lit(1))
+    ).first()
+    if not rows:
+        return found.where(F.col("text").rlike(r"\p{L}"))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))

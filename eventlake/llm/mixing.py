@@ -62,7 +62,8 @@ def water_fill(
 
     The total is ``share`` of all sizes. Sources whose share reaches ``most_epochs`` times their
     size stop there and the excess goes to the others by weight, until none is above. Only sums
-    reach the driver. If every source is at its cap, the rest of the total is left over.
+    reach the driver. If every source is at its cap, the rest of the total is left over. Targets that have
+    not settled after ``rounds`` rounds are an error.
     """
     cap = F.col("source_size") * most_epochs
     per_weight = 0.0
@@ -84,15 +85,21 @@ def water_fill(
         full = F.col("weight") * per_weight >= cap
         if not sources.where(full).agg(F.count(F.lit(1))).first()[0] > sums["n"]:
             break
+    else:
+        raise RuntimeError(f"targets did not settle in {rounds} rounds")
     target = F.least(F.col("weight") * per_weight, cap)
     return sources.withColumn("target", target.cast("double"))
 
 
-def sized_documents(docs: DataFrame) -> DataFrame:
+def sized_documents(docs: DataFrame, with_rows: bool = False) -> DataFrame:
+    """(doc_id, source, size, digest) of every row, and ``row``, all its columns, if asked for."""
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if with_rows else []
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         word_count(F.col("text")).alias("size"),
+        F.xxhash64("text").alias("digest"),
+        *row,
     )
 
 
@@ -103,15 +110,17 @@ def mix(
     most_epochs: float = MOST_EPOCHS,
     seed: int = SEED,
     slices: int = SLICES,
+    with_rows: bool = False,
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every row of ``docs``.
+    """(doc_id, source, size, source_size, target, taken) for every row of ``docs``, and its ``row`` if asked for.
 
     ``docs`` needs doc_id, source and text. ``taken`` is how many of the document's words the mix takes, repeats
     counted: as many whole repetitions as the source's target holds, and one more for the
     documents that come first in a seeded order, until the source's target is reached; one
-    document at that border gives part of its words. The order depends on seed, doc_id and size
-    only, so reruns agree. Rows with equal doc_id and size are told apart by nothing and are
-    taken as one. A null or blank text has size 0 and takes nothing; an empty table gives an empty result.
+    document at that border gives part of its words. The order depends on seed, doc_id, size and text only,
+    so reruns agree. Rows that repeat a doc_id, or have none, are taken each by itself; of rows that are alike
+    in all of these it is the same which is taken. A null or blank text has size 0 and takes nothing; an empty
+    table gives an empty result. ``row`` is a struct of all columns of ``docs``, whatever their names.
 
     A source's documents are dealt to ``slices`` slices of the seeded order. Sums of slices give
     the slice the border lies in, and only its documents are put in order.
@@ -123,10 +132,14 @@ def mix(
         ),
         "mixing-targets",
     )
-    order = seeded_unit(seed, F.col("doc_id"), F.col("size"))
-    placed = sized.withColumn("u", order).withColumn(
-        "slice", F.floor(F.col("u") * slices).cast("int")
-    )
+    # Rows without doc_id go by their texts, so that they do not fall into one slice.
+    order = seeded_unit(seed, F.coalesce("doc_id", "digest"), F.col("size"))
+
+
+    def place(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("u", order).withColumn("slice", F.floor(F.col("u") * slices).cast("int"))
+
+    placed = place(sized)
     # The part of a repetition beyond the whole ones, in words.
     whole = F.when(
         F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))
@@ -155,10 +168,16 @@ def mix(
     )
     # Without a border no document, or all of them, are taken once more.
     every = F.col("target") - F.col("whole") * F.col("source_size") >= F.col("source_size")
-    joined = placed.join(plan, F.col("source").eqNullSafe(F.col("of")))
+    # Rows with all their columns are only read here, where they meet a row for each source.
+    whole_rows = place(sized_documents(docs, True)) if with_rows else placed
+    joined = whole_rows.join(plan, F.col("source").eqNullSafe(F.col("of")))
     at_border = F.col("slice") == F.col("border")
     in_border = joined.where(at_border)
-    upto = Window.partitionBy("source").orderBy("u", "doc_id", "size")
+    upto = (
+        Window.partitionBy("source")
+        .orderBy("u", "doc_id", "size", "digest")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     cut = in_border.withColumn(
         "extra",
         F.greatest(
@@ -179,23 +198,25 @@ def mix(
         "source_size",
         "target",
         (F.col("whole") * F.col("size") + F.col("extra")).cast("bigint").alias("taken"),
+        *(["row"] if with_rows else []),
     )
 
 
-def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """``docs`` as the mix takes them: a row for each whole repetition, and a cut one for a part.
+def repeated(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` as the mix takes them (`mix`, which ``how`` is for): a row for each whole repetition, and a cut one for a part.
 
     A cut row ends after the words taken; its ``n_chars``, if there is one, is that of the cut text.
-    Documents of which nothing is taken go.
+    Documents of which nothing is taken go. Rows carry their columns through the mix, so each is repeated as
+    it was taken itself, also if its doc_id is null or repeats. ``docs`` is read more than once.
     """
-    taken = mixed.groupBy("doc_id").agg(F.max("size").alias("__size"), F.max("taken").alias("__taken"))
-    joined = docs.join(taken, "doc_id").where("__taken > 0")
-    whole = F.floor(F.col("__taken") / F.col("__size")).cast("int")
-    part = (F.col("__taken") % F.col("__size")).cast("int")
+    mixed = mix(docs, with_rows=True, **how).where("taken > 0")
+    whole = F.floor(F.col("taken") / F.col("size")).cast("int")
+    part = (F.col("taken") % F.col("size")).cast("int")
     copies = F.concat(
         F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>"))
     )
-    rows = joined.withColumn("__words", F.explode(copies))
+    joined = mixed.select("row.*", copies.alias("__copies"))
+    rows = joined.withColumn("__words", F.explode("__copies"))
     head = F.concat(
         F.regexp_extract(F.col("text"), r"^[\x20\x09-\x0D]*", 0),
         F.array_join(

@@ -41,8 +41,8 @@ TRAIN_DOCUMENTS = 20_000  # expected size of the sample of documents the trees a
 TREES = 12
 DEPTH = 3
 LEAST_EXAMPLES = 20  # of either class; with fewer no span is added
-KEEP_RECALL = 0.98  # of known spans held out from fitting, how many the threshold must pass
-LEAST_SCORE = 0.9
+PASS_BY = 0.995  # of other candidates held out from fitting, how many the threshold must keep out
+LEAST_SCORE = 0.6
 SEED = 2
 CONTEXT = 24
 
@@ -107,6 +107,32 @@ def holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+# How other spellings of the same data are written back to what the base rules read (pattern, replacement).
+NORMAL = {
+    "email": ((r"\x20?[\[({]at[\])}]\x20?", "@"), (r"\x20?[\[({]dot[\])}]\x20?", ".")),
+    "ip": ((r"\[\.\]", "."),),
+    "card": ((r"[./_-]", ""), (r"\x20", "")),
+    "phone": ((r"^\(?00", "+"), (r"[/_]", "-")),
+}
+_WHOLE = {
+    "email": r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+$",
+    "ip": r"^[0-9]+(\.[0-9]+){3}$",
+    "card": r"^[0-9]+$",
+    "phone": r"^\+[0-9(][\x20().0-9-]+[0-9]$",
+}
+
+
+def is_private(span: Column) -> Column:
+    """Whether a candidate, written back to the base rules' form, passes the rules of its kind."""
+    out = F.lit(False)
+    for k, kind in enumerate(KINDS):
+        value = span["value"]
+        for pattern, plain in NORMAL[kind]:
+            value = F.regexp_replace(value, pattern, plain)
+        out = F.when(span["kind"] == k, value.rlike(_WHOLE[kind]) & holds(kind, value)).otherwise(out)
+    return F.coalesce(out, F.lit(False))
+
+
 def with_base(docs: DataFrame) -> DataFrame:
     """``docs`` with ``base``: array of the spans of the four base kinds, by start, then kind."""
     found = docs.withColumn("__text", F.coalesce(F.col("text"), F.lit("")))
@@ -216,12 +242,14 @@ def train(
     depth: int = DEPTH,
     seed: int = SEED,
 ) -> Trees | None:
-    """Boosted trees that tell spans the base rules confirm from other candidates.
-
-    Fitted on the candidates of a seeded sample of about ``documents`` documents, a bound on fitting
-    only. A third of the candidates is held out: a kind's threshold is the score that
-    ``KEEP_RECALL`` of its confirmed spans there reach, ``LEAST_SCORE`` at least. None if the sample
-    has too few of either class.
+    """Boosted trees that tell personal data from other candidates.
+
+    A candidate is personal data if the base rules confirm it, or do once it is written back to their form
+    (``[at]`` to ``@``, separators removed; see `NORMAL`). The trees see neither the rules nor that form, but
+    shape and context. Fitted on the candidates of a seeded sample of about ``documents`` documents, a bound on fitting
+    only. A third of the candidates is held out: a kind's threshold is the score that ``PASS_BY`` of its other
+    candidates there stay below, ``LEAST_SCORE`` at least; a kind without personal data there adds nothing.
+    None if the sample has too few of either class.
     """
     n = docs.count()
     part = docs.select("doc_id", "text").where(
@@ -229,11 +257,14 @@ def train(
     )
     seen = with_candidates(with_base(part)).where(F.size("candidates") > 0)
     rows = seen.select("doc_id", "text", "base", F.explode("candidates").alias("span")).select(
-        F.exists(
-            "base",
-            lambda b: (b["kind"] == F.col("span.kind"))
-            & (b["start"] == F.col("span.start"))
-            & (b["end"] == F.col("span.end")),
+        (
+            F.exists(
+                "base",
+                lambda b: (b["kind"] == F.col("span.kind"))
+                & (b["start"] == F.col("span.start"))
+                & (b["end"] == F.col("span.end")),
+            )
+            | is_private(F.col("span"))
         ).cast("double").alias("label"),
         F.exists(
             "base", lambda b: (b["start"] < F.col("span.end")) & (F.col("span.start") < b["end"])
@@ -254,16 +285,20 @@ def train(
     plain = Trees(
         tuple(t.toDebugString for t in model.trees), tuple(model.treeWeights), (0.0,) * len(KINDS)
     )
+    held_out = rows.where("u >= 0.67").select(
+        "k", "label", plain.score([F.col(c) for c in FEATURES]).alias("score")
+    )
     reached = {
-        r["k"]: r["t"]
-        for r in rows.where("u >= 0.67 AND label = 1")
-        .groupBy("k")
+        r["k"]: r["others"] or 0.0
+        for r in held_out.groupBy("k")
         .agg(
-            F.percentile(plain.score([F.col(c) for c in FEATURES]), F.lit(1 - KEEP_RECALL)).alias("t")
+            F.percentile(F.when(F.col("label") == 0, F.col("score")), F.lit(PASS_BY)).alias("others"),
+            F.sum("label").alias("n"),
         )
+        .where("n > 0")
         .collect()  # one row for each kind
     }
-    limits = tuple(max(LEAST_SCORE, reached.get(k, 1.1)) for k in range(len(KINDS)))
+    limits = tuple(max(LEAST_SCORE, reached[k] + 1e-9) if k in reached else 1.1 for k in range(len(KINDS)))
     return Trees(plain.trees, plain.weights, limits)
 
 
@@ -271,14 +306,15 @@ def find(docs: DataFrame, model: Trees | None) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (start, kind, end, value), by start, then kind.
 
     ``spans`` holds the base spans and the candidates the trees select beside them. Of candidates
-    that overlap, the best stays; none that overlaps a base span is added. ``docs`` needs a text;
-    other columns stay as they are, and none may be called base, candidates or spans. A null text
+    that overlap, the best stays; none that overlaps a base span is added. ``docs`` needs a text; other columns
+    stay as they are, but for columns called base or spans, which give way. A null text
     is empty and has no span. Equal texts have equal spans.
     """
+    kept = [c for c in docs.columns if c not in ("base", "spans")]
+    inner = with_base(docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), "text"))
     if model is None:
-        found = with_base(docs)
-        return found.withColumn("spans", F.col("base"))
-    found = with_candidates(with_base(docs)).withColumn(
+        return inner.select("row.*", "base", F.col("base").alias("spans"))
+    found = with_candidates(inner).withColumn(
         "candidates",
         F.filter(
             F.col("candidates"),
@@ -318,7 +354,7 @@ def find(docs: DataFrame, model: Trees | None) -> DataFrame:
             )
         ),
     )
-    return found.withColumn("spans", F.array_sort(F.concat("base", added))).drop("candidates")
+    return found.select("row.*", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
 def listed(found: Column) -> Column:

@@ -47,3 +47,24 @@ def test_odd_rows(odd, none):
     unlearned = language.predict(odd, language.train(none)).collect()
     assert {r.lang_pred for r in unlearned} == {"und"}
     assert language.predict(none, network).collect() == []
+
+
+def test_what_is_told_goes_by_the_least_score_of_labelled_rows(spark):
+    rows = [
+        (1, "text", "en", "en", 0.9), (2, "text", "de", "en", 0.6), (3, "junk", None, "en", 0.59),
+        (4, "text", None, "de", 0.7), (5, "123", "en", "und", 0.0), (6, None, None, "und", 0.0),
+    ]
+    schema = "doc_id INT, text STRING, lang STRING, lang_pred STRING, score DOUBLE"
+    found = spark.createDataFrame(rows, schema)
+    assert {r.doc_id for r in language.told(found).collect()} == {1, 2, 4}
+    unlearned = found.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "'und' AS lang_pred", "0D AS score")
+    assert {r.doc_id for r in language.told(unlearned).collect()} == {1, 2, 3, 4}
+    assert language.told(found.limit(0)).collect() == []
+
+
+def test_stage_keeps_lettered_text_without_labels(spark):
+    import corpus_pipeline
+    from tests.llm.conftest import SCHEMA, SF
+
+    docs = spark.createDataFrame([(1, "clean words", None, "a", 11), (2, "12 3", None, "a", 4), (None, "more", None, None, None)], SCHEMA)
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, SF).collect()} == {1, None}

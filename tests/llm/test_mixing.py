@@ -59,16 +59,47 @@ def test_many_sources_keep_their_weights(spark):
 def test_odd_rows(odd, none):
     found = mixing.mix(odd).collect()
     assert len(found) == odd.count()
-    check([r for r in found], slack=10)  # the repeated row is taken twice
+    check(found)
     assert mixing.mix(none).collect() == []
+    assert mixing.repeated(none).collect() == []
 
 
 def test_repeated_rows_hold_the_words_taken(docs):
     mixed = written(mixing.mix(docs), "test-mixed")
-    rows = mixing.repeated(docs, mixed)
+    rows = mixing.repeated(docs)
     assert rows.columns == docs.columns
     words = rows.groupBy("doc_id").agg(F.sum(mixing.word_count(F.col("text"))).alias("n"))
     expected = {r.doc_id: r.taken for r in mixed.collect() if r.taken}
     assert {r.doc_id: r.n for r in words.collect()} == expected
     whole = {r.doc_id: r.text for r in docs.collect()}
     assert all(whole[r.doc_id].startswith(r.text) and r.n_chars == len(r.text) for r in rows.collect())
+
+
+def test_rows_without_or_with_the_same_doc_id_are_taken_each_by_itself(spark):
+    rows = [(None, f"n{i} " * (i + 1), "a") for i in range(8)] + [(7, f"s{i} " * (i + 2), "a") for i in range(5)]
+    rows += [(7, "same words here", "b")] * 6 + [(None, "same words here", "b")] * 6
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING").withColumn("size", F.lit("x"))
+    mixed = mixing.mix(docs).collect()
+    check(mixed)
+    out = mixing.repeated(docs)
+    assert out.columns == docs.columns
+    taken = Counter()
+    for r in out.collect():
+        taken[r.source, r.text.split()[0]] += len(r.text.split())
+        assert r.size == "x"
+    by_source = Counter()
+    for r in mixed:
+        by_source[r.source] += r.taken
+    for source in "ab":
+        assert sum(n for (s, _), n in taken.items() if s == source) == by_source[source]
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source, text.split()[0]] += len(text.split())
+    assert all(n <= 2 * sizes[k] for k, n in taken.items())
+
+
+def test_unsettled_targets_are_an_error(spark):
+    sources = spark.createDataFrame([(f"s{i:02d}", 4 ** i, 1.0) for i in range(12)], "source STRING, source_size BIGINT, weight DOUBLE")
+    with pytest.raises(RuntimeError):
+        mixing.water_fill(sources, rounds=2)
+    assert mixing.water_fill(sources).where("target > 2 * source_size").isEmpty()

@@ -59,9 +59,55 @@ def test_trees_add_spans_and_keep_the_base(spark):
     found = private.find(train.where("doc_id < 1000"), model)
     extra = found.where(F.size("spans") != F.size("base")).count()
     assert found.where(F.size(F.array_except("base", "spans")) > 0).isEmpty() and extra == 0
-    other = spark.createDataFrame([(1, "please write to bob.smith(at)mail.example today")], train.schema)
-    (row,) = private.find(other, model).select(private.redacted(F.col("text"), F.col("spans")).alias("r")).collect()
-    assert row.r in ("please write to <EMAIL> today", other.first().text)
+
+
+def spelled(i):
+    return (
+        f"please write to bob.smith{i}[at]mail{i % 5}[dot]example today",
+        f"please ask kim{i} (at) host-{i % 9} (dot) org about it",
+        f"the server 10[.]{i % 200}[.]3[.]{i % 250} answers",
+    )
+
+
+def test_trees_add_other_spellings_however_common_they_are(spark):
+    plain = [(i, f"please write to ab{i}.x@mail{i % 7}.example.com or ask 10.0.{i % 250}.{i % 99} today") for i in range(400)]
+    noise = [(1000 + i, f"the count was {i * 977 % 9999} then 20{i % 100:02d}-0{i % 9}-1{i % 9} 12:30 and x{i}y{i * 31}z12345678") for i in range(400)]
+    asked = [(5000 + i, text) for i in range(50) for text in spelled(100 + i)]
+    schema = "doc_id BIGINT, text STRING"
+    other = spark.createDataFrame(asked, schema)
+    for many in (0, 100):
+        table = plain + noise + [(2000 + i, text) for i in range(many) for text in spelled(i)]
+        train = spark.createDataFrame(table, schema)
+        model = private.train(train)
+        if many:
+            found = private.find(other, model).select(private.redacted(F.col("text"), F.col("spans")).alias("r"))
+            assert {r.r for r in found.collect()} == {
+                "please write to <EMAIL> today", "please ask <EMAIL> about it", "the server <IP> answers"
+            }
+        clean = private.find(spark.createDataFrame(noise, schema), model)
+        assert clean.where(F.size("spans") > 0).isEmpty()
+
+
+def test_normal_form(spark):
+    rows = [
+        (0, "a.b [at] c (dot) d", True), (0, "a@b", False), (0, "a{at}b-c.d", True), (1, "1[.]2[.]3[.]255", True),
+        (1, "1.2.3.256", False), (1, "1:2:3:4", False), (2, "4111/1111.1111_1111", True), (2, "4111/1111.1111_1112", False),
+        (3, "0049 30 1234567", True), (3, "+49 (30)/1234.567", True), (3, "2024-01-12 12", False), (3, "+1 2", False),
+    ]
+    df = spark.createDataFrame(rows, "kind INT, value STRING, expected BOOLEAN")
+    found = df.select("value", "expected", private.is_private(F.struct("kind", "value")).alias("found")).collect()
+    assert [(r.value, r.found) for r in found] == [(r.value, r.expected) for r in found]
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "jo@ex.co.uk")], "doc_id INT, text STRING").selectExpr(
+        "*", "1 AS base", "2 AS spans", "3 AS candidates", "4 AS __text", "5 AS __email", "6 AS row"
+    )
+    model = private.Trees(("Predict: 0.0",), (1.0,), (1.1,) * 4)
+    for known in (None, model):
+        (r,) = private.find(df, known).collect()
+        assert (r.candidates, r["__text"], r["__email"], r["row"]) == (3, 4, 5, 6)
+        assert [s.value for s in r.base] == [s.value for s in r.spans] == ["jo@ex.co.uk"]
 
 
 def test_odd_rows(odd, none):
