@@ -76,6 +76,15 @@ HEADLINE = [
     "over_rows_stream",
     "retract_changelog_stream",
     "count_avg_update_stream",
+    "rolling_reduce_user",
+    "uv_bitmap_daily",
+    "hot_pages_updates_stream",
+    "topn_changelog",
+    "ad_clicks_stream",
+    "marketing_by_channel_stream",
+    "late_side_output_stream",
+    "rolling_reduce_stream",
+    "category_counts_stream",
 ]
 
 

@@ -4,8 +4,9 @@ Three jobs share the shape: repeated login failures (2 s from the first failure)
 rises (10 s from the first rise) and click limits that reset 24 h after the first click. Which
 row opens an episode depends on the previous opening, so a key is walked in order. A hot key is
 walked chunk by chunk: each chunk is first reduced to a step function from the episode running
-before it to the one running after it, these small functions are applied in order per key, and
-then every chunk is walked on its own from its known starting point.
+before it to the one running after it. These small functions are composed pairwise, each with the one 1, 2, 4, …
+chunks before it, so that after as many rounds as the number of chunks has binary digits each tells what is running
+at its end; no task sees all chunks of a key. Then every chunk is walked on its own from its known starting point.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlake.operators.ordered import CHUNK, OrderedRows, written
@@ -50,6 +51,7 @@ def _summarise(keys: list[str], window: int) -> Callable:
         row = {k: [pdf[k].iloc[0]] for k in keys}
         row |= {
             CHUNK: [pdf[CHUNK].iloc[0]],
+            "__first": [at[0]],
             "__has_reset": [bool(len(resets))],
             "__fresh": [last[0] if len(last) else _NONE],
             "__entries": [entries],
@@ -60,25 +62,76 @@ def _summarise(keys: list[str], window: int) -> Callable:
     return chunk_step
 
 
-def _compose(keys: list[str], window: int) -> Callable:
-    def key_walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(CHUNK, kind="stable")
-        running = _NONE
-        carried = []
-        for has_reset, fresh, entries, exits in zip(
-            pdf["__has_reset"], pdf["__fresh"], pdf["__entries"], pdf["__exits"], strict=True
-        ):
-            carried.append(running)
-            if has_reset or running == _NONE:
-                running = fresh
-            else:
-                i = int(np.searchsorted(entries, running + window, side="right"))
-                running = exits[i] if i < len(exits) else running
-        out = pdf[[*keys, CHUNK]].copy()
-        out["__entry"] = carried
-        return out
-
-    return key_walk
+def _applied(running: np.ndarray, step: tuple, window: int) -> np.ndarray:
+    """What runs after a chunk, for each episode that may run before it."""
+    _, has_reset, fresh, entries, exits = step
+    if has_reset:
+        return np.full(len(running), fresh)
+    after = running.copy()
+    if len(exits):
+        i = np.searchsorted(entries, running + window, side="right")
+        after = np.where(i < len(exits), exits[np.minimum(i, len(exits) - 1)], running)
+    return np.where(running == _NONE, fresh, after)
+
+
+def composed(earlier: tuple, later: tuple, window: int) -> tuple:
+    """One step function for two neighbouring stretches; each is (first time, has a reset, fresh, entries, exits).
+
+    An episode that runs before both can end at most one interval after their first time, so what
+    is kept are the openings up to there: a composition is no larger than its parts.
+    """
+    first, has_reset, fresh, entries, exits = earlier
+    (fresh,) = _applied(np.array([fresh]), later, window)
+    if has_reset or later[1]:
+        return first, True, fresh, entries[:0], exits[:0]
+    entries = np.concatenate([entries, later[3]])
+    exits = np.concatenate([_applied(exits, later, window), later[4]])
+    reach = int(np.searchsorted(entries, first + window, side="right")) + 1
+    entries, exits = entries[:reach], exits[:reach]
+    ends = np.append(exits[1:] != exits[:-1], True)[: len(exits)]
+    return first, False, fresh, entries[ends], exits[ends]
+
+
+_STEP = ("__first", "__has_reset", "__fresh", "__entries", "__exits")
+_STEP_DDL = "__first bigint, __has_reset boolean, __fresh bigint, __entries array<bigint>, __exits array<bigint>"
+
+
+def _running_at_ends(steps: DataFrame, keys: list[str], window: int) -> DataFrame:
+    """``steps`` (keys, chunk, __place from 0, step functions) with ``__fresh``: what runs at the end of each chunk."""
+    types = dict(steps.dtypes)
+    whole = [*keys, CHUNK, "__place"]
+    ddl = ", ".join(f"`{c}` {types[c]}" for c in whole)
+
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for *own, before in zip(*(pdf[c] for c in _STEP), pdf["__before"]):
+                later = tuple(own)
+                out.append(later if before is None else composed(_as_step(before), later, window))
+            for c, values in zip(_STEP, zip(*out)):
+                pdf[c] = values
+            yield pdf.drop(columns="__before")
+
+    chunks = steps.agg(F.max("__place")).first()[0] or 0
+    distance = 1
+    while distance <= chunks:
+        before = steps.select(
+            *[F.col(k).alias(f"__b_{k}") for k in keys],
+            (F.col("__place") + distance).alias("__b_place"),
+            F.struct(*_STEP).alias("__before"),
+        )
+        match = F.col("__place") == F.col("__b_place")
+        for k in keys:
+            match = match & F.col(k).eqNullSafe(F.col(f"__b_{k}"))
+        joined = steps.join(before, match, "left").select(*whole, *_STEP, "__before")
+        steps = written(joined.mapInPandas(compose, f"{ddl}, {_STEP_DDL}"), "chunk-steps")
+        distance *= 2
+    return steps
+
+
+def _as_step(row: dict) -> tuple:
+    values = row if isinstance(row, dict) else row.asDict()
+    return tuple(np.asarray(values[c], np.int64) if c in ("__entries", "__exits") else values[c] for c in _STEP)
 
 
 def _walk(window: int) -> Callable:
@@ -123,20 +176,18 @@ def assign_episodes(rows: OrderedRows, window_us: int) -> OrderedRows:
     numbered = rows.df.withColumn("__n", F.row_number().over(rows.window))
     if rows.cut:
         key_ddl = ", ".join(f"`{k}` {types[k]}" for k in rows.partition)
-        entries = written(
+        steps = (
             numbered.where(F.col(CHUNK).isNotNull())
             .select(*rows.partition, "__n", "__at", "__opens")
             .groupBy(*rows.partition)
-            .applyInPandas(
-                _summarise(rows.keys, window_us),
-                f"{key_ddl}, __has_reset boolean, __fresh bigint, "
-                "__entries array<bigint>, __exits array<bigint>",
-            )
-            .groupBy(*rows.keys)
-            .applyInPandas(_compose(rows.keys, window_us), f"{key_ddl}, __entry bigint")
-            .select(*rows.chunk_keys(), "__entry"),
-            "chunk-entries",
+            .applyInPandas(_summarise(rows.keys, window_us), f"{key_ddl}, {_STEP_DDL}")
         )
+        place = F.row_number().over(Window.partitionBy(*rows.keys).orderBy(CHUNK)) - 1
+        steps = written(steps.withColumn("__place", place), "chunk-steps")
+        ends = _running_at_ends(steps, rows.keys, window_us)
+        # What runs at the end of a chunk runs at the start of the next.
+        starts = F.lag("__fresh").over(Window.partitionBy(*rows.keys).orderBy("__place"))
+        entries = written(ends.select(*rows.chunk_keys(), starts.alias("__entry")), "chunk-entries")
         entry = F.coalesce("__entry", F.lit(_NONE)).alias("__entry")
         prepared = rows.join_chunks(entries, numbered).select(*rows.df.columns, "__n", entry)
     else:

@@ -54,6 +54,15 @@ def route(df: DataFrame, branches: dict[str, Column]) -> dict[str, DataFrame]:
     return {name: df.where(predicate) for name, predicate in branches.items()}
 
 
+def tagged(df: DataFrame, branches: dict[str, Column], out: str = "branch") -> DataFrame:
+    """Every row once for each predicate it satisfies, with the predicate's name in ``out``; one scan for all.
+
+    Written with `eventlake.sinks.files.write_branches`, the branches are outputs of their own.
+    """
+    names = [F.when(predicate, F.lit(name)) for name, predicate in branches.items()]
+    return df.select("*", F.explode(F.array_compact(F.array(*names))).alias(out))
+
+
 def split_by(df: DataFrame, predicate: Column) -> tuple[DataFrame, DataFrame]:
     """(rows satisfying the predicate, all others); NULL counts as not satisfying."""
     holds = F.coalesce(predicate, F.lit(False))

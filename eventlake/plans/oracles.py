@@ -220,6 +220,16 @@ def _part(seq: str, source: str, n: int) -> str:
     return f"(({seq} - {low} + 1) * {n} - 1) // {width}"
 
 
+_ROLLING_REDUCE = f"""WITH {_READINGS} SELECT id, seq, event_time,
+  max(temperature) OVER (PARTITION BY id ORDER BY seq) AS temperature FROM readings"""
+
+# Rows of four micro-batches, each judged by the largest event time of those before it.
+_LATE_BY_BATCH = f"""WITH {_DELAYED},
+parted AS (SELECT *, {_part('seq', 'delayed', 4)} AS p FROM judged),
+marks AS (SELECT b, (SELECT max(event_time) FROM parted WHERE p < b) - INTERVAL 2 SECONDS AS mark FROM range(4) r(b))
+SELECT seq, id, event_time, temperature FROM parted JOIN marks ON b = p
+WHERE window_end - INTERVAL 1 MILLISECOND + INTERVAL 1 MINUTE <= mark"""
+
 # Rankings of six micro-batches: windows the watermark reached in one (first), and those it had
 # reached before that a late request of the batch still changed, three hours at most.
 _PAGE_UPDATES = f"""WITH {_LOG},
@@ -328,8 +338,12 @@ _SQL: dict[str, str] = {
         FROM best b JOIN readings r ON r.id = b.id AND r.seq <= b.seq
                                    AND r.temperature = b.temperature
         GROUP BY b.id, b.seq, b.temperature""",
-    "rolling_reduce": f"""WITH {_READINGS} SELECT id, seq, event_time,
-        max(temperature) OVER (PARTITION BY id ORDER BY seq) AS temperature FROM readings""",
+    "rolling_reduce": _ROLLING_REDUCE,
+    "rolling_reduce_user": _ROLLING_REDUCE,
+    "rolling_reduce_stream": _ROLLING_REDUCE,
+    "category_counts_stream": """SELECT user_id AS id, event_id AS seq, event_type AS behavior,
+        row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS "count" FROM events""",
+    "late_side_output_stream": _LATE_BY_BATCH,
     "group_count_avg": f"""WITH {_READINGS} SELECT id, count(id) AS "count",
         {_avg6('sum(cents)', 'count(*)')} AS avg FROM readings GROUP BY id""",
     "tumbling_count": f"""WITH {_READINGS} SELECT window_start, window_end, id,

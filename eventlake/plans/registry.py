@@ -18,7 +18,7 @@ from eventlake.session import shared_dir
 from eventlake.sinks import documents, files, lake, topics, upsert
 from eventlake.sources import files as file_sources
 from eventlake.sources import topics as topic_sources
-from eventlake.streaming import processors, ranked, run, visitors
+from eventlake.streaming import late, processors, ranked, run, visitors
 from eventlake.streaming import windows as stream_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -266,6 +266,29 @@ def rolling_reduce(t):
     )
 
 
+def _newest_and_hottest(earlier: tuple, later: tuple) -> tuple:
+    return later[0], max(earlier[1], later[1])
+
+
+@_query
+def rolling_reduce_user(t):
+    # Chunks of 2,000 rows at most, so that busy keys are folded in several.
+    return rolling.rolling_reduce_user(
+        rec.sensor_readings(t.events), "id", ["event_time", "temperature"], _newest_and_hottest, chunk_rows=2_000
+    )
+
+
+@_query
+def rolling_reduce_stream(t):
+    readings = rec.sensor_readings(t.in_batches("events", "event_id"))
+    found = run.drain(
+        processors.rolling_reduce_stream(readings, "id", "temperature", _newest_and_hottest)
+    )
+    return found.select(
+        "id", "seq", F.timestamp_micros("at").alias("event_time"), F.col("value").alias("temperature")
+    )
+
+
 @_query
 def group_count_avg(t):
     grouped = rolling.group_count_avg(rec.exact_readings(t.events), "id", "temperature")
@@ -326,6 +349,15 @@ def late_side_output(t):
     return late.withColumn("temperature", F.col("temperature").cast("double"))
 
 
+@_query
+def late_side_output_stream(t):
+    readings = rec.delayed_readings(t.in_batches("events", "event_id", 4, even=True))
+    path = shared_dir(t.spark, "late")
+    run.drain_batches(readings, late.split_late(path, "15 seconds", "2 seconds", "1 minute"))
+    found = late.split_rows(readings, path, late=True)
+    return found.withColumn("temperature", F.col("temperature").cast("double"))
+
+
 def _hourly(stream: DataFrame) -> DataFrame:
     return run.drain(windows.tumbling_count(stream, "1 hour", []))
 
@@ -366,12 +398,9 @@ def running_count_all(t):
 @_query
 def split_high_low(t):
     temperature = F.col("temperature")
-    branches = transforms.route(
+    return transforms.tagged(
         rec.sensor_readings(t.events), {"high": temperature > 30, "low": temperature <= 30}
     )
-    return transforms.union_all(
-        *[rows.withColumn("branch", F.lit(name)) for name, rows in branches.items()]
-    )
 
 
 @_query
@@ -705,7 +734,7 @@ def unique_visitors_stream(t):
 def temp_jump_alert_stream(t):
     return run.drain(
         processors.jump_alert_stream(
-            rec.sensor_readings(t.stream("events")), "id", "temperature", JUMP_THRESHOLD
+            rec.sensor_readings(t.in_batches("events", "event_id")), "id", "temperature", JUMP_THRESHOLD
         )
     )
 
@@ -713,13 +742,13 @@ def temp_jump_alert_stream(t):
 @_query
 def running_count_stream(t):
     return run.drain(
-        processors.running_count_stream(rec.sensor_readings(t.stream("events")), "id")
+        processors.running_count_stream(rec.sensor_readings(t.in_batches("events", "event_id")), "id")
     )
 
 
 @_query
 def rise_alert_stream(t):
-    readings = stream_windows.ascending(rec.sensor_readings(t.stream("events")))
+    readings = stream_windows.ascending(rec.sensor_readings(t.in_batches("events", "event_id")))
     return run.drain(
         processors.rise_alert_stream(readings, "id", "temperature", 10 * HOUR_US)
     )
@@ -727,13 +756,13 @@ def rise_alert_stream(t):
 
 @_query
 def login_fail_stream(t):
-    events = stream_windows.bounded(rec.login_events(t.stream("events")), "3 seconds")
+    events = stream_windows.bounded(rec.login_events(t.in_batches("events", "event_id")), "3 seconds")
     return run.drain(processors.login_failures_stream(events, 24 * HOUR_US))
 
 
 @_query
 def click_blacklist_stream(t):
-    clicks = rec.ad_clicks(t.stream("events"), t.nation)
+    clicks = rec.ad_clicks(t.in_batches("events", "event_id"), t.nation)
     return run.drain(processors.click_limit_stream(clicks, 1))
 
 
@@ -750,11 +779,19 @@ def uv_running_stream(t):
     return t.spark.read.schema(schema).parquet(f"{path}/uv/*")
 
 
+@_query
+def category_counts_stream(t):
+    events = rec.with_times(t.in_batches("events", "event_id")).select(
+        "seq", F.col("user_id").alias("id"), F.col("event_type").alias("behavior")
+    )
+    return run.drain(processors.category_counts_stream(events, "id", "behavior"))
+
+
 @_query
 def count_window_avg_stream(t):
     averaged = run.drain(
         processors.count_window_avg_stream(
-            rec.sensor_readings(t.stream("events")), "id", "temperature"
+            rec.sensor_readings(t.in_batches("events", "event_id")), "id", "temperature"
         )
     )
     return averaged.withColumn("avg", F.round("avg", 6))
@@ -763,7 +800,7 @@ def count_window_avg_stream(t):
 @_query
 def over_rows_stream(t):
     over = run.drain(
-        processors.over_rows_stream(rec.sensor_readings(t.stream("events")), "id", "temperature")
+        processors.over_rows_stream(rec.sensor_readings(t.in_batches("events", "event_id")), "id", "temperature")
     )
     return over.select("id", "seq", "count", F.round("avg", 6).alias("avg"))
 
@@ -771,7 +808,7 @@ def over_rows_stream(t):
 @_query
 def retract_changelog_stream(t):
     changes = run.drain(
-        processors.changelog_stream(rec.sensor_readings(t.stream("events")), "id", "temperature")
+        processors.changelog_stream(rec.sensor_readings(t.in_batches("events", "event_id")), "id", "temperature")
     )
     return changes.withColumn("sum", F.round("sum", 2))
 
@@ -779,7 +816,7 @@ def retract_changelog_stream(t):
 @_query
 def count_avg_update_stream(t):
     path = shared_dir(t.spark, "updates")
-    readings = rec.exact_readings(t.stream("events"))
+    readings = rec.exact_readings(t.in_batches("events", "event_id"))
     run.drain_batches(
         rolling.group_count_avg(readings, "id", "temperature"),
         run.write_batch_folder(path),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -20,3 +21,14 @@ def stream_to_csv(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
         .trigger(availableNow=True)
         .start()
     )
+
+
+def write_branches(df: DataFrame, path: str, branch: str = "branch", mode: str = "errorifexists") -> None:
+    """Rows tagged with their branch, in one pass over ``df``: a folder ``branch=<name>`` for each."""
+    df.write.mode(mode).partitionBy(branch).parquet(path)
+
+
+def read_branch(df: DataFrame, path: str, name: str, branch: str = "branch") -> DataFrame:
+    """The rows of one branch that `write_branches` wrote of ``df``, without the tag; reads its folder only."""
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    return found.where(F.col(branch) == name).select(*[c for c in df.columns if c != branch])

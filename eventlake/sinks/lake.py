@@ -9,13 +9,20 @@ replaces itself.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from eventlake.operators.ordered import written
 from eventlake.plans.raw_zone import ERROR_SUB_PATH, META_SUB_PATH
+from eventlake.session import shared_dir
+from eventlake.sinks.files import read_branch, write_branches
 
 BATCH = "batch"
+# What a part file is meant to hold at most (fixed value), and what a row has besides its two texts.
+ROLL_BYTES = 256 << 20
+_ROW_BYTES = 25
 _LINE = "data STRING, extraData STRING"
 # What Spark names the folder of an empty partition value (fixed value).
 _EMPTY = "__HIVE_DEFAULT_PARTITION__"
@@ -32,53 +39,78 @@ def write_lake(
     rows: DataFrame,
     base: str,
     batch_id: int | None = None,
-    max_records_per_file: int = 0,
+    roll_bytes: int = ROLL_BYTES,
     nested: Sequence[Sequence[str]] = (),
 ) -> None:
     """Write `eventlake.plans.raw_zone.bucketed` rows.
 
     With a ``batch_id`` the rows go into a ``batch=N`` folder below the date and replace what an
-    earlier try of the same batch left there. There is a write for each key list of ``nested``, one
-    for all other rows, and one for each hidden sub-path.
+    earlier try of the same batch left there. Files hold about ``roll_bytes`` at most, see `rolled`. Rows are evaluated once, to a table on shared storage; from its parts
+    there is a write for each key list of ``nested``, one for all other rows, and one for each hidden sub-path.
     """
     for keys in nested:
         lowered = [k.lower() for k in keys]
         if not keys or len(set(lowered)) < len(keys) or _TAKEN & set(lowered):
             raise ValueError(f"{list(keys)} cannot be partition columns")
     lines = rows.select("path", "dt", "entries", F.from_json("data", _LINE).alias("l"))
-    flat = F.lit(True)
-    for keys in nested:
+    hidden = [META_SUB_PATH, ERROR_SUB_PATH]
+    zone = F.lit("visible")
+    for i, keys in enumerate(nested):
+        zone = F.when(_nests(keys), F.lit(f"nested-{i}")).otherwise(zone)
+    for root in hidden:
+        mine = (F.col("path") == root) | F.startswith("path", F.lit(f"{root}/"))
+        zone = F.when(mine, F.lit(root)).otherwise(zone)
+    # Rows are parsed and routed in one pass; each write then reads its own part.
+    tagged = lines.withColumn("zone", zone)
+    stage = shared_dir(rows.sparkSession, "lake-rows")
+    write_branches(tagged, stage, "zone")
+    for i, keys in enumerate(nested):
         columns = [F.col("entries")[i]["value"].alias(key) for i, key in enumerate(keys)]
-        flat = flat & ~_nests(keys)
-        _write(
-            lines.where(_nests(keys)).select("l.*", *columns, "dt"),
-            base,
-            [*keys, "dt"],
-            batch_id,
-            max_records_per_file,
-        )
-    hidden = {
-        root: (F.col("path") == root) | F.startswith("path", F.lit(f"{root}/"))
-        for root in (META_SUB_PATH, ERROR_SUB_PATH)
-    }
-    visible = flat
-    for mine in hidden.values():
-        visible = visible & ~mine
-    for folder, mine in [(base, visible), *((f"{base}/{r}", m) for r, m in hidden.items())]:
-        _write(
-            lines.where(mine).select("l.*", "path", "dt"),
-            folder,
-            ["path", "dt"],
-            batch_id,
-            max_records_per_file,
-        )
+        part = read_branch(tagged, stage, f"nested-{i}", "zone").select("l.*", *columns, "dt")
+        _write(part, base, [*keys, "dt"], batch_id, roll_bytes)
+    for folder, name in [(base, "visible"), *((f"{base}/{root}", root) for root in hidden)]:
+        part = read_branch(tagged, stage, name, "zone").select("l.*", "path", "dt")
+        _write(part, folder, ["path", "dt"], batch_id, roll_bytes)
+
+
+def rolled(df: DataFrame, buckets: list[str], size: Column, roll_bytes: int) -> DataFrame:
+    """``df`` dealt so that no task writes more than about ``roll_bytes``, and so no file of a bucket is larger.
+
+    Buckets lie one after another by their sizes' running sum. One of more than half of ``roll_bytes`` is dealt by hash to
+    parts of that size. A task gets the parts that begin in the same stretch of bytes: small buckets
+    share tasks, a large one has many. Sizes are summed per bucket first; no bucket meets in one task.
+    """
+    spark = df.sparkSession
+    half = max(1, roll_bytes // 2)
+    sizes = df.groupBy(*buckets).agg(F.sum(size).alias("__bytes"))
+    upto = Window.orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    placed = written(
+        sizes.select(
+            *[F.col(f"`{b}`").alias(f"__b{i}") for i, b in enumerate(buckets)],
+            "__bytes",
+            F.ceil(F.col("__bytes") / half).cast("bigint").alias("__parts"),
+            F.coalesce(F.sum("__bytes").over(upto), F.lit(0)).alias("__from"),
+        ),
+        "lake-buckets",
+    )
+    total = placed.agg(F.sum("__bytes")).first()[0]
+    if not total:
+        return df
+    stretch = max(1, min(half, total // (2 * spark.sparkContext.defaultParallelism)))
+    match = reduce(
+        lambda x, y: x & y, [F.col(f"`{b}`").eqNullSafe(F.col(f"__b{i}")) for i, b in enumerate(buckets)]
+    )
+    part = F.pmod(F.xxhash64(*df.columns), F.col("__parts"))
+    at = F.col("__from") + (part * (F.col("__bytes") / F.col("__parts"))).cast("bigint")
+    numbered = df.join(placed, match).select(*df.columns, F.floor(at / stretch).cast("int").alias("__task"))
+    return numbered.repartitionById(int(total // stretch) + 1, "__task").select(*df.columns)
 
 
 def _write(
-    df: DataFrame, folder: str, partitions: list[str], batch_id: int | None, max_records: int
+    df: DataFrame, folder: str, partitions: list[str], batch_id: int | None, roll_bytes: int
 ) -> None:
-    # AQE splits a bucket that holds much of the data and merges small ones.
-    spread = df.hint("rebalance", *[F.col(f"`{p}`") for p in partitions])
+    size = F.octet_length("data") + F.octet_length("extraData") + _ROW_BYTES
+    spread = rolled(df, partitions, F.coalesce(size, F.lit(_ROW_BYTES)), roll_bytes)
     mode = "append"
     if batch_id is not None:
         spread = spread.withColumn(BATCH, F.lit(batch_id))
@@ -86,7 +118,6 @@ def _write(
     (
         spread.write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
-        .option("maxRecordsPerFile", max_records)
         .partitionBy(*partitions)
         .json(folder)
     )

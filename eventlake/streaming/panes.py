@@ -91,8 +91,9 @@ class ClosedWindows:
         latest = closed.agg(F.max(F.unix_micros("pane_end"))).first()[0]
         now = max((u for u in (until, latest) if u is not None), default=None)
         panes = earlier.unionByName(closed)
+        # Before the first pane has closed there is nothing to tell.
+        self._write(_windows(panes, self.size, self.slide, self.keys, until, now or 0), batch_id)
         if now is not None:
-            self._write(_windows(panes, self.size, self.slide, self.keys, until, now), batch_id)
             panes = panes.where(F.unix_micros("pane_end") > now - micros(self.size))
         self.carried.leave(panes, now, batch_id)
         self.following = batch_id + 1
@@ -185,24 +186,25 @@ class CorrectedWindows:
         panes = carried.table(
             earlier.unionByName(new).groupBy("pane_end", *self.keys).agg(F.sum("n").alias("n")), "all", batch_id
         )
-        if now is not None:
-            dropped = None if passed is None else passed - self.lateness
-            changed = _windows(panes, self.size, self.slide, self.keys, dropped, now)
-            if passed is None:
-                changed = changed.withColumn("kind", F.lit("first"))
-            else:
-                first = F.unix_micros("window_end") > passed
-                again = _windows(new, self.size, self.slide, [], dropped, passed).select("window_end")
-                changed = (
-                    changed.where(first)
-                    .withColumn("kind", F.lit("first"))
-                    .unionByName(
-                        changed.where(~first)
-                        .join(again, "window_end", "left_semi")
-                        .withColumn("kind", F.lit("corrected"))
-                    )
+        dropped = None if passed is None else passed - self.lateness
+        # Before the first event time there is nothing to tell.
+        changed = _windows(panes, self.size, self.slide, self.keys, dropped, now or 0)
+        if passed is None:
+            changed = changed.withColumn("kind", F.lit("first"))
+        else:
+            first = F.unix_micros("window_end") > passed
+            again = _windows(new, self.size, self.slide, [], dropped, passed).select("window_end")
+            changed = (
+                changed.where(first)
+                .withColumn("kind", F.lit("first"))
+                .unionByName(
+                    changed.where(~first)
+                    .join(again, "window_end", "left_semi")
+                    .withColumn("kind", F.lit("corrected"))
                 )
-            self.finish(changed).write.mode("overwrite").parquet(f"{self.path}/updates/batch_id={batch_id}")
+            )
+        self.finish(changed).write.mode("overwrite").parquet(f"{self.path}/updates/batch_id={batch_id}")
+        if now is not None:
             last_end = F.unix_micros("pane_end") + micros(self.size) - slide
             panes = panes.where(last_end > now - self.lateness)
         carried.leave(panes, now, batch_id)

@@ -1,51 +1,57 @@
 """Keyed state on streams: one processor per operator that windows and joins cannot express.
 
-Rows of a key are handled in arrival order (``seq``) or event-time order (``at``, epoch micros).
-State per key is a few values, a short list, or the rows the watermark has not passed yet. A
+Rows of a key come as Arrow batches and are handled as columns, in arrival order (``seq``) or event-time
+order (``at``, epoch micros); state is read and written once for each key and micro-batch. State per key
+is a few values, the last few values, or the rows the watermark has not passed yet. A
 micro-batch hands one key's rows to one task, so the trigger's batch size
-(``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) bounds a hot key; the batch operators cut hot
+(``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) bounds a hot key (some 24 bytes a row); the batch operators cut hot
 keys into chunks instead.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-
-def _arrival_order(rows: Iterator[Row]) -> list[Row]:
-    return sorted(rows, key=lambda r: r.seq)
+Columns = dict[str, Any]
 
 
 class _InArrivalOrder(StatefulProcessor):
-    """Handles rows one by one in arrival order; state is read and written once for all of them."""
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        self.load()
-        for row in _arrival_order(rows):
-            yield from self.on_row(key, row)
-        self.store()
-
-    def load(self) -> None:
-        raise NotImplementedError
-
-    def store(self) -> None:
-        raise NotImplementedError
-
-    def on_row(self, key: Any, row: Row) -> Iterator[Row]:
+    """Handles a key's rows of a micro-batch as columns sorted by ``seq``."""
+
+    columns = ("seq", "value")
+
+    def handleInputRows(
+        self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
+    ) -> Iterator[pd.DataFrame]:
+        parts = [tuple(rows_[c].to_numpy() for c in self.columns) for rows_ in rows]
+        arrays = [np.concatenate(c) for c in zip(*parts)] if len(parts) > 1 else list(parts[0])
+        if len(arrays[0]) > 1:
+            order = np.argsort(arrays[0], kind="stable")
+            arrays = [a[order] for a in arrays]
+        found = self.on_columns(key, *arrays)
+        if found is not None:
+            yield pd.DataFrame(found)
+
+    def on_columns(self, key: Any, *arrays: np.ndarray) -> Columns | None:
         raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
+def _after(first: float, values: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.array([first]), values])
+
+
 class JumpAlert(_InArrivalOrder):
-    """(key, seq, last, now) where consecutive values differ by at least the threshold."""
+    """(key, seq, last, now) where consecutive values differ by at least the threshold; null differs by nothing."""
 
     def __init__(self, threshold: float):
         self.threshold = threshold
@@ -53,54 +59,51 @@ class JumpAlert(_InArrivalOrder):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("last", "value double")
 
-    def load(self) -> None:
-        self.last = self.state.get()[0] if self.state.exists() else None
-
-    def store(self) -> None:
-        self.state.update((self.last,))
-
-    def on_row(self, key: Any, row: Row) -> Iterator[Row]:
-        last, self.last = self.last, row.value
-        if last is not None and abs(last - row.value) >= self.threshold:
-            yield Row(key=key[0], seq=row.seq, last=last, now=row.value)
+    def on_columns(self, key: Any, seq: np.ndarray, value: np.ndarray) -> Columns | None:
+        last = self.state.get()[0] if self.state.exists() else None
+        value = value.astype(np.float64)
+        before = _after(np.nan if last is None else last, value[:-1])
+        self.state.update((None if np.isnan(value[-1]) else float(value[-1]),))
+        far = np.abs(before - value) >= self.threshold
+        if not far.any():
+            return None
+        return {"key": key[0], "seq": seq[far], "last": before[far], "now": value[far]}
 
 
 class RunningCount(_InArrivalOrder):
     """(key, seq, running_count)."""
 
+    columns = ("seq",)
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("count", "n bigint")
 
-    def load(self) -> None:
-        self.n = self.state.get()[0] if self.state.exists() else 0
-
-    def store(self) -> None:
-        self.state.update((self.n,))
-
-    def on_row(self, key: Any, row: Row) -> Iterator[Row]:
-        self.n += 1
-        yield Row(key=key[0], seq=row.seq, running_count=self.n)
+    def on_columns(self, key: Any, seq: np.ndarray) -> Columns:
+        n = self.state.get()[0] if self.state.exists() else 0
+        self.state.update((n + len(seq),))
+        return {"key": key[0], "seq": seq, "running_count": np.arange(n + 1, n + len(seq) + 1)}
 
 
 class RollingReduce(_InArrivalOrder):
     """(key, seq, at, value): a user function folds each row into the (at, value) so far."""
 
+    columns = ("seq", "at", "value")
+
     def __init__(self, reduce: Callable[[tuple, tuple], tuple]):
         self.reduce = reduce
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "at bigint, value double")
 
-    def load(self) -> None:
-        self.so_far = tuple(self.state.get()) if self.state.exists() else None
-
-    def store(self) -> None:
-        self.state.update(self.so_far)
-
-    def on_row(self, key: Any, row: Row) -> Iterator[Row]:
-        new = (row.at, row.value)
-        self.so_far = new if self.so_far is None else self.reduce(self.so_far, new)
-        yield Row(key=key[0], seq=row.seq, at=self.so_far[0], value=self.so_far[1])
+    def on_columns(self, key: Any, seq: np.ndarray, at: np.ndarray, value: np.ndarray) -> Columns:
+        so_far = tuple(self.state.get()) if self.state.exists() else None
+        out = []
+        for new in zip(at.tolist(), value.tolist()):
+            so_far = new if so_far is None else self.reduce(so_far, new)
+            out.append(so_far)
+        self.state.update(so_far)
+        ats, values = zip(*out)
+        return {"key": key[0], "seq": seq, "at": ats, "value": values}
 
 
 class Changelog(_InArrivalOrder):
@@ -109,21 +112,27 @@ class Changelog(_InArrivalOrder):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("aggregate", "n bigint, total double")
 
-    def load(self) -> None:
-        self.n, self.total = self.state.get() if self.state.exists() else (0, 0.0)
-
-    def store(self) -> None:
-        self.state.update((self.n, self.total))
-
-    def on_row(self, key: Any, row: Row) -> Iterator[Row]:
-        if self.n:
-            yield Row(key=key[0], seq=row.seq, op="-", count=self.n, sum=self.total)
-        self.n, self.total = self.n + 1, self.total + row.value
-        yield Row(key=key[0], seq=row.seq, op="+", count=self.n, sum=self.total)
+    def on_columns(self, key: Any, seq: np.ndarray, value: np.ndarray) -> Columns:
+        n, total = self.state.get() if self.state.exists() else (0, 0.0)
+        totals = np.cumsum(_after(total, value.astype(np.float64)))
+        counts = np.arange(n, n + len(seq) + 1)
+        self.state.update((int(counts[-1]), float(totals[-1])))
+        # Each row takes back the aggregate before it, if there was one, and gives the one after it.
+        each = np.repeat(np.arange(len(seq)), 2)
+        adds = np.tile([0, 1], len(seq))
+        keep = counts[each + adds] > 0
+        each, adds = each[keep], adds[keep]
+        return {
+            "key": key[0],
+            "seq": seq[each],
+            "op": np.where(adds == 1, "+", "-"),
+            "count": counts[each + adds],
+            "sum": totals[each + adds],
+        }
 
 
 class _RecentRows(_InArrivalOrder):
-    """Keeps the last ``size`` values of a key and the number of rows seen."""
+    """Keeps the last values of a key, one less than ``size``, and the number of rows seen."""
 
     size: int
 
@@ -131,19 +140,19 @@ class _RecentRows(_InArrivalOrder):
         self.recent = handle.getListState("recent", "value double")
         self.seen = handle.getValueState("seen", "n bigint")
 
-    def load(self) -> None:
-        known = self.recent.get() if self.recent.exists() else ()
-        self.values = deque((v[0] for v in known), maxlen=self.size)
-        self.n = self.seen.get()[0] if self.seen.exists() else 0
-
-    def store(self) -> None:
-        self.recent.put([(v,) for v in self.values])
-        self.seen.update((self.n,))
-
-    def push(self, value: float) -> tuple[int, deque]:
-        self.values.append(value)
-        self.n += 1
-        return self.n, self.values
+    def framed(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the row, rows in the frame, their mean) for each new value."""
+        known = [v[0] for v in self.recent.get()] if self.recent.exists() else []
+        before = self.seen.get()[0] if self.seen.exists() else 0
+        values = np.concatenate([np.zeros(self.size - 1 - len(known)), known, value.astype(np.float64)])
+        sums = np.lib.stride_tricks.sliding_window_view(values, self.size).sum(axis=1)
+        n = np.arange(before + 1, before + len(value) + 1)
+        tail = values[len(values) - min(self.size - 1, int(n[-1])) :]
+        if len(tail):
+            self.recent.put([(float(v),) for v in tail])
+        self.seen.update((int(n[-1]),))
+        held = np.minimum(n, self.size)
+        return n, held, sums / held
 
 
 class CountWindowAvg(_RecentRows):
@@ -152,10 +161,12 @@ class CountWindowAvg(_RecentRows):
     def __init__(self, size: int = 10, slide: int = 2):
         self.size, self.slide = size, slide
 
-    def on_row(self, key: Any, row: Row) -> Iterator[Row]:
-        n, values = self.push(row.value)
-        if n % self.slide == 0:
-            yield Row(key=key[0], seq=row.seq, n=n, avg=sum(values) / len(values))
+    def on_columns(self, key: Any, seq: np.ndarray, value: np.ndarray) -> Columns | None:
+        n, _, avg = self.framed(value)
+        fires = n % self.slide == 0
+        if not fires.any():
+            return None
+        return {"key": key[0], "seq": seq[fires], "n": n[fires], "avg": avg[fires]}
 
 
 class OverRows(_RecentRows):
@@ -164,11 +175,9 @@ class OverRows(_RecentRows):
     def __init__(self, preceding: int = 2):
         self.size = preceding + 1
 
-    def on_row(self, key: Any, row: Row) -> Iterator[Row]:
-        _, values = self.push(row.value)
-        yield Row(
-            key=key[0], seq=row.seq, count=len(values), avg=sum(values) / len(values)
-        )
+    def on_columns(self, key: Any, seq: np.ndarray, value: np.ndarray) -> Columns:
+        _, held, avg = self.framed(value)
+        return {"key": key[0], "seq": seq, "count": held, "avg": avg}
 
 
 class ClickLimit(_InArrivalOrder):
@@ -179,6 +188,7 @@ class ClickLimit(_InArrivalOrder):
     """
 
     DAY_US = 86_400_000_000
+    columns = ("seq", "at")
 
     def __init__(self, limit: int = 100, reset: str = "calendar_day", expires: bool = False):
         if reset not in ("calendar_day", "rolling_24h"):
@@ -189,15 +199,6 @@ class ClickLimit(_InArrivalOrder):
         self.handle = handle
         self.state = handle.getValueState("clicks", "first bigint, n bigint")
 
-    def load(self) -> None:
-        self.first, self.n = self.state.get() if self.state.exists() else (None, 0)
-        self.before = self.first
-
-    def store(self) -> None:
-        self.state.update((self.first, self.n))
-        if self.expires and self.first != self.before:
-            self.handle.registerTimer(self._end_ms(self.first))
-
     def _end_ms(self, first: int) -> int:
         """The first millisecond at which counting has restarted."""
         if self.reset == "calendar_day":
@@ -206,25 +207,75 @@ class ClickLimit(_InArrivalOrder):
 
     def handleExpiredTimer(
         self, key: Any, timerValues: Any, expiredTimerInfo: Any
-    ) -> Iterator[Row]:
+    ) -> Iterator[pd.DataFrame]:
         # A later click may have started a count of its own, with a timer of its own.
         if self.state.exists():
             if self._end_ms(self.state.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
                 self.state.clear()
         return iter(())
 
-    def _expired(self, first: int, at: int) -> bool:
+    def _restarts(self, first: int | None, at: np.ndarray) -> np.ndarray:
+        """The rows at which counting restarts, ascending."""
         if self.reset == "calendar_day":
-            return first // self.DAY_US != at // self.DAY_US
-        return at > first + self.DAY_US
+            days = np.concatenate([[-1 if first is None else first // self.DAY_US], at // self.DAY_US])
+            changed = days[1:] != days[:-1]
+            if first is None:
+                changed[0] = True
+            return np.flatnonzero(changed)
+        found, i = [], 0
+        if first is None:
+            found, first, i = [0], int(at[0]), 1
+        while i < len(at):
+            later = at[i:] > first + self.DAY_US
+            if not later.any():
+                break
+            i += int(later.argmax())
+            found.append(i)
+            first = int(at[i])
+        return np.array(found, dtype=np.int64)
+
+    def on_columns(self, key: Any, seq: np.ndarray, at: np.ndarray) -> Columns | None:
+        first, n = self.state.get() if self.state.exists() else (None, 0)
+        starts = self._restarts(first, at)
+        rows = np.arange(len(at))
+        run = np.searchsorted(starts, rows, "right")
+        # How many clicks of its count come before a row.
+        before = np.where(run > 0, rows - np.concatenate([[0], starts])[run], n + rows)
+        new_first = int(at[starts[-1]]) if len(starts) else first
+        self.state.update((new_first, min(int(before[-1]) + 1, self.limit + 1)))
+        if self.expires and new_first != first:
+            self.handle.registerTimer(self._end_ms(new_first))
+        told = before <= self.limit
+        if not told.any():
+            return None
+        kind = np.where(before[told] < self.limit, "pass", "warn")
+        return {"user": key[0], "ad": key[1], "seq": seq[told], "kind": kind}
+
+
+class CountsByCategory(_InArrivalOrder):
+    """(key, seq, category, count): how often the key has met the row's category, from map state.
+
+    A micro-batch reads and writes the entries of the categories it holds. With ``ttl_ms`` (processing time)
+    entries not touched for so long are forgotten.
+    """
+
+    columns = ("seq", "category")
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
 
-    def on_row(self, key: Any, row: Row) -> Iterator[Row]:
-        if self.first is None or self._expired(self.first, row.at):
-            self.first, self.n = row.at, 0
-        if self.n <= self.limit:
-            self.n += 1
-            kind = "pass" if self.n <= self.limit else "warn"
-            yield Row(user=key[0], ad=key[1], seq=row.seq, kind=kind)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getMapState("counts", "category string", "n bigint", self.ttl_ms)
+
+    def on_columns(self, key: Any, seq: np.ndarray, category: np.ndarray) -> Columns:
+        codes, names = pd.factorize(category, use_na_sentinel=False)
+        nth = pd.Series(codes).groupby(codes).cumcount().to_numpy() + 1
+        before = np.zeros(len(names), dtype=np.int64)
+        for i, name in enumerate(names):
+            entry = (None if pd.isna(name) else name,)
+            before[i] = self.counts.getValue(entry)[0] if self.counts.containsKey(entry) else 0
+            self.counts.updateValue(entry, (int(before[i] + (codes == i).sum()),))
+        return {"key": key[0], "seq": seq, "category": category, "count": before[codes] + nth}
 
 
 class KeyTimer(StatefulProcessor):
@@ -276,14 +327,20 @@ class _InEventOrder(StatefulProcessor):
         self.last = handle.getValueState("last", "value double")
         self.wake = handle.getValueState("wake", "at_ms bigint")
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+    def handleInputRows(
+        self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
+    ) -> Iterator[pd.DataFrame]:
         earliest = None
-        for row in rows:
-            self.waiting.appendValue((row.at, row.seq, float(row.value)))
-            earliest = row.at if earliest is None else min(earliest, row.at)
+        for batch in rows:
+            at = batch["at"].to_numpy()
+            self.waiting.appendList(
+                list(zip(at.tolist(), batch["seq"].tolist(), batch["value"].astype("float64").tolist()))
+            )
+            least = int(at.min())
+            earliest = least if earliest is None else min(earliest, least)
         if earliest is not None:
             self._wake_by(earliest)
-        return iter([])
+        return iter(())
 
     def _wake_by(self, at_us: int) -> None:
         """One timer at most is pending: the earliest time anything can be decided."""
@@ -298,7 +355,7 @@ class _InEventOrder(StatefulProcessor):
 
     def handleExpiredTimer(
         self, key: Any, timerValues: Any, expiredTimerInfo: Any
-    ) -> Iterator[Row]:
+    ) -> Iterator[pd.DataFrame]:
         self.wake.clear()
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
@@ -317,7 +374,7 @@ class _InEventOrder(StatefulProcessor):
             out += self.finished(key, *running)
             running = None
         self._store(later, running, last)
-        return iter(out)
+        return iter([pd.DataFrame(out)] if out else [])
 
     def _store(self, later: list[tuple], running: tuple | None, last: float | None) -> None:
         if later:
@@ -341,7 +398,7 @@ class _InEventOrder(StatefulProcessor):
     ) -> tuple | None:
         raise NotImplementedError
 
-    def finished(self, key: Any, opened: int, last: int, n: int) -> list[Row]:
+    def finished(self, key: Any, opened: int, last: int, n: int) -> list[Columns]:
         raise NotImplementedError
 
     def close(self) -> None:
@@ -359,7 +416,7 @@ class RiseAlert(_InEventOrder):
         return None
 
     def finished(self, key, opened, last, n):
-        return [Row(key=key[0], rise_start=opened, alert_time=opened + self.interval_us)]
+        return [{"key": key[0], "rise_start": opened, "alert_time": opened + self.interval_us}]
 
 
 class RepeatedFailures(_InEventOrder):
@@ -379,7 +436,7 @@ class RepeatedFailures(_InEventOrder):
     def finished(self, key, opened, last, n):
         if n < self.min_failures:
             return []
-        return [Row(key=key[0], first_fail=opened, last_fail=last, fail_times=n)]
+        return [{"key": key[0], "first_fail": opened, "last_fail": last, "fail_times": n}]
 
 
 def _transform(
@@ -389,7 +446,10 @@ def _transform(
     schema: str,
     time_mode: str = "None",
 ) -> DataFrame:
-    return df.groupBy(*keys).transformWithState(
+    grouped = df.groupBy(*keys)
+    # The timer's processor is the one that goes by rows.
+    run = grouped.transformWithState if isinstance(processor, KeyTimer) else grouped.transformWithStateInPandas
+    return run(
         statefulProcessor=processor,
         outputStructType=schema,
         outputMode="append",
@@ -423,6 +483,22 @@ def running_count_stream(df: DataFrame, key: str) -> DataFrame:
     ).withColumnRenamed("key", key)
 
 
+def category_counts_stream(df: DataFrame, key: str, category: str, ttl_ms: int | None = None) -> DataFrame:
+    """(key, seq, category, count): the running count of a key's rows of the same category.
+
+    With ``ttl_ms`` an ordinary trigger is needed: processing time keeps an availableNow run going.
+    """
+    kind = dict(df.dtypes)[key]
+    counted = _transform(
+        df.select(key, "seq", F.col(category).cast("string").alias("category")),
+        [key],
+        CountsByCategory(ttl_ms),
+        f"key {kind}, seq bigint, category string, count bigint",
+        "None" if ttl_ms is None else "ProcessingTime",
+    )
+    return counted.select(F.col("key").alias(key), "seq", F.col("category").alias(category), "count")
+
+
 def rolling_reduce_stream(
     df: DataFrame, key: str, value: str, reduce: Callable[[tuple, tuple], tuple]
 ) -> DataFrame:

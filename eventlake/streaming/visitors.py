@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlake.functions.hashing import BITMAP_BITS, bitmap_offset
+from eventlake.functions.times import micros
 from eventlake.operators.ordered import DEFAULT_CHUNK_ROWS, ordered
-from eventlake.operators.transforms import keep
+from eventlake.operators.transforms import keep as kept
 
 _TOTALS = "window_end TIMESTAMP, total BIGINT"
 
@@ -27,7 +28,7 @@ def first_sightings(
     # On a stream this is the micro-batch's time, the same for all its rows and for a replay.
     batch_time = F.current_timestamp().alias("at")
     first = (
-        keep(behaviors, F.col("behavior") == behavior)
+        kept(behaviors, F.col("behavior") == behavior)
         .select("event_time", offset, "seq", batch_time)
         .groupBy(F.window("event_time", size), "offset")
         .agg(F.min(F.struct("at", "seq")).alias("first"), F.max("at").alias("latest"))
@@ -39,13 +40,14 @@ def first_sightings(
 
 
 def number_first_sightings(
-    path: str, chunk_rows: int = DEFAULT_CHUNK_ROWS
+    path: str, chunk_rows: int = DEFAULT_CHUNK_ROWS, keep: str = "1 day"
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that counts up the visitors of every window.
 
     A batch holds new sightings only. They are numbered in arrival order on top of the count
-    their window had reached; each batch keeps the counts of all windows so far, so the next reads
-    those of one batch. Results, under ``path`` on shared storage: ``path/uv/batch-N`` with
+    their window had reached; each batch leaves the counts of open windows to the next, which reads
+    those of one batch. Windows that ended more than ``keep`` before the newest one are closed; ``keep`` is to be
+    at least the window and the watermark's delay. Results, under ``path`` on shared storage: ``path/uv/batch-N`` with
     (window_end, seq, uv).
     """
 
@@ -61,9 +63,12 @@ def number_first_sightings(
         counted.join(reached, "window_end", "left").select(
             "window_end", "seq", (F.col("n") + F.coalesce("__reached", F.lit(0))).alias("uv")
         ).write.mode("overwrite").parquet(f"{path}/uv/batch-{batch_id}")
-        new = batch.groupBy("window_end").agg(F.count(F.lit(1)).alias("total"))
-        earlier.unionByName(new).groupBy("window_end").agg(
-            F.sum("total").alias("total")
-        ).write.mode("overwrite").parquet(f"{path}/totals/batch-{batch_id}")
+        new = spark.read.schema("window_end TIMESTAMP").parquet(f"{path}/uv/batch-{batch_id}")
+        new = new.groupBy("window_end").agg(F.count(F.lit(1)).alias("total"))
+        totals = earlier.unionByName(new).groupBy("window_end").agg(F.sum("total").alias("total"))
+        newest = totals.agg(F.max(F.unix_micros("window_end"))).first()[0]
+        if newest is not None:
+            totals = totals.where(F.unix_micros("window_end") > newest - micros(keep))
+        totals.write.mode("overwrite").parquet(f"{path}/totals/batch-{batch_id}")
 
     return number

@@ -1,4 +1,4 @@
-"""Input rows the jobs are shown on (readings, logins and clicks are fixed values)."""
+"""Input rows the jobs are shown on (readings and logins are fixed values)."""
 
 HELLO_LINES = ["hello there", "hello world", "hello again", "one more line now", "the end c"]
 
@@ -40,42 +40,14 @@ LOGIN_ROWS = [
     (83419, "success", 1558430886),
 ]
 
-# Ad clicks by line number, all but those of the one busy user.
-_OTHER_CLICKS = {
-    1: (543462, 1715, "beijing", 1511658000),
-    2: (662867, 2244074, "guangdong", 1511658060),
-    3: (561558, 3611281, "guangdong", 1511658120),
-    4: (894923, 1715, "beijing", 1511658180),
-    5: (834377, 2244074, "shanghai", 1511658240),
-    6: (625915, 3611281, "guangdong", 1511658300),
-    7: (578814, 1715, "guangdong", 1511658330),
-    8: (873335, 1256540, "shanghai", 1511658540),
-    9: (429984, 2244074, "guangdong", 1511658600),
-    18: (161501, 36156, "jiangsu", 1511661608),
-    29: (2315, 36156, "zhejiang", 1511661618),
-    30: (10236, 5614, "henan", 1511661619),
-    53: (2315, 36237, "zhejiang", 1511661641),
-    54: (10236, 2914, "henan", 1511661641),
-    55: (2315, 7156, "zhejiang", 1511661641),
-    56: (10236, 5389, "hebei", 1511661641),
-    69: (161501, 36156, "jiangsu", 1511661652),
-    72: (161501, 36156, "jiangsu", 1511661654),
-    73: (161501, 36156, "jiangsu", 1511661655),
-    112: (2315, 36237, "zhejiang", 1511661692),
-    113: (10236, 2914, "henan", 1511661693),
-    114: (2315, 7156, "zhejiang", 1511661693),
-}
-
-
-def ad_click_rows():
-    """(line, userId, adId, province, timestamp): one user clicks every second."""
-    busy = iter([*range(1511661601, 1511661720), 1511661710, 1511661711])
-    return [
-        (line, *_OTHER_CLICKS[line])
-        if line in _OTHER_CLICKS
-        else (line, 937166, 1715, "beijing", next(busy))
-        for line in range(1, 144)
+def click_rows():
+    """(seq, userId, adId, province, timestamp), made up: one user clicks the same ad every second, others now and then."""
+    start = 1_700_000_000
+    busy = [(i, 7, 70, "north", start + i) for i in range(130)]
+    others = [
+        (130 + i, 100 + i % 9, 70 + i % 4, ("south", "east", "west")[i % 3], start + 37 * i) for i in range(40)
     ]
+    return busy + others
 
 
 def rows(df, *order):

@@ -1,12 +1,15 @@
 import random
+from collections import Counter
+from datetime import datetime, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eventlake.operators import detect
+from eventlake.operators import detect, episodes
 from eventlake.operators.parse import with_event_time
 from eventlake.plans import ads, logins
-from tests.fixtures import LOGIN_ROWS, ad_click_rows, rows
+from tests.fixtures import LOGIN_ROWS, click_rows, rows
 
 DAY = 86_400
 
@@ -119,29 +122,31 @@ def test_silence_after_a_rise_alerts_and_the_interval_end_still_cancels(spark):
 @pytest.fixture(scope="module")
 def clicks(spark):
     df = spark.createDataFrame(
-        ad_click_rows(),
+        click_rows(),
         "seq bigint, userId bigint, adId bigint, province string, timestamp bigint",
     )
     return with_event_time(df)
 
 
-def test_click_limit_golden(clicks):
+def test_click_limit(clicks):
     passed, warnings = ads.click_blacklist(clicks, 100)
-    assert passed.count() == 122
-    assert rows(warnings) == [(937166, 1715, 123, "click over 100 times.")]
-
-
-def test_clicks_by_province_golden(clicks):
-    found = ads.clicks_by_province(clicks).select(
-        "province", F.unix_seconds("window_end").alias("e"), "count", "window_end_text"
-    )
-    counts = found.collect()
-    assert len(counts) == 99 and sum(r["count"] for r in counts) == 1716
-    busiest = sorted(r.e for r in counts if r.province == "beijing" and r["count"] == 121)
-    assert busiest == list(range(1511661900, 1511665201, 300))
-    assert {r.window_end_text for r in counts if r.e == 1511661900} == {"2017-11-26 02:05:00.0"}
+    assert passed.count() == len(click_rows()) - 30
+    # The 101st click of the busy user is warned about, the 29 after it are dropped.
+    assert rows(warnings) == [(7, 70, 100, "click over 100 times.")]
+
+
+def test_clicks_by_province(clicks):
+    expected = Counter()
+    for _, _, _, province, at in click_rows():
+        for k in range(1, 13):
+            expected[province, (at // 300 + k) * 300] += 1
+    found = ads.clicks_by_province(clicks)
+    seconds = found.select("province", F.unix_seconds("window_end").alias("e"), "count", "window_end_text").collect()
+    assert {(r.province, r.e): r["count"] for r in seconds} == expected
+    for r in seconds:
+        assert r.window_end_text == datetime.fromtimestamp(r.e, timezone.utc).strftime("%Y-%m-%d %H:%M:%S") + ".0"
     allowed = ads.clicks_by_province(clicks, exclude_blacklisted=True)
-    assert allowed.agg(F.max("count")).first()[0] == 100
+    assert allowed.where("province = 'north'").agg(F.max("count")).first()[0] == 100
 
 
 @pytest.mark.parametrize("chunk_rows", [1_000_000, 6])
@@ -169,3 +174,56 @@ def test_click_limit_resets(spark, reset, chunk_rows):
     ok, warnings = ads.click_blacklist(df, 2, reset=reset, chunk_rows=chunk_rows)
     assert {r.seq for r in ok.collect()} == passed
     assert warned and {r.warned_at for r in warnings.collect()} == warned
+
+
+def walked(openings, window, running=None):
+    """What runs after (time, opens) rows, by a plain loop."""
+    for at, opens in openings:
+        if not opens:
+            running = None
+        elif running is None or at > running + window:
+            running = at
+    return running
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_step_functions_compose_to_the_walk(seed):
+    import pandas as pd
+
+    rng = random.Random(seed)
+    none, window = episodes._NONE, 10
+    at, chunks = 0, []
+    for _ in range(40):
+        chunk = []
+        for _ in range(rng.randrange(1, 6)):
+            at += rng.choice([0, 1, 3, 12])
+            chunk.append((at, rng.random() > (0.02 if seed % 2 else 0.2)))
+        chunks.append(chunk)
+        at += 1  # rows of one instant share a chunk
+    summarise = episodes._summarise([], window)
+    steps = []
+    for chunk in chunks:
+        pdf = pd.DataFrame(chunk, columns=["__at", "__opens"]).assign(**{"__n": range(len(chunk)), "__chunk": 0})
+        steps.append(episodes._as_step(summarise(pdf).iloc[0].to_dict()))
+    for first in range(0, 40, 7):
+        whole = steps[first]
+        for k in range(first + 1, 40):
+            whole = episodes.composed(whole, steps[k], window)
+            rows = [r for c in chunks[first : k + 1] for r in c]
+            for running in [None, *range(chunks[first][0][0] - 25, chunks[first][0][0])]:
+                (found,) = episodes._applied(np.array([none if running is None else running]), whole, window)
+                expected = walked(rows, window, running)
+                assert found == (none if expected is None else expected)
+            assert len(whole[3]) <= window + 2
+
+
+def test_a_thousand_chunks(spark):
+    rng = random.Random(8)
+    rows, at = [], 0
+    for seq in range(2000):
+        at += rng.choice([1, 1, 2, 40])
+        rows.append((seq, 1, "fail" if rng.random() < 0.9 else "success", at))
+    df = with_event_time(spark.createDataFrame(rows, "seq bigint, userId bigint, loginState string, timestamp bigint"))
+    few = logins.login_failures(df, interval="10 seconds", chunk_rows=2)
+    whole = logins.login_failures(df, interval="10 seconds")
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, whole.collect()))

@@ -107,6 +107,19 @@ def test_closed_windows(spark, tmp_path, size, slide):
     assert sorted(found.select(columns).collect()) == sorted(expected.select(columns).collect())
 
 
+def test_batches_without_rows_or_times(spark, tmp_path):
+    work = panes.CorrectedWindows(str(tmp_path), "30 seconds", "10 seconds", ["url"], "5 seconds", "1 minute", lambda c: c)
+    work(rows(spark, (1, "a")).limit(0), 0)
+    work(rows(spark, (1, "a")).selectExpr("CAST(NULL AS TIMESTAMP) AS event_time", "url"), 1)
+    assert updates(spark, tmp_path) == []
+    work(rows(spark, (5, "a"), (90, "b")), 2)
+    assert updates(spark, tmp_path) == [(2, e, "a", 1, "first") for e in (10, 20, 30)]
+    closed = panes.ClosedWindows(str(tmp_path / "c"), "pane_end TIMESTAMP, n BIGINT", "30 seconds", "10 seconds", [], lambda c: c)
+    closed(spark.createDataFrame([], "pane_end TIMESTAMP, n BIGINT"), 0)
+    closed.flush(spark, 10**15)
+    assert spark.read.parquet(f"{tmp_path}/c/windows/batch_id=*").count() == 0
+
+
 def test_slide_has_to_divide_the_size(spark, tmp_path):
     with pytest.raises(ValueError):
         panes.ClosedWindows(str(tmp_path), "n BIGINT", "10 seconds", "3 seconds", [], lambda c: c)

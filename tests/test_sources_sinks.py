@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from eventlake.operators import parse
+from eventlake.operators import parse, transforms
 from eventlake.plans import raw_zone
 from eventlake.schemas import SENSOR_READING
 from eventlake.session import shared_dir
@@ -191,3 +191,40 @@ def test_flat_lake_keeps_every_row(spark, routed):
     lake.write_lake(routed, base)
     assert os.path.isdir(f"{base}/path=b%3D7%2Fa%3Dx/dt=2024-01-01")
     assert found_in_lake(spark, base) == sorted(LAKE)
+
+
+def test_branches_take_one_scan_and_one_write(spark, tmp_path):
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "value")
+    marked = transforms.tagged(df, {"high": F.col("value") > 30, "even": F.col("event_id") % 2 == 0, "none": F.lit(None).cast("boolean")})
+    assert marked._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    path = str(tmp_path / "branches")
+    files.write_branches(marked, path)
+    high, even = (files.read_branch(marked, path, name) for name in ("high", "even"))
+    assert sorted(high.collect()) == sorted(df.where("value > 30").collect())
+    assert sorted(even.collect()) == sorted(df.where("event_id % 2 = 0").collect())
+    assert files.read_branch(marked, path, "none").count() == 0
+
+
+def test_lake_files_roll_by_bytes(spark):
+    rows_ = [(f"k={i % 3 if i % 5 else 9}", "2024-01", '{"data":"%s","extraData":"x"}' % ("d" * (i % 90))) for i in range(4000)]
+    df = spark.createDataFrame(rows_, "path string, dt string, data string")
+    df = df.withColumn("entries", F.array().cast("array<struct<key:string,value:string>>"))
+    for roll in (1 << 30, 20_000):
+        base = shared_dir(spark, "rolled")
+        lake.write_lake(df, base, roll_bytes=roll)
+        sizes = {}
+        for folder, _, names in os.walk(base):
+            for name in names:
+                if name.endswith(".json"):
+                    sizes.setdefault(folder, []).append(os.path.getsize(f"{folder}/{name}"))
+        assert len(sizes) == 4
+        for files_ in sizes.values():
+            if roll > sum(files_):
+                continue
+            assert max(files_) <= 1.1 * roll
+            assert len(files_) <= 2 + 5 * sum(files_) // roll
+        found = lake.read_lake_lines(spark, base)
+        assert found.count() == len(rows_)
+        lengths = found.groupBy("path").agg(F.sum(F.length("line")).alias("n"))
+        expected = df.groupBy("path").agg(F.sum(F.length("data")).alias("n"))
+        assert sorted(lengths.collect()) == sorted(expected.collect())

@@ -254,27 +254,30 @@ def test_late_rows_survive_a_restart(spark):
     path, schema = in_files(spark, df, "seq", 9)
     base = shared_dir(spark, "late")
 
+    source_rows = with_event_time(stream(spark, (path, schema)))
+
     def go():
-        split = late.split_late(
-            f"{base}/progress",
-            "15 seconds",
-            "2 seconds",
-            "1 minute",
-            run.write_batch_folder(f"{base}/main"),
-            run.write_batch_folder(f"{base}/late"),
-        )
-        run.drain_batches(
-            with_event_time(stream(spark, (path, schema))), split, checkpoint=f"{base}/cp"
-        )
+        split = late.split_late(base, "15 seconds", "2 seconds", "1 minute")
+        run.drain_batches(with_event_time(stream(spark, (path, schema))), split, checkpoint=f"{base}/cp")
 
     go()
-    more = spark.createDataFrame([(9, 100), (10, 399)], "seq bigint, timestamp bigint")
+    more = spark.createDataFrame([(9, 100), (10, 399), (11, None)], "seq bigint, timestamp bigint")
     more.coalesce(1).write.mode("append").parquet(path)
     go()
-    late_rows = spark.read.parquet(f"{base}/late")
-    on_time = spark.read.parquet(f"{base}/main")
-    assert {r.seq for r in late_rows.collect()} == {4, 6, 9}
-    assert {r.seq for r in on_time.collect()} == {0, 1, 2, 3, 5, 7, 8, 10}
+    assert {r.seq for r in late.split_rows(source_rows, base, True).collect()} == {4, 6, 9}
+    assert {r.seq for r in late.split_rows(source_rows, base, False).collect()} == {0, 1, 2, 3, 5, 7, 8, 10, 11}
+
+
+def test_late_split_reads_one_row_of_progress(spark, tmp_path):
+    split = late.split_late(str(tmp_path), "15 seconds", "2 seconds", "1 minute")
+    df = spark.createDataFrame([(i, 100 * i) for i in range(6)], "seq bigint, timestamp bigint")
+    for b in range(4):
+        for _ in range(2):  # handed over again
+            split(with_event_time(df.where(F.col("seq") == 5 - b)), b)
+        if b >= 2:  # what earlier batches left is not read again
+            (tmp_path / "progress" / f"batch-{b - 2}").rename(tmp_path / f"gone-{b}")
+    assert {r.seq for r in late.split_rows(with_event_time(df), str(tmp_path), True).collect()} == {2, 3, 4}
+    assert {r.seq for r in late.split_rows(with_event_time(df), str(tmp_path), False).collect()} == {5}
 
 
 def test_file_sink_restart_neither_loses_nor_repeats(spark):
