@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ BITS = 64
 SHINGLE_WORDS = 3
 MOST_DIFFERING = 2
 HASH_SEED = 42
-# Buckets of at most so many fingerprints are compared pair by pair; larger ones by midpoints.
+# Buckets of at most so many fingerprints, or shingle sets, are compared pair by pair.
 PAIRED_BUCKET = 48
 # Shingles of more than COMMON_FROM documents of a seeded share come last in the order of prefixes, so
 # many of them at most. Links depend on none of the three, only the number of candidates does.
@@ -25,6 +26,8 @@ COMMON_SHARE = 0.125
 COMMON_FROM = 1
 COMMON_MOST = 1 << 17
 SET_BLOCK_BYTES = 1 << 20
+# Keys of at most so many rows (8 bytes each) are broadcast to filter a table; more are joined by a shuffle.
+SENT_KEYS = 2_000_000
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -337,27 +340,28 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     return low[order], rank[order]
 
 
-def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+def prefixes(
+    docs: DataFrame, words: int, similarity: float, common: Broadcast, shared: int = 1
+) -> DataFrame:
     """(shingle, key, n, at): the first shingles of each document's set of ``n``, and their places.
 
-    Sets of Jaccard similarity ``similarity`` share one of their first ``n - ceil(similarity * n) + 1``
-    shingles in any order common to all sets; here the commonest come last.
+    Sets of Jaccard similarity ``similarity`` share at least ``shared`` of their first
+    ``n - ceil(similarity * n) + shared`` shingles in any order common to all sets; here the commonest come last.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
 
     def work(block: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
-        common, rank = shared.value
+        often, rank = common.value
         shingles, rows = [np.empty(0, np.uint64)], []
         keys = _set_keys(sets)
         for i, found in enumerate(sets):
             if not len(found):
                 continue
-            most = len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1
+            most = len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + shared
             ranks = np.zeros(len(found), dtype=np.int64)
-            if len(common):
+            if len(often):
                 low = found.astype(np.uint32)
-                place = np.minimum(np.searchsorted(common, low), len(common) - 1)
-                ranks = np.where(common[place] == low, rank[place], 0)
+                place = np.minimum(np.searchsorted(often, low), len(often) - 1)
+                ranks = np.where(often[place] == low, rank[place], 0)
             first = np.lexsort((found, ranks))[:most]
             shingles.append(found[first])
             rows.append((keys[i], len(found), len(first)))
@@ -376,60 +380,158 @@ def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     return _text_sets(docs, words, work, "shingle BIGINT, key BIGINT, n INT, at INT")
 
 
-def similar_sets(docs: DataFrame, reps: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b), keys of all pairs of distinct shingle sets with a Jaccard similarity of ``similarity`` or more.
+def _among(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose (only) column of ``keys`` is among these; filtered in place if they are few."""
+    few = keys.count() <= SENT_KEYS
+    return df.join(F.broadcast(keys) if few else keys, keys.columns, "left_semi")
+
+
+class _Sets:
+    """Comparisons of whole shingle sets, each held by the document ``rep`` of ``reps`` (key, rep)."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame, words: int, similarity: float):
+        self.docs, self.reps, self.words, self.similarity = docs, reps, words, similarity
+
+    def needed(self, m: Column, n: Column) -> Column:
+        """How large the intersection of sets of sizes m and n has to be."""
+        return (m + n) * F.lit(self.similarity / (1 + self.similarity)) - F.lit(1e-9)
+
+    def holders(self, keys: DataFrame) -> DataFrame:
+        """The documents that hold the sets named in ``keys`` (key)."""
+        ids = written(self.reps.join(keys, "key", "left_semi").select(F.col("rep").alias("doc_id")), "simhash-holders")
+        return _among(self.docs, ids)
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Of the pairs (a, b, least) those whose sets share at least ``least`` shingles."""
 
-    ``reps``: (key, rep), a document for each set; copies are left out. Candidates share a shingle of their prefixes, and the sets' sizes and what is left after the
-    shared place allow the similarity; they are verified on the whole sets.
+        def work(block: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
+            values = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(_set_keys(sets)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
+                ["key", "shingles"],
+            )
+
+        pairs = both = written(pairs, "simhash-candidates")
+        sides = {
+            side: written(pairs.select(F.col(side).alias("key")).distinct(), "simhash-wanted") for side in ("a", "b")
+        }
+        holders = self.holders(sides["a"].union(sides["b"]).distinct())
+        held = written(_text_sets(holders, self.words, work, "key BIGINT, shingles ARRAY<BIGINT>"), "simhash-sets")
+        for side, wanted in sides.items():
+            both = both.join(_among(held, wanted).toDF(side, f"of_{side}"), side)
+        shared = F.size(F.array_intersect("of_a", "of_b"))
+        # Rows that share a doc_id may hold a set twice.
+        return written(both.where(shared >= F.col("least")).select("a", "b").distinct(), "simhash-verified")
+
+    def stars(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(rows in shared buckets with their pivot, links to pivots) of ``rows`` (bucket, key, n, at).
+
+        The pivot of a bucket is its smallest key. Every other set is compared with it, once whatever
+        buckets they share: as many comparisons as rows, whatever the size of a bucket. What is left before and
+        after the shared places has to allow the similarity.
+        """
+        ends = rows.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+        # Most shingles stand in one set only.
+        several = written(ends.where("low < high").select("bucket"), "simhash-several")
+        shared = written(_among(rows, several), "simhash-shared")
+        pivots = written(
+            shared.groupBy("bucket").agg(
+                F.min(F.struct("key", "n", "at")).alias("pivot"), F.count(F.lit(1)).alias("held")
+            ),
+            "simhash-pivots",
+        )
+        met = written(shared.join(pivots, "bucket"), "simhash-buckets")
+        least = self.needed(F.col("pivot.n"), F.col("n"))
+        room = F.least("pivot.at", "at") + F.least(F.col("pivot.n") - F.col("pivot.at"), F.col("n") - F.col("at"))
+        pairs = (
+            met.where((F.col("key") != F.col("pivot.key")) & (F.least("pivot.n", "n") >= least))
+            .groupBy(F.col("pivot.key").alias("a"), F.col("key").alias("b"))
+            .agg(F.first(least).alias("least"), F.min(room).alias("room"))
+            .where("room >= least")
+            .drop("room")
+        )
+        return met, self.verified(pairs)
+
+    def mixed(self, met: DataFrame, forest: DataFrame) -> DataFrame:
+        """The rows of buckets whose sets are not yet one component, with their components."""
+        named = met.join(forest.toDF("key", "component"), "key", "left").withColumn(
+            "component", F.coalesce("component", "key")
+        )
+        several = (
+            named.groupBy("bucket")
+            .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+            .where("low < high")
+        )
+        # Copies have the same rows.
+        return written(named.join(several, "bucket", "left_semi").distinct(), "simhash-mixed")
+
+    def across(self, rows: DataFrame, by_place: bool) -> DataFrame:
+        """Links between sets of different components that share a bucket, but for those with its pivot."""
+        x, y = rows.alias("x"), rows.alias("y")
+        least = self.needed(F.col("x.n"), F.col("y.n"))
+        left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) if by_place else F.least("x.n", "y.n")
+        pairs = (
+            x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")))
+            .where(
+                (F.col("x.key") < F.col("y.key"))
+                & (F.col("x.key") != F.col("x.pivot.key"))
+                & (F.least("x.n", "y.n") >= least)
+            )
+            # Places count what comes after the first shared shingle; before it none is shared.
+            .groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+            .agg(F.max(left - least).alias("room"), F.first(least).alias("least"))
+            .where("room >= 0")
+            .select("a", "b", "least")
+        )
+        return self.verified(pairs)
+
+
+def linked_sets(docs: DataFrame, reps: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, component): the keys of shingle sets that link with others, and the smallest key reachable.
+
+    ``reps``: (key, rep), a document for each set. Sets that link share a shingle of their
+    prefixes. In each shingle's bucket all sets are first compared with one, which makes a group of near
+    copies one component by as many comparisons as it has members. Only sets of different components
+    that share a bucket are compared after that: pair by pair in small buckets; a larger one is split by
+    a second shingle (sets that link share two of prefixes one longer), again with one comparison each
+    before the pairs. All comparisons are of whole sets, and no pair that may link is left out.
     """
     doc_id = F.col("doc_id").cast("bigint")
     docs = docs.select(doc_id.alias("doc_id"), "text")
-    one_each = docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    rows = prefixes(one_each, words, similarity)
-    x, y = rows.alias("x"), rows.alias("y")
-    sizes = F.col("x.n") + F.col("y.n")
-    # Of two sets of sizes m and n, the intersection has to reach (m + n) * s / (1 + s).
-    least = sizes * F.lit(similarity / (1 + similarity)) - F.lit(1e-9)
-    left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    pairs = written(
-        x.join(y, F.col("x.shingle") == F.col("y.shingle"))
-        .where((F.col("x.key") < F.col("y.key")) & (F.least("x.n", "y.n") >= least))
-        # The places count only what comes after the first shared shingle; before it none is shared.
-        .groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-        .agg(F.max(left - least).alias("room"), F.first(least).alias("least"))
-        .where("room >= 0")
-        .select("a", "b", "least"),
-        "simhash-candidates",
-    )
-
-    def work(block: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
-        values = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
-        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(_set_keys(sets)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
-            ["key", "shingles"],
+    sets = _Sets(docs, reps, words, similarity)
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
+    # Copies give the same rows again, which costs less than to leave them out by a join of all texts.
+    first = written(prefixes(docs, words, similarity, common), "simhash-prefixes")
+    met, links = sets.stars(first.withColumnRenamed("shingle", "bucket"))
+    forest = written(components(links), "simhash-forest")
+    mixed = sets.mixed(met, forest)
+    edges = forest.toDF("a", "b").unionByName(sets.across(mixed.where(F.col("held") <= PAIRED_BUCKET), True))
+    large = mixed.where(F.col("held") > PAIRED_BUCKET).select("bucket", "key").distinct()
+    if not large.isEmpty():
+        holders = sets.holders(large.select("key").distinct())
+        longer = prefixes(holders, words, similarity, common, shared=2)
+        longer = longer.join(large, "key").where(F.col("shingle") != F.col("bucket"))
+        both = longer.select(
+            F.xxhash64(F.least("bucket", "shingle"), F.greatest("bucket", "shingle")).alias("bucket"),
+            "key",
+            "n",
+            F.lit(0).alias("at"),
         )
-
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    holders = reps.join(wanted, "key", "left_semi").select(F.col("rep").alias("doc_id"))
-    held = docs.join(holders, "doc_id", "left_semi")
-    sets = written(
-        _text_sets(held, words, work, "key BIGINT, shingles ARRAY<BIGINT>")
-        .join(wanted, "key", "left_semi")
-        .groupBy("key")
-        .agg(F.first("shingles").alias("shingles")),
-        "simhash-sets",
-    )
-    both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
-    return both.where(F.size(F.array_intersect("of_a", "of_b")) >= F.col("least")).select("a", "b")
+        met, links = sets.stars(written(both.distinct(), "simhash-second"))
+        edges = edges.unionByName(links)
+        forest = written(components(edges), "simhash-forest")
+        edges = forest.toDF("a", "b").unionByName(sets.across(sets.mixed(met, forest), False))
+    return components(edges)
 
 
 def near_duplicates_by_shingles(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """(doc_id, component_id) for every row of ``docs``, as `near_duplicates` but by shingle sets.
 
     Documents link whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity``
-    or more. No pair is lost: at 0.8 the SimHashes of short texts differ in up to 17 of 64 bits and
-    more, where no part of them selects, so candidates come from the pigeonhole on shingles instead.
+    or more. No link is lost: at 0.8 the SimHashes of short texts differ in up to 17 of 64 bits and
+    more, where no part of them selects, so candidates come from the pigeonhole on shingles instead
+    (`linked_sets`).
     Shingles and sets are told apart by 64-bit hashes. Texts without words are alike.
     """
 
@@ -441,17 +543,11 @@ def near_duplicates_by_shingles(docs: DataFrame, words: int, similarity: float)
     reps = written(
         keys.groupBy("key").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "simhash-reps"
     )
-    joined = written(
-        similar_sets(docs, reps, words, similarity)
-        .join(reps.toDF("a", "rep_a"), "a")
-        .join(reps.toDF("b", "rep_b"), "b")
-        .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")),
-        "simhash-links",
-    )
-    found = components(joined)
-    member = reps.join(found, reps["rep"] == found["node"], "left").select(
-        "key", F.coalesce("component", "rep").alias("component_id")
-    )
+    # Components are named by key; the group's name is the smallest document of its sets.
+    found = written(linked_sets(docs, reps, words, similarity).toDF("key", "group"), "simhash-links")
+    named = reps.join(found, "key", "left").withColumn("group", F.coalesce("group", "key"))
+    smallest = named.groupBy("group").agg(F.min("rep").alias("component_id"))
+    member = named.join(smallest, "group").select("key", "component_id")
     return keys.join(written(member, "simhash-members"), "key", "left").select("doc_id", "component_id")
 
 

@@ -62,8 +62,59 @@ def test_border_is_included(spark):
     assert kept(spark, spark.createDataFrame(rows, SCHEMA)) == plain_kept([(r[0], r[1]) for r in rows]) == {1, 3}
 
 
-@pytest.mark.parametrize("common", [(0, 1 << 17), (1, 7), (10**9, 1)])
+def test_groups_that_share_a_passage(spark, monkeypatch):
+    # Near copies in several groups, all with the same words for a third of their texts; texts of the
+    # shared words alone; and chains whose ends are not alike. Buckets are compared in every way.
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(4000)]
+    shared = rng.sample(words, 40)
+    rows = []
+    for group in range(9):
+        base = shared + rng.sample(words, rng.choice([3, 6, 12, 60]))
+        for _ in range(6):
+            text = list(base)
+            for _ in range(rng.randrange(3)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append((len(rows), " ".join(text), "en", "a", 0))
+    for k in range(6):
+        rows.append((len(rows), " ".join(shared[k:] + rng.sample(words, k)), "en", "a", 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    expected = plain_kept([(r[0], r[1]) for r in rows])
+    for bucket in (1, 4, 10_000):
+        monkeypatch.setattr(simhash, "PAIRED_BUCKET", bucket)
+        assert kept(spark, docs) == expected
+
+
+def test_a_large_group_takes_few_comparisons(spark):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(400):
+        text = list(base)
+        text[rng.randrange(300)] = f"x{i}"
+        rows.append((i, " ".join(text), "en", "a", 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    sets = simhash.near_duplicates_by_shingles(docs, 5, 0.8)
+    assert {r.component_id for r in sets.collect()} == {0}
+    compared = []
+    whole = simhash._Sets.verified
+
+    def counting(self, pairs):
+        pairs = simhash.written(pairs, "counted")
+        compared.append(pairs.count())
+        return whole(self, pairs)
+
+    simhash._Sets.verified = counting
+    try:
+        assert kept(spark, docs) == {0}
+    finally:
+        simhash._Sets.verified = whole
+    assert sum(compared) < 4 * len(rows)  # all pairs are 79,800
+
+
+@pytest.mark.parametrize("common", [(0, 1 << 17, 48), (1, 7, 2), (10**9, 1, 10_000)])
 def test_table_against_all_pairs_whatever_is_common(spark, docs, monkeypatch, common):
     monkeypatch.setattr(simhash, "COMMON_FROM", common[0])
     monkeypatch.setattr(simhash, "COMMON_MOST", common[1])
+    monkeypatch.setattr(simhash, "PAIRED_BUCKET", common[2])
     assert kept(spark, docs) == plain_kept([(r.doc_id, r.text) for r in docs.collect()])

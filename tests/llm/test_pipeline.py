@@ -1,8 +1,9 @@
 import corpus_pipeline
-from eventlake.llm import language, private, simhash
+from eventlake.llm import language, private
 from eventlake.llm.common import DOCUMENT_COLUMNS, written
 from pyspark.sql import functions as F
 from tests.llm.conftest import SF
+from tests.llm.test_near_copies import plain_kept
 from tests.llm.test_packing import check
 
 
@@ -20,8 +21,7 @@ def test_stages_take_effect(spark, docs):
         assert tuple(found[name].columns) == DOCUMENT_COLUMNS
     lettered = docs.where(F.col("text").rlike(r"\p{L}"))
     assert found["language"].count() == lettered.count()
-    groups = simhash.near_duplicates(found["language"])
-    expected = {r.component_id for r in groups.collect()}
+    expected = plain_kept([(r.doc_id, r.text) for r in found["language"].collect()])
     assert {r.doc_id for r in found["near_duplicates"].collect()} == expected
     spans = private.with_base(found["personal_data"].select("doc_id", "text"))
     assert spans.where(F.size("base") > 0).isEmpty()
