@@ -1,8 +1,9 @@
 """Keyed state on streams: one processor per operator that windows and joins cannot express.
 
-Rows of a key come as Arrow batches and are handled as columns, in arrival order (``seq``) or event-time
-order (``at``, epoch micros); state is read and written once for each key and micro-batch. State per key
-is a few values, the last few values, or the rows the watermark has not passed yet. A
+Rows come as Arrow batches and are handled as columns, in arrival order (``seq``) or event-time
+order (``at``, epoch micros). In arrival order the keys are dealt to buckets by hash: the rows of a bucket are handled
+together, and the state of its keys is read and written once for each micro-batch. In event-time order that holds
+for each key. State per key is a few values, the last few values, or the rows the watermark has not passed yet. A
 micro-batch hands one key's rows to one task, so the trigger's batch size
 (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) bounds a hot key (some 24 bytes a row); the batch operators cut hot
 keys into chunks instead.
@@ -10,125 +11,252 @@ keys into chunks instead.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 Columns = dict[str, Any]
 
+BUCKETS = 256  # of keys with one state; has to stay as it is while a checkpoint is in use
+MOST_KEYS = 4  # columns of a key; their null bits come first
+WHOLE_COLUMNS = ("seq", "at")
+WHOLE_TYPES = ("tinyint", "smallint", "int", "bigint")
+
+
+class _Groups:
+    """Where each key's rows lie in sorted columns, and what is held of the keys (arrays, one entry a key)."""
+
+    def __init__(self, starts: np.ndarray, n: int, known: np.ndarray, held: Columns):
+        self.starts, self.known, self.held = starts, known, held
+        self.sizes = np.diff(np.append(starts, n))
+        self.ends = starts + self.sizes
+        self.of = np.repeat(np.arange(len(starts)), self.sizes)
+        self.rows = np.arange(n)
+        self.place = self.rows - starts[self.of]
+
+
+def _packed(columns: Columns) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.table({c: pa.array(v) for c, v in columns.items()})
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> Columns:
+    table = pa.ipc.open_stream(pa.py_buffer(bytes(data))).read_all()
+    return {c: table.column(c).to_numpy() for c in table.column_names}
+
+
+def _codes(parts: list[np.ndarray]) -> np.ndarray:
+    """Numbers of the distinct rows of some columns, in order of appearance."""
+    codes = np.zeros(len(parts[0]), dtype=np.int64)
+    for part in parts:
+        found, names = pd.factorize(part, use_na_sentinel=False)
+        codes = pd.factorize(codes * len(names) + found)[0]
+    return codes
+
+
+def _whole(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers as such, 0 for null, and where they are null; pandas has them as doubles beside nulls."""
+    if values.dtype.kind in "iu":
+        return values, np.zeros(len(values), dtype=bool)
+    null = np.asarray(pd.isna(values))
+    return np.where(null, 0, values).astype(np.int64), null
+
+
+def _with_nulls(values: np.ndarray, null: np.ndarray) -> Any:
+    """Whole numbers or strings for output, null where ``null`` says so."""
+    if not null.any():
+        return values
+    if values.dtype.kind in "iu":
+        return pd.arrays.IntegerArray(values, null)
+    return np.where(null, None, values)
+
 
 class _InArrivalOrder(StatefulProcessor):
-    """Handles a key's rows of a micro-batch as columns sorted by ``seq``."""
+    """Handles the rows of a bucket of keys as columns sorted by key and ``seq``.
+
+    All keys of a bucket have one state, a table of a row a key, read and written once a micro-batch. Rows
+    bring their keys in the columns ``bucket_key0``, ``bucket_key1`` …; without these the group is one key.
+    """
 
     columns = ("seq", "value")
+    names = ("key",)  # the key's columns in the output
+    inner = ()  # columns that are part of the key of the state only
+    state: dict[str, Any] = {}  # what is held of a key, with the value of a key not met yet
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.store = handle.getValueState("held", "data binary")
 
     def handleInputRows(
         self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
     ) -> Iterator[pd.DataFrame]:
-        parts = [tuple(rows_[c].to_numpy() for c in self.columns) for rows_ in rows]
-        arrays = [np.concatenate(c) for c in zip(*parts)] if len(parts) > 1 else list(parts[0])
-        if len(arrays[0]) > 1:
-            order = np.argsort(arrays[0], kind="stable")
-            arrays = [a[order] for a in arrays]
-        found = self.on_columns(key, *arrays)
+        frames = list(rows)
+        frame = pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0]
+        outer = [c for c in frame.columns if c.startswith("bucket_key")]
+        nulls = frame["null_bits"].to_numpy() if "null_bits" in frame.columns else np.zeros(len(frame), dtype=np.int64)
+        arrays: Columns = {c: frame[c].to_numpy() for c in (*self.columns, *outer)}
+        missing = {c: nulls >> i & 1 == 1 for i, c in enumerate(outer)}
+        for i, c in enumerate(WHOLE_COLUMNS, MOST_KEYS):
+            if c in arrays:
+                arrays[c], null = _whole(arrays[c])
+                missing[c] = null | (nulls >> i & 1 == 1)
+        # Keys are told apart by their values and by which of them are null.
+        parts = {c: arrays[c] for c in (*outer, *self.inner)}
+        parts["null_bits"] = nulls & ((1 << len(outer)) - 1)
+        held = self._held(timerValues)
+        before = len(held["null_bits"]) if held else 0
+        codes = _codes([np.concatenate([held[c], v]) if before else v for c, v in parts.items()])[before:]
+
+        order = np.lexsort((arrays["seq"], missing["seq"], codes))
+        codes = codes[order]
+        arrays = {c: v[order] for c, v in arrays.items()}
+        missing = {c: v[order] for c, v in missing.items()}
+        starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        met = codes[starts]
+        known = met < before
+        groups = _Groups(starts, len(codes), known, {})
+        for c, first in self.state.items():
+            values = np.full(len(met), first)
+            if before:
+                values[known] = held[c][met[known]]
+            groups.held[c] = values
+        found, after = self.on_groups(groups, missing, *(arrays[c] for c in self.columns))
+
+        fresh = order[starts[~known]]
+        kept = {c: np.concatenate([held[c], v[fresh]]) if before else v[fresh] for c, v in parts.items()}
+        for c, first in self.state.items():
+            kept[c] = np.concatenate([held[c] if before else [], np.full(len(fresh), first)]).astype(after[c].dtype)
+            kept[c][met] = after[c]
+        self._keep(kept, timerValues)
         if found is not None:
-            yield pd.DataFrame(found)
+            at = found.pop("rows")
+            for i, name in enumerate(self.names):
+                one = key[i] if not outer else None
+                found[name] = [one] * len(at) if not outer else _with_nulls(arrays[outer[i]][at], missing[outer[i]][at])
+            found["seq"] = _with_nulls(arrays["seq"][at], missing["seq"][at])
+            rest = [c for c in found if c not in (*self.names, "seq")]
+            yield pd.DataFrame({c: found[c] for c in (*self.names, "seq", *rest)})
+
+    def _held(self, timerValues: Any) -> Columns | None:
+        return _unpacked(self.store.get()[0]) if self.store.exists() else None
+
+    def _keep(self, held: Columns, timerValues: Any) -> None:
+        if len(held["null_bits"]):
+            self.store.update((_packed(held),))
+        else:
+            self.store.clear()
 
-    def on_columns(self, key: Any, *arrays: np.ndarray) -> Columns | None:
+    def on_groups(
+        self, groups: _Groups, missing: Columns, *arrays: np.ndarray
+    ) -> tuple[Columns | None, Columns]:
+        """Output columns with ``rows``, the row each comes from, and what is held of every key afterwards."""
         raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
-def _after(first: float, values: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.array([first]), values])
-
-
 class JumpAlert(_InArrivalOrder):
     """(key, seq, last, now) where consecutive values differ by at least the threshold; null differs by nothing."""
 
+    state = {"last": np.nan}
+
     def __init__(self, threshold: float):
         self.threshold = threshold
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "value double")
-
-    def on_columns(self, key: Any, seq: np.ndarray, value: np.ndarray) -> Columns | None:
-        last = self.state.get()[0] if self.state.exists() else None
+    def on_groups(self, groups, missing, seq, value):
         value = value.astype(np.float64)
-        before = _after(np.nan if last is None else last, value[:-1])
-        self.state.update((None if np.isnan(value[-1]) else float(value[-1]),))
-        far = np.abs(before - value) >= self.threshold
-        if not far.any():
-            return None
-        return {"key": key[0], "seq": seq[far], "last": before[far], "now": value[far]}
+        before = np.append(np.nan, value[:-1])
+        before[groups.starts] = groups.held["last"]
+        far = np.flatnonzero(np.abs(before - value) >= self.threshold)
+        found = {"rows": far, "last": before[far], "now": value[far]} if len(far) else None
+        return found, {"last": value[groups.ends - 1]}
 
 
 class RunningCount(_InArrivalOrder):
     """(key, seq, running_count)."""
 
     columns = ("seq",)
+    state = {"n": 0}
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("count", "n bigint")
-
-    def on_columns(self, key: Any, seq: np.ndarray) -> Columns:
-        n = self.state.get()[0] if self.state.exists() else 0
-        self.state.update((n + len(seq),))
-        return {"key": key[0], "seq": seq, "running_count": np.arange(n + 1, n + len(seq) + 1)}
+    def on_groups(self, groups, missing, seq):
+        n = groups.held["n"]
+        return {"rows": groups.rows, "running_count": n[groups.of] + groups.place + 1}, {"n": n + groups.sizes}
 
 
 class RollingReduce(_InArrivalOrder):
     """(key, seq, at, value): a user function folds each row into the (at, value) so far."""
 
     columns = ("seq", "at", "value")
+    state = {"at": 0, "at_null": False, "value": np.nan}
 
     def __init__(self, reduce: Callable[[tuple, tuple], tuple]):
         self.reduce = reduce
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "at bigint, value double")
-
-    def on_columns(self, key: Any, seq: np.ndarray, at: np.ndarray, value: np.ndarray) -> Columns:
-        so_far = tuple(self.state.get()) if self.state.exists() else None
+    def on_groups(self, groups, missing, seq, at, value):
+        # A null comes to the function as not a number.
+        new = list(zip(_or_nan(at, missing["at"]), value.tolist()))
+        before = list(zip(_or_nan(groups.held["at"], groups.held["at_null"]), groups.held["value"].tolist()))
         out = []
-        for new in zip(at.tolist(), value.tolist()):
-            so_far = new if so_far is None else self.reduce(so_far, new)
-            out.append(so_far)
-        self.state.update(so_far)
+        for g, known in enumerate(groups.known.tolist()):
+            so_far = before[g] if known else None
+            for row in new[groups.starts[g] : groups.ends[g]]:
+                so_far = row if so_far is None else self.reduce(so_far, row)
+                out.append(so_far)
         ats, values = zip(*out)
-        return {"key": key[0], "seq": seq, "at": ats, "value": values}
+        ats, null = _whole(np.array(ats))
+        values = np.array(values, dtype=np.float64)
+        ends = groups.ends - 1
+        found = {"rows": groups.rows, "at": _with_nulls(ats, null), "value": values}
+        return found, {"at": ats[ends], "at_null": null[ends], "value": values[ends]}
+
+
+def _or_nan(whole: np.ndarray, null: np.ndarray) -> list:
+    found = whole.tolist()
+    for i in np.flatnonzero(null):
+        found[i] = float("nan")
+    return found
 
 
 class Changelog(_InArrivalOrder):
     """(key, seq, op, count, sum): ``-`` the previous aggregate, then ``+`` the new one."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("aggregate", "n bigint, total double")
+    state = {"n": 0, "total": 0.0}
 
-    def on_columns(self, key: Any, seq: np.ndarray, value: np.ndarray) -> Columns:
-        n, total = self.state.get() if self.state.exists() else (0, 0.0)
-        totals = np.cumsum(_after(total, value.astype(np.float64)))
-        counts = np.arange(n, n + len(seq) + 1)
-        self.state.update((int(counts[-1]), float(totals[-1])))
+    def on_groups(self, groups, missing, seq, value):
+        value = value.astype(np.float64)
+        count = groups.held["n"][groups.of] + groups.place + 1
+        total = np.empty(len(value))
+        # Every key is added up by itself, so that neither rounding nor nulls pass from one to the next.
+        for start, end, so_far in zip(groups.starts.tolist(), groups.ends.tolist(), groups.held["total"].tolist()):
+            total[start:end] = value[start:end]
+            total[start] += so_far
+            np.cumsum(total[start:end], out=total[start:end])
+        last = np.append(0.0, total[:-1])
+        last[groups.starts] = groups.held["total"]
         # Each row takes back the aggregate before it, if there was one, and gives the one after it.
-        each = np.repeat(np.arange(len(seq)), 2)
-        adds = np.tile([0, 1], len(seq))
-        keep = counts[each + adds] > 0
+        each = np.repeat(groups.rows, 2)
+        adds = np.tile([0, 1], len(value))
+        keep = (adds == 1) | (count[each] > 1)
         each, adds = each[keep], adds[keep]
-        return {
-            "key": key[0],
-            "seq": seq[each],
+        found = {
+            "rows": each,
             "op": np.where(adds == 1, "+", "-"),
-            "count": counts[each + adds],
-            "sum": totals[each + adds],
+            "count": count[each] - 1 + adds,
+            "sum": np.where(adds == 1, total[each], last[each]),
         }
+        return found, {"n": count[groups.ends - 1], "total": total[groups.ends - 1]}
 
 
 class _RecentRows(_InArrivalOrder):
@@ -136,23 +264,28 @@ class _RecentRows(_InArrivalOrder):
 
     size: int
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", "value double")
-        self.seen = handle.getValueState("seen", "n bigint")
-
-    def framed(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(number of the row, rows in the frame, their mean) for each new value."""
-        known = [v[0] for v in self.recent.get()] if self.recent.exists() else []
-        before = self.seen.get()[0] if self.seen.exists() else 0
-        values = np.concatenate([np.zeros(self.size - 1 - len(known)), known, value.astype(np.float64)])
-        sums = np.lib.stride_tricks.sliding_window_view(values, self.size).sum(axis=1)
-        n = np.arange(before + 1, before + len(value) + 1)
-        tail = values[len(values) - min(self.size - 1, int(n[-1])) :]
-        if len(tail):
-            self.recent.put([(float(v),) for v in tail])
-        self.seen.update((int(n[-1]),))
+    @property
+    def state(self) -> dict[str, Any]:
+        return {"n": 0} | {f"recent{i}": 0.0 for i in range(self.size - 1)}
+
+    def framed(
+        self, groups: _Groups, value: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, Columns]:
+        """(number of the row, rows in the frame, their mean) for each new value, and what is held then."""
+        lead = self.size - 1
+        # The values held of a key stand before its new ones; 0 where there were fewer.
+        values = np.empty(len(value) + lead * len(groups.starts))
+        at = groups.rows + lead * (groups.of + 1)
+        values[at] = value.astype(np.float64)
+        first = groups.starts + lead * np.arange(len(groups.starts))
+        for i in range(lead):
+            values[first + i] = groups.held[f"recent{i}"]
+        sums = np.lib.stride_tricks.sliding_window_view(values, self.size).sum(axis=1)[at - lead]
+        n = groups.held["n"][groups.of] + groups.place + 1
+        last = at[groups.ends - 1]
+        after = {"n": n[groups.ends - 1]} | {f"recent{i}": values[last - lead + 1 + i] for i in range(lead)}
         held = np.minimum(n, self.size)
-        return n, held, sums / held
+        return n, held, sums / held, after
 
 
 class CountWindowAvg(_RecentRows):
@@ -161,12 +294,10 @@ class CountWindowAvg(_RecentRows):
     def __init__(self, size: int = 10, slide: int = 2):
         self.size, self.slide = size, slide
 
-    def on_columns(self, key: Any, seq: np.ndarray, value: np.ndarray) -> Columns | None:
-        n, _, avg = self.framed(value)
-        fires = n % self.slide == 0
-        if not fires.any():
-            return None
-        return {"key": key[0], "seq": seq[fires], "n": n[fires], "avg": avg[fires]}
+    def on_groups(self, groups, missing, seq, value):
+        n, _, avg, after = self.framed(groups, value)
+        fires = np.flatnonzero(n % self.slide == 0)
+        return {"rows": fires, "n": n[fires], "avg": avg[fires]} if len(fires) else None, after
 
 
 class OverRows(_RecentRows):
@@ -175,20 +306,23 @@ class OverRows(_RecentRows):
     def __init__(self, preceding: int = 2):
         self.size = preceding + 1
 
-    def on_columns(self, key: Any, seq: np.ndarray, value: np.ndarray) -> Columns:
-        _, held, avg = self.framed(value)
-        return {"key": key[0], "seq": seq, "count": held, "avg": avg}
+    def on_groups(self, groups, missing, seq, value):
+        _, held, avg, after = self.framed(groups, value)
+        return {"rows": groups.rows, "count": held, "avg": avg}, after
 
 
 class ClickLimit(_InArrivalOrder):
     """(user, ad, seq, kind): ``pass`` for the first clicks, ``warn`` once, the rest dropped.
 
     Counting restarts on a new UTC day, or 24 h after the first counted click. With ``expires``
-    (event time) a timer at that point clears the state of a pair that is not clicked again.
+    (event time) pairs that are not clicked again are cleared at that point: when the bucket gets rows,
+    and by the bucket's timer, which waits for the earliest of its pairs.
     """
 
     DAY_US = 86_400_000_000
     columns = ("seq", "at")
+    names = ("user", "ad")
+    state = {"first": 0, "n": 0}
 
     def __init__(self, limit: int = 100, reset: str = "calendar_day", expires: bool = False):
         if reset not in ("calendar_day", "rolling_24h"):
@@ -196,10 +330,11 @@ class ClickLimit(_InArrivalOrder):
         self.limit, self.reset, self.expires = limit, reset, expires
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("clicks", "first bigint, n bigint")
+        super().init(handle)
+        if self.expires:
+            self.wake = handle.getValueState("wake", "at_ms bigint")
 
-    def _end_ms(self, first: int) -> int:
+    def _end_ms(self, first: np.ndarray) -> np.ndarray:
         """The first millisecond at which counting has restarted."""
         if self.reset == "calendar_day":
             return (first // self.DAY_US + 1) * self.DAY_US // 1000
@@ -208,74 +343,99 @@ class ClickLimit(_InArrivalOrder):
     def handleExpiredTimer(
         self, key: Any, timerValues: Any, expiredTimerInfo: Any
     ) -> Iterator[pd.DataFrame]:
-        # A later click may have started a count of its own, with a timer of its own.
-        if self.state.exists():
-            if self._end_ms(self.state.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
-                self.state.clear()
+        self.wake.clear()
+        held = self._held(timerValues)
+        if held:
+            self._keep(held, timerValues)
         return iter(())
 
-    def _restarts(self, first: int | None, at: np.ndarray) -> np.ndarray:
-        """The rows at which counting restarts, ascending."""
+    def _keep(self, held: Columns, timerValues: Any) -> None:
+        if self.expires:
+            ends = self._end_ms(held["first"])
+            open_ = ends > timerValues.getCurrentWatermarkInMs()
+            held, ends = {c: v[open_] for c, v in held.items()}, ends[open_]
+            if len(ends):
+                self._wake_by(int(ends.min()))
+        super()._keep(held, timerValues)
+
+    def _wake_by(self, at_ms: int) -> None:
+        if self.wake.exists():
+            pending = self.wake.get()[0]
+            if pending <= at_ms:
+                return
+            self.handle.deleteTimer(pending)
+        self.handle.registerTimer(at_ms)
+        self.wake.update((at_ms,))
+
+    def _restarts(self, groups: _Groups, at: np.ndarray) -> np.ndarray:
+        """For each row whether counting restarts there."""
+        first = groups.held["first"].copy()
         if self.reset == "calendar_day":
-            days = np.concatenate([[-1 if first is None else first // self.DAY_US], at // self.DAY_US])
-            changed = days[1:] != days[:-1]
-            if first is None:
-                changed[0] = True
-            return np.flatnonzero(changed)
-        found, i = [], 0
-        if first is None:
-            found, first, i = [0], int(at[0]), 1
-        while i < len(at):
-            later = at[i:] > first + self.DAY_US
-            if not later.any():
-                break
-            i += int(later.argmax())
-            found.append(i)
-            first = int(at[i])
-        return np.array(found, dtype=np.int64)
-
-    def on_columns(self, key: Any, seq: np.ndarray, at: np.ndarray) -> Columns | None:
-        first, n = self.state.get() if self.state.exists() else (None, 0)
-        starts = self._restarts(first, at)
-        rows = np.arange(len(at))
-        run = np.searchsorted(starts, rows, "right")
+            days = at // self.DAY_US
+            before = np.append(0, days[:-1])
+            before[groups.starts] = first // self.DAY_US
+            restarts = days != before
+            restarts[groups.starts[~groups.known]] = True
+            return restarts
+        restarts = np.zeros(len(at), dtype=bool)
+        restarts[groups.starts[~groups.known]] = True
+        first[~groups.known] = at[groups.starts[~groups.known]]
+        rows = groups.rows[~restarts]
+        # Each round finds the next restart of every key that has one.
+        while True:
+            hits = rows[at[rows] > first[groups.of[rows]] + self.DAY_US]
+            if not len(hits):
+                return restarts
+            again, earliest = np.unique(groups.of[hits], return_index=True)
+            found = hits[earliest]
+            restarts[found] = True
+            first[again] = at[found]
+            reached = np.full(len(first), len(at))
+            reached[again] = found
+            rows = rows[rows > reached[groups.of[rows]]]
+
+    def on_groups(self, groups, missing, seq, at):
+        restarts = self._restarts(groups, at)
+        since = np.maximum.accumulate(np.where(restarts, groups.rows, -1))
+        restarted = since >= groups.starts[groups.of]
         # How many clicks of its count come before a row.
-        before = np.where(run > 0, rows - np.concatenate([[0], starts])[run], n + rows)
-        new_first = int(at[starts[-1]]) if len(starts) else first
-        self.state.update((new_first, min(int(before[-1]) + 1, self.limit + 1)))
-        if self.expires and new_first != first:
-            self.handle.registerTimer(self._end_ms(new_first))
-        told = before <= self.limit
-        if not told.any():
-            return None
-        kind = np.where(before[told] < self.limit, "pass", "warn")
-        return {"user": key[0], "ad": key[1], "seq": seq[told], "kind": kind}
+        before = np.where(restarted, groups.rows - since, groups.held["n"][groups.of] + groups.place)
+        last = groups.ends - 1
+        first = np.where(restarted[last], at[since[last]], groups.held["first"])
+        after = {"first": first, "n": np.minimum(before[last] + 1, self.limit + 1)}
+        told = np.flatnonzero(before <= self.limit)
+        if not len(told):
+            return None, after
+        return {"rows": told, "kind": np.where(before[told] < self.limit, "pass", "warn")}, after
 
 
 class CountsByCategory(_InArrivalOrder):
-    """(key, seq, category, count): how often the key has met the row's category, from map state.
+    """(key, seq, category, count): how often the key has met the row's category.
 
-    A micro-batch reads and writes the entries of the categories it holds. With ``ttl_ms`` (processing time)
-    entries not touched for so long are forgotten.
+    With ``ttl_ms`` (processing time) entries not touched for so long are forgotten.
     """
 
     columns = ("seq", "category")
+    inner = ("category",)
+    state = {"n": 0, "touched_ms": 0}
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getMapState("counts", "category string", "n bigint", self.ttl_ms)
+    def _held(self, timerValues: Any) -> Columns | None:
+        held = super()._held(timerValues)
+        self.now = 0 if self.ttl_ms is None else timerValues.getCurrentProcessingTimeInMs()
+        if held and self.ttl_ms is not None:
+            fresh = held["touched_ms"] + self.ttl_ms > self.now
+            held = {c: v[fresh] for c, v in held.items()}
+        return held
 
-    def on_columns(self, key: Any, seq: np.ndarray, category: np.ndarray) -> Columns:
-        codes, names = pd.factorize(category, use_na_sentinel=False)
-        nth = pd.Series(codes).groupby(codes).cumcount().to_numpy() + 1
-        before = np.zeros(len(names), dtype=np.int64)
-        for i, name in enumerate(names):
-            entry = (None if pd.isna(name) else name,)
-            before[i] = self.counts.getValue(entry)[0] if self.counts.containsKey(entry) else 0
-            self.counts.updateValue(entry, (int(before[i] + (codes == i).sum()),))
-        return {"key": key[0], "seq": seq, "category": category, "count": before[codes] + nth}
+    def on_groups(self, groups, missing, seq, category):
+        n = groups.held["n"]
+        rows = np.lexsort((seq, missing["seq"]))
+        count = n[groups.of] + groups.place + 1
+        after = {"n": n + groups.sizes, "touched_ms": np.full(len(n), self.now)}
+        return {"rows": rows, "category": category[rows], "count": count[rows]}, after
 
 
 class KeyTimer(StatefulProcessor):
@@ -446,6 +606,8 @@ def _transform(
     schema: str,
     time_mode: str = "None",
 ) -> DataFrame:
+    if isinstance(processor, _InArrivalOrder):
+        df, keys = _bucketed(df, keys, processor)
     grouped = df.groupBy(*keys)
     # The timer's processor is the one that goes by rows.
     run = grouped.transformWithState if isinstance(processor, KeyTimer) else grouped.transformWithStateInPandas
@@ -457,6 +619,36 @@ def _transform(
     )
 
 
+def _bucketed(df: DataFrame, keys: list[str], processor: _InArrivalOrder) -> tuple[DataFrame, list[str]]:
+    """Rows with the bucket of their key, and what to group by.
+
+    Whole numbers and strings are bucketed by hash, null being a key of its own. Keys of other types, which
+    may change on their way through pandas, are groups by themselves.
+    """
+    kinds = dict(df.dtypes)
+    if len(keys) > MOST_KEYS or any(kinds[k] not in (*WHOLE_TYPES, "string") for k in keys):
+        return df, keys
+    # Whole columns come without nulls, which would make doubles of them; bits tell where they were.
+    bits = dict(enumerate(keys)) | {i: c for i, c in enumerate(WHOLE_COLUMNS, MOST_KEYS) if c in df.columns}
+    nulls = [F.when(F.col(c).isNull(), 1 << i).otherwise(0) for i, c in bits.items()]
+
+    def filled(c: str) -> Column:
+        empty = F.lit("") if kinds[c] == "string" else F.lit(0).cast(kinds[c])
+        return F.coalesce(F.col(c), empty)
+
+    # Every value is handed to Python by itself, so that times are left out that no watermark needs.
+    watermarks = [f.name for f in df.schema if "spark.watermarkDelayMs" in (f.metadata or {})]
+    rest = [c for c in (*processor.columns, *watermarks) if c not in WHOLE_COLUMNS]
+    rows = df.select(
+        F.pmod(F.hash(*keys), F.lit(BUCKETS)).alias("bucket"),
+        *(filled(k).alias(f"bucket_key{i}") for i, k in enumerate(keys)),
+        *(filled(c).alias(c) for c in WHOLE_COLUMNS if c in df.columns),
+        *rest,
+        reduce(operator.add, nulls).alias("null_bits"),
+    )
+    return rows, ["bucket"]
+
+
 def _keyed(df: DataFrame, key: str, value: str, ts: str = "event_time") -> DataFrame:
     return df.select(
         key, "seq", ts, F.unix_micros(ts).alias("at"), F.col(value).cast("double").alias("value")
