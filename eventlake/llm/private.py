@@ -1,6 +1,6 @@
 """Personal data: candidate spans, boosted trees over format and context, calibrated selection.
 
-Everything is DataFrame expressions over the scan; nothing is shuffled but a bounded training sample.
+Everything is DataFrame expressions over scans; the trees are fitted by Spark ML on the candidates of all documents.
 """
 
 from __future__ import annotations
@@ -37,7 +37,6 @@ _NEEDS = {"email": r"@|[\[({]at[\])}]", "ip": r"[0-9]", "card": r"[0-9]", "phone
 # Words before a span that speak for it.
 CUES = r"(?i)(?:mail|contact|write|ip|host|server|addr\w*|card|visa|credit|pay\w*|tel|phone|call|fax|mobile)[\x20:=#.]*$"
 
-TRAIN_DOCUMENTS = 20_000  # expected size of the sample of documents the trees are fitted on
 TREES = 12
 DEPTH = 3
 LEAST_EXAMPLES = 20  # of either class; with fewer no span is added
@@ -237,7 +236,6 @@ def tree_column(description: str, values: list[Column]) -> Column:
 
 def train(
     docs: DataFrame,
-    documents: int = TRAIN_DOCUMENTS,
     trees: int = TREES,
     depth: int = DEPTH,
     seed: int = SEED,
@@ -246,16 +244,11 @@ def train(
 
     A candidate is personal data if the base rules confirm it, or do once it is written back to their form
     (``[at]`` to ``@``, separators removed; see `NORMAL`). The trees see neither the rules nor that form, but
-    shape and context. Fitted on the candidates of a seeded sample of about ``documents`` documents, a bound on fitting
-    only. A third of the candidates is held out: a kind's threshold is the score that ``PASS_BY`` of its other
-    candidates there stay below, ``LEAST_SCORE`` at least; a kind without personal data there adds nothing.
-    None if the sample has too few of either class.
+    shape and context. The candidates of all documents take part: two thirds fit the trees, and a third is held
+    out, where a kind's threshold is the score that ``PASS_BY`` of its other candidates stay below, ``LEAST_SCORE``
+    at least; a kind without personal data there adds nothing. None if there are too few of either class.
     """
-    n = docs.count()
-    part = docs.select("doc_id", "text").where(
-        seeded_unit(seed, F.col("doc_id")) < min(1.0, documents / max(n, 1))
-    )
-    seen = with_candidates(with_base(part)).where(F.size("candidates") > 0)
+    seen = with_candidates(with_base(docs.select("doc_id", "text"))).where(F.size("candidates") > 0)
     rows = seen.select("doc_id", "text", "base", F.explode("candidates").alias("span")).select(
         (
             F.exists(
