@@ -424,9 +424,30 @@ class _Sets:
         # Rows that share a doc_id may hold a set twice.
         return written(both.where(shared >= F.col("least")).select("a", "b").distinct(), "simhash-verified")
 
-    def stars(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def offered(self, keys: DataFrame) -> DataFrame:
+        """Links (a, b) between sets whose documents the SimHashes link, verified on whole sets.
+
+        ``keys``: (doc_id, key, n) of all documents. Every member is compared with the document its component is
+        named after, once.
+        """
+        found = near_duplicates(self.docs).where(F.col("doc_id") != F.col("component_id"))
+        links = written(found.select("doc_id", "component_id").distinct(), "simhash-offered")
+        ids = links.select("doc_id").union(links.select("component_id")).distinct()
+        held = written(_among(keys.distinct(), ids), "simhash-offered-keys")
+        a = held.toDF("component_id", "a", "m")
+        pairs = links.join(held.withColumnRenamed("key", "b"), "doc_id").join(a, "component_id")
+        least = self.needed(F.col("m"), F.col("n"))
+        return self.verified(
+            pairs.where((F.col("a") != F.col("b")) & (F.least("m", "n") >= least))
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), least.alias("least"))
+            .distinct()
+        )
+
+    def stars(self, rows: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """(rows in shared buckets with their pivot, links to pivots) of ``rows`` (bucket, key, n, at).
 
+        ``known`` (node, component) names sets that are linked already and need no comparison.
+
         The pivot of a bucket is its smallest key. Every other set is compared with it, once whatever
         buckets they share: as many comparisons as rows, whatever the size of a bucket. What is left before and
         after the shared places has to allow the similarity.
@@ -451,6 +472,13 @@ class _Sets:
             .where("room >= least")
             .drop("room")
         )
+        if known is not None:
+            of_a, of_b = known.toDF("a", "of_a"), known.toDF("b", "of_b")
+            pairs = (
+                pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+                .where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+                .select("a", "b", "least")
+            )
         return met, self.verified(pairs)
 
     def mixed(self, met: DataFrame, forest: DataFrame) -> DataFrame:
@@ -487,11 +515,12 @@ class _Sets:
         return self.verified(pairs)
 
 
-def linked_sets(docs: DataFrame, reps: DataFrame, words: int, similarity: float) -> DataFrame:
+def linked_sets(docs: DataFrame, reps: DataFrame, keys: DataFrame, words: int, similarity: float) -> DataFrame:
     """(node, component): the keys of shingle sets that link with others, and the smallest key reachable.
 
-    ``reps``: (key, rep), a document for each set. Sets that link share a shingle of their
-    prefixes. In each shingle's bucket all sets are first compared with one, which makes a group of near
+    ``reps``: (key, rep), a document for each set; ``keys``: (doc_id, key, n), the set of each document and its
+    size. Links come from the SimHashes first, as far as they reach: what they link is verified on whole sets and not
+    compared again. The rest comes from prefixes: sets that link share a shingle of their prefixes. In each shingle's bucket all sets are first compared with one, which makes a group of near
     copies one component by as many comparisons as it has members. Only sets of different components
     that share a bucket are compared after that: pair by pair in small buckets; a larger one is split by
     a second shingle (sets that link share two of prefixes one longer), again with one comparison each
@@ -503,8 +532,10 @@ def linked_sets(docs: DataFrame, reps: DataFrame, words: int, similarity: float)
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
     # Copies give the same rows again, which costs less than to leave them out by a join of all texts.
     first = written(prefixes(docs, words, similarity, common), "simhash-prefixes")
-    met, links = sets.stars(first.withColumnRenamed("shingle", "bucket"))
-    forest = written(components(links), "simhash-forest")
+    offered = sets.offered(keys)
+    known = written(components(offered), "simhash-known")
+    met, links = sets.stars(first.withColumnRenamed("shingle", "bucket"), known)
+    forest = written(components(offered.unionByName(links)), "simhash-forest")
     mixed = sets.mixed(met, forest)
     edges = forest.toDF("a", "b").unionByName(sets.across(mixed.where(F.col("held") <= PAIRED_BUCKET), True))
     large = mixed.where(F.col("held") > PAIRED_BUCKET).select("bucket", "key").distinct()
@@ -529,22 +560,23 @@ def near_duplicates_by_shingles(docs: DataFrame, words: int, similarity: float)
     """(doc_id, component_id) for every row of ``docs``, as `near_duplicates` but by shingle sets.
 
     Documents link whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity``
-    or more. No link is lost: at 0.8 the SimHashes of short texts differ in up to 17 of 64 bits and
-    more, where no part of them selects, so candidates come from the pigeonhole on shingles instead
-    (`linked_sets`).
+    or more. No link is lost: SimHashes that differ in at most two bits (`near_duplicates`) offer links, which are
+    verified; at 0.8 those of short texts differ in up to 17 of 64 bits and more, where no part of them
+    selects, so the other candidates come from the pigeonhole on shingles (`linked_sets`).
     Shingles and sets are told apart by 64-bit hashes. Texts without words are alike.
     """
 
     def work(block: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(_set_keys(sets))], ["doc_id", "key"])
+        sizes = pa.array([len(s) for s in sets], pa.int32())
+        return pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(_set_keys(sets)), sizes], ["doc_id", "key", "n"])
 
     doc_id = F.col("doc_id").cast("bigint")
-    keys = written(_text_sets(docs, words, work, "doc_id BIGINT, key BIGINT", doc_id), "simhash-keys")
+    keys = written(_text_sets(docs, words, work, "doc_id BIGINT, key BIGINT, n INT", doc_id), "simhash-keys")
     reps = written(
         keys.groupBy("key").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "simhash-reps"
     )
     # Components are named by key; the group's name is the smallest document of its sets.
-    found = written(linked_sets(docs, reps, words, similarity).toDF("key", "group"), "simhash-links")
+    found = written(linked_sets(docs, reps, keys, words, similarity).toDF("key", "group"), "simhash-links")
     named = reps.join(found, "key", "left").withColumn("group", F.coalesce("group", "key"))
     smallest = named.groupBy("group").agg(F.min("rep").alias("component_id"))
     member = named.join(smallest, "group").select("key", "component_id")

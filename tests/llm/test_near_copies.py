@@ -118,3 +118,27 @@ def test_table_against_all_pairs_whatever_is_common(spark, docs, monkeypatch, co
     monkeypatch.setattr(simhash, "COMMON_MOST", common[1])
     monkeypatch.setattr(simhash, "PAIRED_BUCKET", common[2])
     assert kept(spark, docs) == plain_kept([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_simhashes_offer_links_that_are_verified(spark, monkeypatch):
+    """The stage takes the SimHash step, and what it links is compared as whole sets."""
+    told, probe = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda reps, *most: told.append(reps.count()) or probe(reps, *most))
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(900)]
+    # A sentence said very often decides all bits; the sets are of other shingles.
+    often = "the same sentence again and " * 400
+    rows = [(i, often + " ".join(rng.sample(words, 40)), "en", "a", 0) for i in range(4)]
+    # One word in 500: within two bits as a rule, and alike by far more than 0.8.
+    base = [rng.choice(words) for _ in range(500)]
+    for i in range(10, 14):
+        text = list(base)
+        text[rng.randrange(500)] = "changed"
+        rows.append((i, " ".join(text), "en", "a", 0))
+    rows += [(20, rows[-1][1], "en", "b", 0), (None, rows[-1][1], "en", "b", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    linked = simhash.near_duplicates(docs).where("doc_id < 4 AND component_id = 0").count()
+    told.clear()
+    assert linked == 4
+    assert kept(spark, docs) == {0, 1, 2, 3, 10, None}
+    assert len(told) == 1
