@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.llm.common import over_texts, seeded_unit, written
+from eventlake.llm.common import over_texts, written
 
 END = 256  # the symbol after a text's last byte
 HEAD_WORDS = 1 << 16  # most frequent words that every task gets; the others are joined
@@ -23,18 +23,28 @@ KEPT_WORDS = 500_000  # words a task counts before it hands them on
 WORD_SO_FAR = 0
 ORDERS = (2, 4, WORD_SO_FAR)
 TABLE_BITS = (18, 20, 20)
-MIX_DOCUMENTS = 600  # documents the gated weights and the refinement are fitted on, expected
-MIX_BYTES = 4096  # of each of these
-MIX_RATE = 0.02
 LEVELS = 4  # of how often a context was seen
-ODDS_UNIT = 512  # steps of a unit of log odds that a table holds
+# A predictor's log odds, told apart by 32 codes: never seen, then so many steps of each level.
+CENTRES = (
+    (0.0,),
+    (-1.8, -1.25, 0.0, 1.25, 1.8),
+    (-4.0, -3.0, -2.1, -1.0, 0.0, 1.0, 2.1, 3.0, 4.0),
+    (-8.5, -6.0, -4.4, -3.2, -2.3, -1.6, -1.0, -0.5, 0.0, 0.5, 1.0, 1.6, 2.3, 3.2, 4.4, 6.0, 8.5),
+)
+SEEN = (1, 3, 30)  # decisions from which on a context is of the next level
+CODE_BITS = 5
+CELLS = 1 << CODE_BITS * len(ORDERS)  # joint codes of the predictors
+START_WEIGHT = 0.4  # of each predictor
+GROUPS = 4  # of decisions counted at once: the weights step after each group
+PASSES = 8
+RIDGE = 20.0  # decisions' worth of trust in the weights at the start
+FIRST_CODED = 1 << 16  # decisions a task counts before it predicts; it codes its counts anew whenever they doubled
 BINS = 33  # of the refinement
 LIMIT = 12.0  # of log odds
 CHUNK_BYTES = 1 << 14
-COUNTED_AT_ONCE = 1 << 22  # decisions whose slots a task gathers before it adds them up
-FINE = 256  # steps of the mixed log odds whose costs are looked up
+COUNTED_AT_ONCE = 1 << 21  # decisions whose slots a task gathers before it adds them up
+FINE = 2048  # steps of the final log odds whose costs are looked up
 OVERLAP = 256
-SEED = 6
 
 _ODD = 0x01000193  # odd, so it has an inverse modulo 2**32
 _INVERSE = pow(_ODD, -1, 1 << 32)
@@ -248,37 +258,90 @@ def _chunks(texts: list[bytes | None], most: int = CHUNK_BYTES) -> Iterator[tupl
         yield *_symbols([texts[k] for k in group]), np.array(group)
 
 
+def codes(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """The codes of contexts that saw so many zeros and ones."""
+    seen = zeros + ones
+    odds = np.log((ones + 0.4) / (zeros + 0.4))
+    out, before = np.zeros(len(odds), dtype=np.uint8), 1
+    for centres, low, high in zip(CENTRES[1:], SEEN, (*SEEN[1:], np.inf)):
+        at = np.flatnonzero((seen >= low) & (seen < high))
+        middles = (np.array(centres[1:]) + centres[:-1]) / 2
+        out[at] = before + np.searchsorted(middles, odds[at])
+        before += len(centres)
+    return out
+
+
+def cells() -> tuple[np.ndarray, np.ndarray]:
+    """(gate, inputs) of all joint codes: how often the contexts were seen; log odds of each predictor, and a one."""
+    level = np.repeat(np.arange(LEVELS), [len(c) for c in CENTRES])
+    centre = np.concatenate(CENTRES)
+    every = np.arange(CELLS)
+    gate, inputs = np.zeros(CELLS, dtype=np.int64), [np.ones(CELLS)]
+    for k in range(len(ORDERS)):
+        code = every >> CODE_BITS * k & (1 << CODE_BITS) - 1
+        gate += level[code] * LEVELS**k
+        inputs.insert(0, centre[code])
+    return gate, np.stack(inputs, axis=1)
+
+
+def plain_bins(inputs: np.ndarray) -> np.ndarray:
+    """The bin that the plain mix of each joint code falls into."""
+    plain = np.clip(START_WEIGHT * inputs[:, :-1].sum(axis=1), -8, 8)
+    return ((plain + 8) * (BINS - 1) / 16 + 0.5).astype(np.int16)
+
+
 def bit_counts(texts: DataFrame, trained: Column, code: Code) -> DataFrame:
-    """(slot, zeros, ones) summed over training texts; the tables of all orders lie one after another."""
-    offsets = np.cumsum([0, *(1 << b for b in TABLE_BITS)])
+    """(slot, zeros, ones) summed over training texts; the tables of all orders lie one after another.
+
+    After them come the decisions by joint code, for each of ``GROUPS``, and those by node and bin of the plain
+    mix (`learn`). A decision's codes are of what its task had counted before, its text not included,
+    or rare contexts would look surer than they are. Nothing grows with the input.
+    """
+    sizes = [1 << b for b in TABLE_BITS]
+    bins = plain_bins(cells()[1])
 
     def work(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros(2 << b, dtype=np.int32) for b in TABLE_BITS]
-        waiting = np.empty((len(TABLE_BITS), COUNTED_AT_ONCE), dtype=np.int64)
-        gathered = 0
+        tables = [np.zeros(2 * size, dtype=np.int32) for size in sizes]
+        joint = np.zeros((GROUPS, 2 * CELLS), dtype=np.int64)
+        by_node = np.zeros(2 * (END + 1) * BINS, dtype=np.int64)
+        coded = [np.zeros(size, dtype=np.uint8) for size in sizes]
+        waiting = np.empty((len(TABLE_BITS) + 2, COUNTED_AT_ONCE), dtype=np.int64)
+        gathered = counted = turn = 0
+        due = FIRST_CODED
 
         def add_up() -> None:
-            for table, slots in zip(tables, waiting):
-                table += np.bincount(slots[:gathered], minlength=len(table)).astype(np.int32)
+            for table, keys in zip((*tables, joint[turn % GROUPS], by_node), waiting):
+                table += np.bincount(keys[:gathered], minlength=len(table)).astype(table.dtype)
 
         for block in blocks:
             for symbols, starts, _ in _chunks(block.column("text").to_pylist()):
-                _, bit, slots, _ = decisions(code, symbols, starts)
+                node, bit, slots, _ = decisions(code, symbols, starts)
+                cell = joint_codes(coded, slots)
+                node *= np.int32(BINS)
+                node += bins.take(cell)
                 done = 0
                 while done < len(bit):
                     upto = min(len(bit), done + COUNTED_AT_ONCE - gathered)
-                    for row, slot in zip(waiting, slots):
+                    for row, keys in zip(waiting, (*slots, cell, node)):
                         part = row[gathered : gathered + upto - done]
-                        part[:] = slot[done:upto]
+                        part[:] = keys[done:upto]
                         part <<= 1
                         part |= bit[done:upto]
                     gathered += upto - done
                     done = upto
                     if gathered == COUNTED_AT_ONCE:
                         add_up()
-                        gathered = 0
+                        gathered, turn = 0, turn + 1
+                counted += len(bit)
+                if counted >= due:
+                    add_up()
+                    gathered, turn, due = 0, turn + 1, 2 * counted
+                    for table, some in zip(tables, coded):
+                        seen = np.flatnonzero(table.reshape(-1, 2).any(axis=1))
+                        some[seen] = codes(table[2 * seen], table[2 * seen + 1])
         add_up()
-        for table, offset in zip(tables, offsets.tolist()):
+        offset = 0
+        for table in (*tables, joint.ravel(), by_node):
             pairs = table.reshape(-1, 2)
             seen = np.flatnonzero(pairs.any(axis=1))
             for start in range(0, len(seen), 1 << 18):
@@ -287,6 +350,7 @@ def bit_counts(texts: DataFrame, trained: Column, code: Code) -> DataFrame:
                     [pa.array((part + offset).astype(np.int32)), *(pa.array(pairs[part, k].astype(np.int64)) for k in (0, 1))],
                     ["slot", "zeros", "ones"],
                 )
+            offset += len(pairs)
 
     # Each task hands on a table, so there are few: two for each core.
     tasks = 2 * texts.sparkSession.sparkContext.defaultParallelism
@@ -299,26 +363,48 @@ def bit_counts(texts: DataFrame, trained: Column, code: Code) -> DataFrame:
     return rows.groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
 
 
-def packed_tables(counts: DataFrame) -> list[np.ndarray]:
-    """The predictors: for each slot the log odds of a one in 1/512 times four, plus how often it was seen.
+def coded_tables(counts: DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The predictors, as the code of each slot; the decisions by joint code, and those by node and bin.
 
-    The tables have a fixed size (``TABLE_BITS``, 5 MB), and so has what the driver gets.
+    All have a fixed size (``TABLE_BITS``, 2.4 MB, and 2.4 MB), and so has what the driver gets.
     """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = codes(batch.column("zeros").to_numpy(), batch.column("ones").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("slot"), pa.array(coded.view(np.int8))], ["slot", "code"])
+
     sizes = [1 << b for b in TABLE_BITS]
-    odds = F.log((F.col("ones") + 0.4) / (F.col("zeros") + 0.4))
-    odds = F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), odds))
-    seen = F.col("ones") + F.col("zeros")
-    level = F.when(seen < 3, 1).when(seen < 30, 2).otherwise(3)
-    packed = (F.round(odds * ODDS_UNIT).cast("int") * LEVELS + level)
-    table = np.zeros(sum(sizes), dtype=np.int16)
-    rows = counts.select("slot", packed.alias("packed")).toArrow()
-    table[rows.column("slot").to_numpy()] = rows.column("packed").to_numpy()
-    return np.split(table, np.cumsum(sizes)[:-1])
+    table = np.zeros(sum(sizes), dtype=np.uint8)
+    rows = counts.where(F.col("slot") < sum(sizes)).mapInArrow(work, "slot INT, code TINYINT").toArrow()
+    table[rows.column("slot").to_numpy()] = rows.column("code").to_numpy()
+    rest = np.zeros((GROUPS * CELLS + (END + 1) * BINS, 2), dtype=np.int64)
+    rows = counts.where(F.col("slot") >= sum(sizes)).toArrow()
+    rest[rows.column("slot").to_numpy() - sum(sizes)] = np.stack([rows.column(c).to_numpy() for c in ("zeros", "ones")], 1)
+    joint, by_node = np.split(rest, [GROUPS * CELLS])
+    return (
+        np.split(table, np.cumsum(sizes)[:-1]),
+        joint.reshape(GROUPS, CELLS, 2),
+        by_node.reshape(END + 1, BINS, 2),
+    )
+
+
+def joint_codes(tables: list[np.ndarray], slots: list[np.ndarray]) -> np.ndarray:
+    cell = None
+    for table, slot in zip(tables, slots):
+        code = table.take(slot)
+        code &= (1 << CODE_BITS) - 1
+        if cell is None:
+            cell = code.astype(np.int32)
+        else:
+            cell <<= np.int32(CODE_BITS)
+            cell |= code
+    return cell
 
 
 @dataclass
 class Mixer:
-    """Weights of the predictors, by gate, and a refinement of the mixed log odds, by node and bin."""
+    """Weights of the predictors, by gate, and what their plain mix turned out to mean, by node and bin."""
 
     weights: np.ndarray  # (gates, orders + 1)
     refined: np.ndarray  # (nodes, BINS)
@@ -328,90 +414,74 @@ class Mixer:
         gates = LEVELS ** len(ORDERS)
         bins = np.linspace(-8, 8, BINS, dtype=np.float32)
         return cls(
-            np.full((gates, len(ORDERS) + 1), [0.4] * len(ORDERS) + [0.0], dtype=np.float32),
+            np.full((gates, len(ORDERS) + 1), [START_WEIGHT] * len(ORDERS) + [0.0], dtype=np.float32),
             np.tile(bins, (END + 1, 1)),
         )
 
-    def inputs(self, tables: list[np.ndarray], slots: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-        gate, odds = None, []
-        for table, slot in zip(tables, slots):
-            value = table.take(slot)
-            odds.append(value.astype(np.float32))
-            value &= np.int16(LEVELS - 1)
-            if gate is None:
-                gate = value
-            else:
-                gate *= np.int16(LEVELS)
-                gate += value
-        return gate, odds
-
-    def mixed(self, gate: np.ndarray, odds: list[np.ndarray]) -> np.ndarray:
-        total = self.weights[:, -1].take(gate)
-        for k, o in enumerate(odds):
-            o *= np.take(np.ascontiguousarray(self.weights[:, k]) * np.float32(1 / (ODDS_UNIT * LEVELS)), gate)
-            total += o
-        return np.clip(total, -LIMIT, LIMIT, out=total)
-
-    @staticmethod
-    def bins(mixed: np.ndarray) -> np.ndarray:
-        """The bin of the refinement that mixed log odds fall into."""
-        at = np.clip(mixed, -8, 8) + np.float32(8)
-        at *= np.float32((BINS - 1) / 16)
-        at += np.float32(0.5)
-        return at.astype(np.int32)
-
-    def cost_table(self) -> np.ndarray:
-        """Natural logarithm of one over the probability, by node, step of the mixed log odds, and bit.
-
-        The final log odds are half the mixed ones and half what those turned out to mean at this node.
-        """
-        steps = (np.arange(FINE) / (FINE - 1) * 2 - 1) * LIMIT
-        final = (self.refined[:, self.bins(steps.astype(np.float32))] + steps) / 2
-        return np.stack([np.logaddexp(0, final), np.logaddexp(0, -final)], axis=2).astype(np.float32).ravel()
+    def __post_init__(self) -> None:
+        gate, inputs = cells()
+        mixed = np.clip((self.weights[gate] * inputs).sum(axis=1), -LIMIT, LIMIT)
+        # Half the mixed log odds, in steps of the final ones, and the bin of the plain mix, by joint code.
+        self.steps = (mixed * ((FINE - 1) / (4 * LIMIT))).astype(np.float32)
+        self.bins = plain_bins(inputs)
+
+    def inputs(self, tables: list[np.ndarray], slots: list[np.ndarray]) -> tuple[np.ndarray]:
+        return (joint_codes(tables, slots),)
+
+    def mixed(self, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.steps.take(cell), self.bins.take(cell)
 
+    def cost_table(self) -> tuple[np.ndarray, np.ndarray]:
+        """What the refinement adds to the step of the final log odds, by node and bin; the cost by step and bit.
 
-def costs(table: np.ndarray, node: np.ndarray, bit: np.ndarray, mixed: np.ndarray) -> np.ndarray:
-    at = mixed + np.float32(LIMIT)
-    at *= np.float32((FINE - 1) / (2 * LIMIT))
-    at += np.float32(0.5)
-    cell = at.astype(np.int32)
-    cell += node * np.int32(FINE)
+        A cost is the natural logarithm of one over the probability. The final log odds are half the
+        mixed ones and half what the plain mix turned out to mean at this node.
+        """
+        steps = (self.refined.astype(np.float64) / 2 + LIMIT) * ((FINE - 1) / (2 * LIMIT)) + 0.5
+        final = (np.arange(FINE) / (FINE - 1) * 2 - 1) * LIMIT
+        both = np.stack([np.logaddexp(0, final), np.logaddexp(0, -final)], axis=1)
+        return steps.astype(np.float32).ravel(), both.astype(np.float32).ravel()
+
+
+def costs(
+    table: tuple[np.ndarray, np.ndarray], node: np.ndarray, bit: np.ndarray, mixed: tuple[np.ndarray, np.ndarray]
+) -> np.ndarray:
+    refined, both = table
+    steps, bins = mixed
+    at = node * np.int32(BINS)
+    at += bins
+    steps += refined.take(at)
+    cell = steps.astype(np.int32)
     cell <<= np.int32(1)
     cell |= bit
-    return table.take(cell)
+    return both.take(cell)
 
 
-def learn(texts: list[bytes], code: Code, tables: list[np.ndarray], rate: float = MIX_RATE, passes: int = 2) -> Mixer:
-    """A mixer that has learned online: text after text, weights step along each group of decisions.
+def learn(joint: np.ndarray, by_node: np.ndarray) -> Mixer:
+    """A mixer that has learned online: the weights of all gates step after each group of decisions.
 
-    The tables should not have counted these texts, or rare contexts look surer than they are.
+    ``joint``: (groups, CELLS, 2) and ``by_node``: (nodes, BINS, 2), zeros and ones (`bit_counts`). Steps are
+    Newton's, by the curvature of the groups met so far; gates of few decisions stay near their first weights.
     """
     mixer = Mixer.new()
-    groups = []
-    for symbols, starts, _ in _chunks(texts, 2048):
-        node, bit, slots, _ = decisions(code, symbols, starts)
-        groups.append((node, bit, slots))
+    gate, inputs = cells()
+    gates, width = mixer.weights.shape
+    weights = start = mixer.weights.astype(np.float64)
+    curves = np.zeros((len(joint), gates, width, width))
+    for _ in range(PASSES):
+        for g, (zeros, ones) in enumerate(joint.transpose(0, 2, 1).astype(np.float64)):
+            n = zeros + ones
+            share = 1 / (1 + np.exp(-np.clip((weights[gate] * inputs).sum(axis=1), -LIMIT, LIMIT)))
+            slope, curves[g] = np.zeros((gates, width)), 0
+            np.add.at(slope, gate, (ones - n * share)[:, None] * inputs)
+            np.add.at(curves[g], gate, (n * share * (1 - share))[:, None, None] * inputs[:, :, None] * inputs[:, None])
+            slope -= RIDGE / len(joint) * (weights - start)
+            step = np.linalg.solve(curves.sum(axis=0) + RIDGE * np.eye(width), slope[:, :, None])[:, :, 0]
+            weights = weights + np.clip(step, -0.5, 0.5)
     # Refinement counts begin as if each bin had been right a few times.
-    ones = 4.0 / (1 + np.exp(-mixer.refined.astype(np.float64)))
-    total = np.full(ones.shape, 4.0)
-    for turn in range(passes):
-        for node, bit, slots in groups:
-            gate, odds = mixer.inputs(tables, slots)
-            mixed = mixer.mixed(gate, odds)
-            error = bit - 1 / (1 + np.exp(-mixed))
-            step = rate / (1 + turn)
-            plain = mixer.inputs(tables, slots)[1]  # mixing has weighed the others in place
-            for k, o in enumerate([*(p / (ODDS_UNIT * LEVELS) for p in plain), np.ones_like(mixed)]):
-                sums = np.bincount(gate, weights=error * o, minlength=len(mixer.weights))
-                counts = np.bincount(gate, minlength=len(mixer.weights))
-                mixer.weights[:, k] += step * sums / np.sqrt(np.maximum(counts, 1))
-            if turn == passes - 1:
-                cell = node * BINS + mixer.bins(mixed)
-                ones += np.bincount(cell, weights=bit, minlength=ones.size).reshape(ones.shape)
-                total += np.bincount(cell, minlength=ones.size).reshape(ones.shape)
-    share = np.clip(ones / total, 1e-5, 1 - 1e-5)
-    mixer.refined = np.log(share / (1 - share)).astype(np.float32)
-    return mixer
+    ones = by_node[:, :, 1] + 4.0 / (1 + np.exp(-mixer.refined.astype(np.float64)))
+    share = np.clip(ones / (by_node.sum(axis=2) + 4.0), 1e-5, 1 - 1e-5)
+    return Mixer(weights.astype(np.float32), np.log(share / (1 - share)).astype(np.float32))
 
 
 def text_costs(texts: list[bytes | None], code: Code, tables: list[np.ndarray], mixer: Mixer) -> np.ndarray:
@@ -441,7 +511,7 @@ def text_costs(texts: list[bytes | None], code: Code, tables: list[np.ndarray],
 # ---------------------------------------------------------------- scoring
 
 
-def score(docs: DataFrame, trained: Column, seed: int = SEED) -> DataFrame:
+def score(docs: DataFrame, trained: Column) -> DataFrame:
     """Scores of every whole text, by word counts and by the mixing model, learned from ``trained`` rows.
 
     (doc_id, trained, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each row
@@ -450,10 +520,11 @@ def score(docs: DataFrame, trained: Column, seed: int = SEED) -> DataFrame:
     ``score`` is the model's log10 probability of the text's bytes and its end. A null text is empty.
     Without training rows every count is 0 and the model knows nothing but its start.
 
-    Word and byte counts are summed over all training texts, the bit predictors over all but a
-    seeded sample of about ``MIX_DOCUMENTS`` (a tenth at most), from which the gated weights and the
-    refinement are learned online. Words are told apart by a 64-bit hash. Scoring reads texts once: frequent words are looked
-    up in a table of bounded size, the others meet the counts in a join.
+    Word and byte counts, bit predictors, gated weights and refinement are learned from all training texts,
+    whole. A task that counts for the predictors first predicts what it is going to count, by what it has counted;
+    the weights and the refinement are learned online from how often that came true, so they depend a little on how
+    texts are dealt out to tasks. Words are told apart by a 64-bit hash. Scoring reads texts once: frequent words are
+    looked up in a table of bounded size, the others meet the counts in a join.
     """
     spark = docs.sparkSession
     counts = written(training_counts(docs, trained), "lm-counts")
@@ -464,16 +535,8 @@ def score(docs: DataFrame, trained: Column, seed: int = SEED) -> DataFrame:
     for r in counts.where("kind = 1").collect():  # at most 257 rows
         letters[r["key"]] = r["n"]
     code = Code.of(letters)
-    n = docs.where(trained).count()
-    mixed = trained & (seeded_unit(seed, F.col("doc_id")) < min(0.1, MIX_DOCUMENTS / max(n, 1)))
-    tables = packed_tables(written(bit_counts(docs, trained & ~mixed, code), "lm-bits"))
-    sample = (
-        docs.where(mixed)
-        .select("doc_id", F.substring(F.col("text").cast("binary"), 1, MIX_BYTES).alias("text"))
-        .orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
-        .collect()  # about MIX_DOCUMENTS rows
-    )
-    mixer = learn([bytes(r["text"] or b"") for r in sample], code, tables)
+    tables, joint, by_node = coded_tables(written(bit_counts(docs, trained, code), "lm-bits"))
+    mixer = learn(joint, by_node)
     head = (
         words.orderBy(F.desc("n"), "key").limit(HEAD_WORDS).select("key", "n").toArrow()
     )  # HEAD_WORDS rows
