@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,16 +16,34 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 # Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+# An Arrow batch is held several times over, in a JVM outside its heap and in its Python worker.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None]:
+    """What runs meanwhile hands Python batches of about ``most`` bytes, not of so many rows whatever their size."""
+    before = spark.conf.get(_BATCH_CONF)
+    number = before.lower().rstrip("bkmg")
+    size = int(number) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(before.lower().rstrip("b")[-1], 1)
+    spark.conf.set(_BATCH_CONF, min(size, most))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_CONF, before)
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage is cut and every later read sees the same rows."""
     spark = df.sparkSession
     path = shared_dir(spark, f"llm/{purpose}")
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
