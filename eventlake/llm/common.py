@@ -19,6 +19,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 # An Arrow batch is held several times over, in a JVM outside its heap and in its Python worker.
 BATCH_BYTES = 8 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+_SHUFFLE_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+# Keys of at most so many rows (8 bytes each) are broadcast to filter a table; more are joined by a shuffle.
+SENT_KEYS = 2_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,15 +42,41 @@ def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None
         spark.conf.set(_BATCH_CONF, before)
 
 
+@contextmanager
+def passing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile gives up its shuffle files as soon as it is written."""
+    before = spark.conf.get(_SHUFFLE_CONF, None)
+    spark.conf.set(_SHUFFLE_CONF, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_SHUFFLE_CONF)
+        else:
+            spark.conf.set(_SHUFFLE_CONF, before)
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage is cut and every later read sees the same rows."""
+    """``df`` as a table in the shared folder: lineage is cut and every later read sees the same rows.
+
+    Nothing else reads the shuffles of that job, so their files go with its end and not at some later collection.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, f"llm/{purpose}")
-    with small_batches(spark):
+    with small_batches(spark), passing_shuffles(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def among(df: DataFrame, keys: DataFrame, how: str = "left_semi", most: int | None = None) -> DataFrame:
+    """``df`` joined with the rows of ``keys`` by all columns that both have; in place if the keys are few.
+
+    ``keys`` is a written table, as it is counted first.
+    """
+    few = keys.count() <= (SENT_KEYS if most is None else most)
+    return df.join(F.broadcast(keys) if few else keys, [c for c in keys.columns if c in df.columns], how)
+
+
 def crc_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlake.llm.common import over_texts, seeded_unit
+from eventlake.llm.common import among, over_texts, seeded_unit, written
 
 UNKNOWN = "und"
 # Documents of each language the network is fitted on, at most: those first in a seeded order.
@@ -274,15 +274,36 @@ def predict(
     )
 
 
+def _least(found: DataFrame) -> float | None:
+    """The least score of a labelled row with letters of ``found`` (lang, lang_pred, score); none if nothing was learned."""
+    least, rows = found.where(F.col("lang").isNotNull() & (F.col("lang_pred") != UNKNOWN)).agg(
+        F.min("score"), F.count(F.lit(1))
+    ).first()
+    return least if rows else None
+
+
 def told(found: DataFrame) -> DataFrame:
     """Rows of ``found`` (text, lang, lang_pred, score) whose language can be told.
 
     The least score of a labelled row with letters is the limit: rows below it go, and so do rows whose text is null or
     has no letter. If nothing was learned (no labelled row), all rows with letters stay.
     """
-    least, rows = found.where(F.col("lang").isNotNull() & (F.col("lang_pred") != UNKNOWN)).agg(
-        F.min("score"), F.count(F.lit(1))
-    ).first()
-    if not rows:
+    least = _least(found)
+    if least is None:
         return found.where(F.col("text").rlike(r"\p{L}"))
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+
+
+def keep_told(docs: DataFrame, network: Network) -> DataFrame:
+    """The rows of ``docs`` (text, lang and other columns) whose language can be told, as `told`.
+
+    Predictions are written without their texts, by 128 bits of the texts' hashes: equal texts have equal ones.
+    What goes is filtered from ``docs`` in place if it is little.
+    """
+    text_key = [F.xxhash64("text").alias("of"), F.xxhash64(F.lit(9), F.col("text")).alias("of2")]
+    found = written(predict(docs.select("text", "lang", *text_key), network, keep=("lang", "of", "of2")), "language-told")
+    least = _least(found)
+    if least is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    gone = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("of", "of2").distinct()
+    return among(docs.select("*", *text_key), written(gone, "language-gone"), "left_anti").select(docs.columns)

@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.llm.common import over_texts, seeded_unit, written
+from eventlake.llm.common import among, over_texts, seeded_unit, written
 from eventlake.llm.components import components
 
 BITS = 64
@@ -26,8 +26,10 @@ COMMON_SHARE = 0.125
 COMMON_FROM = 1
 COMMON_MOST = 1 << 17
 SET_BLOCK_BYTES = 1 << 20
-# Keys of at most so many rows (8 bytes each) are broadcast to filter a table; more are joined by a shuffle.
-SENT_KEYS = 2_000_000
+# Comparisons with the same set go to a task in blocks of about so many.
+COMPARED_BLOCK = 64
+# Comparisons (some 40 bytes each, and as much again for the set compared with) that are broadcast to the sets.
+SENT_COMPARISONS = 250_000
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -380,10 +382,32 @@ def prefixes(
     return _text_sets(docs, words, work, "shingle BIGINT, key BIGINT, n INT, at INT")
 
 
-def _among(df: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose (only) column of ``keys`` is among these; filtered in place if they are few."""
-    few = keys.count() <= SENT_KEYS
-    return df.join(F.broadcast(keys) if few else keys, keys.columns, "left_semi")
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the rows (a, block, member, least, key, shingles) that share at least ``least`` shingles with their a.
+
+    Rows of a block follow each other, the set of a itself before the others.
+    """
+    whole, held = np.empty(0, np.uint64), None
+    for batch in batches:
+        a, block, least, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "block", "least", "key"))
+        member = batch.column("member").to_numpy(zero_copy_only=False)
+        shingles = batch.column("shingles")
+        values, ends = shingles.flatten().to_numpy().view(np.uint64), shingles.offsets.to_numpy()
+        ends = ends - ends[0]
+        found = []
+        for i in range(batch.num_rows):
+            own = values[ends[i] : ends[i + 1]]
+            if not member[i]:
+                whole, held = own, (a[i], block[i])
+                continue
+            if held != (a[i], block[i]):
+                raise RuntimeError("a set came before the one that it is compared with")
+            at = np.searchsorted(whole, own)
+            at[at == len(whole)] = 0
+            if len(whole) and np.count_nonzero(whole[at] == own) >= least[i]:
+                found.append(i)
+        whole = whole.copy()  # the batch goes
+        yield pa.RecordBatch.from_arrays([pa.array(a[found]), pa.array(key[found])], ["a", "b"])
 
 
 class _Sets:
@@ -399,10 +423,14 @@ class _Sets:
     def holders(self, keys: DataFrame) -> DataFrame:
         """The documents that hold the sets named in ``keys`` (key)."""
         ids = written(self.reps.join(keys, "key", "left_semi").select(F.col("rep").alias("doc_id")), "simhash-holders")
-        return _among(self.docs, ids)
+        return among(self.docs, ids)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Of the pairs (a, b, least) those whose sets share at least ``least`` shingles."""
+        """Of the pairs (a, b, least) those whose sets share at least ``least`` shingles.
+
+        Each set goes from its text to where it is compared, once for each pair it is the b of and once for each
+        block of pairs it is the a of; blocks are of about ``COMPARED_BLOCK`` pairs, so no task gets all of an a.
+        """
 
         def work(block: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
             values = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
@@ -412,17 +440,20 @@ class _Sets:
                 ["key", "shingles"],
             )
 
-        pairs = both = written(pairs, "simhash-candidates")
-        sides = {
-            side: written(pairs.select(F.col(side).alias("key")).distinct(), "simhash-wanted") for side in ("a", "b")
-        }
-        holders = self.holders(sides["a"].union(sides["b"]).distinct())
-        held = written(_text_sets(holders, self.words, work, "key BIGINT, shingles ARRAY<BIGINT>"), "simhash-sets")
-        for side, wanted in sides.items():
-            both = both.join(_among(held, wanted).toDF(side, f"of_{side}"), side)
-        shared = F.size(F.array_intersect("of_a", "of_b"))
+        pairs = written(pairs, "simhash-candidates")
+        blocks = F.ceil(F.col("count") / COMPARED_BLOCK)
+        dealt = pairs.join(pairs.groupBy("a").count(), "a").withColumn("block", F.pmod(F.xxhash64("b"), blocks).cast("int"))
+        members = dealt.select(F.col("b").alias("key"), "a", "block", F.lit(True).alias("member"), F.col("least").cast("double"))
+        others = dealt.select(F.col("a").alias("key"), "a", "block", F.lit(False), F.lit(0.0)).distinct()
+        roles = written(members.union(others), "simhash-compared")
+        holders = self.holders(roles.select("key").distinct())
+        held = _text_sets(holders, self.words, work, "key BIGINT, shingles ARRAY<BIGINT>")
+        met = among(held, roles, "inner", SENT_COMPARISONS).select("a", "block", "member", "least", "key", "shingles")
+        found = (
+            met.repartition("a", "block").sortWithinPartitions("a", "block", "member").mapInArrow(_compared, "a BIGINT, b BIGINT")
+        )
         # Rows that share a doc_id may hold a set twice.
-        return written(both.where(shared >= F.col("least")).select("a", "b").distinct(), "simhash-verified")
+        return written(found.distinct(), "simhash-verified")
 
     def offered(self, keys: DataFrame) -> DataFrame:
         """Links (a, b) between sets whose documents the SimHashes link, verified on whole sets.
@@ -433,7 +464,7 @@ class _Sets:
         found = near_duplicates(self.docs).where(F.col("doc_id") != F.col("component_id"))
         links = written(found.select("doc_id", "component_id").distinct(), "simhash-offered")
         ids = links.select("doc_id").union(links.select("component_id")).distinct()
-        held = written(_among(keys.distinct(), ids), "simhash-offered-keys")
+        held = written(among(keys.distinct(), ids), "simhash-offered-keys")
         a = held.toDF("component_id", "a", "m")
         pairs = links.join(held.withColumnRenamed("key", "b"), "doc_id").join(a, "component_id")
         least = self.needed(F.col("m"), F.col("n"))
@@ -455,7 +486,7 @@ class _Sets:
         ends = rows.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high"))
         # Most shingles stand in one set only.
         several = written(ends.where("low < high").select("bucket"), "simhash-several")
-        shared = written(_among(rows, several), "simhash-shared")
+        shared = written(among(rows, several), "simhash-shared")
         pivots = written(
             shared.groupBy("bucket").agg(
                 F.min(F.struct("key", "n", "at")).alias("pivot"), F.count(F.lit(1)).alias("held")
@@ -622,5 +653,5 @@ def keep_one(
         member = near_duplicates_by_shingles(docs, words, similarity)
     else:
         member = near_duplicates(docs, words)
-    gone = member.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = written(member.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "simhash-gone")
+    return among(docs, gone, "left_anti").select(docs.columns)
