@@ -48,6 +48,7 @@ OVERLAP = 256
 
 _ODD = 0x01000193  # odd, so it has an inverse modulo 2**32
 _INVERSE = pow(_ODD, -1, 1 << 32)
+_POWERS: list[np.ndarray] = []  # of the two, as many as a task has needed
 
 
 # ---------------------------------------------------------------- words
@@ -175,20 +176,26 @@ def decisions(
     n = len(symbols)
     length = code.length.take(symbols)
     ends = np.cumsum(length, dtype=np.int64)
-    step = np.arange(ends[-1] if n else 0, dtype=np.int32)
-    step += np.repeat(code.first.take(symbols) - (ends - length).astype(np.int32), length)
+    # What a symbol's decisions share is a row, handed to all of them at once: the contexts, and where they begin.
+    rows = np.empty((n, len(ORDERS) + 1), dtype=np.uint32)
+    before = _before(symbols, starts, max(ORDERS))
+    for k, order in enumerate(ORDERS):
+        context = _word_so_far(symbols, starts) if order == WORD_SO_FAR else before & np.uint32((1 << 8 * order) - 1)
+        context *= np.uint32(0x85EBCA6B)
+        context ^= context >> np.uint32(13)
+        rows[:, k] = context
+    rows[:, -1] = (code.first.take(symbols) - (ends - length).astype(np.int32)).view(np.uint32)
+    rows = np.repeat(rows, length, axis=0)
+    step = np.arange(ends[-1] if n else 0)
+    step += rows.view(np.int32)[:, -1]
     packed = code.packed.take(step)
     bit = (packed & 1).astype(np.uint8)
     node = (packed >> 1).astype(np.int32) & np.int32(511)
     index = (packed >> 10).astype(np.uint32)
     group = (packed >> 15).astype(np.uint32)
     slots = []
-    for order, bits in zip(ORDERS, TABLE_BITS):
-        context = _word_so_far(symbols, starts) if order == WORD_SO_FAR else _before(symbols, starts, order)
-        context *= np.uint32(0x85EBCA6B)
-        context ^= context >> np.uint32(13)
-        slot = np.repeat(context, length)
-        slot ^= group
+    for k, bits in enumerate(TABLE_BITS):
+        slot = rows[:, k] ^ group
         slot *= np.uint32(0x2C1B3C6D)
         # The decisions of a context and group lie side by side in memory.
         turned = (slot + index) & np.uint32(31)
@@ -212,15 +219,18 @@ def _before(symbols: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
     return context
 
 
+def _powers_of(odd: int, n: int) -> np.ndarray:
+    powers = np.full(n, odd, dtype=np.uint32)
+    powers[0] = 1
+    return np.cumprod(powers, out=powers)
+
+
 def _word_so_far(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """A hash of the bytes since the last white space: sums of bytes times powers of an odd number."""
     n = len(symbols)
-    powers = np.full(n + 1, _ODD, dtype=np.uint32)
-    powers[0] = 1
-    np.cumprod(powers, out=powers)
-    back = np.full(n + 1, _INVERSE, dtype=np.uint32)
-    back[0] = 1
-    np.cumprod(back, out=back)
+    if len(_POWERS) == 0 or len(_POWERS[0]) <= n:
+        _POWERS[:] = (_powers_of(odd, max(n + 1, 8 * CHUNK_BYTES)) for odd in (_ODD, _INVERSE))
+    powers, back = _POWERS
     sums = np.zeros(n + 1, dtype=np.uint32)
     np.cumsum((symbols + np.uint32(1)) * powers[:n], out=sums[1:])
     blank = np.zeros(n, dtype=bool)

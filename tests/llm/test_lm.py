@@ -86,3 +86,22 @@ def test_odd_rows(odd, odd_rows, none):
     untrained = lm.score(odd, F.lit(False)).collect()
     assert all(r.train_tokens == r.n_known == 0 and r.base_score == 0 for r in untrained)
     assert lm.score(none, trained()).collect() == []
+
+
+def test_contexts_of_bytes_are_found_once(monkeypatch):
+    """The contexts of fewer bytes are those of more, cut; powers kept from other texts change no hash."""
+    calls, found = [], lm._before
+    monkeypatch.setattr(lm, "_before", lambda *given: calls.append(given[2]) or found(*given))
+    code = lm.Code.of(np.ones(lm.END + 1))
+    symbols, starts = lm._symbols([b"ab cd", b"", b"x", b"long " * 9])
+    first = lm.decisions(code, symbols, starts)
+    assert calls == [4]
+    lm.decisions(code, *lm._symbols([b"word " * 40_000]))
+    again = lm.decisions(code, symbols, starts)
+    for order, slots, more in zip(lm.ORDERS, first[2], again[2]):
+        assert np.array_equal(slots, more)
+        if order:  # equal contexts have equal slots for the same decision
+            context = np.repeat(found(symbols, starts, order), first[3])
+            at = {}
+            for c, n, s in zip(context.tolist(), first[0].tolist(), slots.tolist()):
+                assert at.setdefault((c, n), s) == s
