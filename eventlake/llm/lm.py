@@ -42,7 +42,8 @@ FIRST_CODED = 1 << 16  # decisions a task counts before it predicts; it codes it
 BINS = 33  # of the refinement
 LIMIT = 12.0  # of log odds
 CHUNK_BYTES = 1 << 14
-COUNTED_AT_ONCE = 1 << 21  # decisions whose slots a task gathers before it adds them up
+COUNTED_AT_ONCE = 1 << 21  # decisions of a group
+MET_BITS = 20  # of a task's table of symbols met in their contexts
 FINE = 2048  # steps of the final log odds whose costs are looked up
 OVERLAP = 256
 
@@ -173,14 +174,25 @@ def decisions(
 
     ``symbols`` are several texts, each with its end; contexts don't reach before a text's start.
     """
+    return spread(code, symbols, *contexts(symbols, starts))
+
+
+def contexts(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes before each place, as many as the longest order has, and a hash of the word up to here."""
+    return _before(symbols, starts, max(ORDERS)), _word_so_far(symbols, starts)
+
+
+def spread(
+    code: Code, symbols: np.ndarray, before: np.ndarray, word: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """The `decisions` of symbols in their contexts, which need not follow each other."""
     n = len(symbols)
     length = code.length.take(symbols)
     ends = np.cumsum(length, dtype=np.int64)
     # What a symbol's decisions share is a row, handed to all of them at once: the contexts, and where they begin.
     rows = np.empty((n, len(ORDERS) + 1), dtype=np.uint32)
-    before = _before(symbols, starts, max(ORDERS))
     for k, order in enumerate(ORDERS):
-        context = _word_so_far(symbols, starts) if order == WORD_SO_FAR else before & np.uint32((1 << 8 * order) - 1)
+        context = word.copy() if order == WORD_SO_FAR else before & np.uint32((1 << 8 * order) - 1)
         context *= np.uint32(0x85EBCA6B)
         context ^= context >> np.uint32(13)
         rows[:, k] = context
@@ -243,6 +255,21 @@ def _word_so_far(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return context
 
 
+def _met_as(symbols: np.ndarray, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A key of each symbol in its contexts, never 0, and its place in a table of 2**MET_BITS.
+
+    All that a symbol's decisions depend on is the symbol and these contexts; 63 bits tell them apart.
+    """
+    key = before.astype(np.uint64)
+    key <<= np.uint64(32)
+    key |= word
+    key *= np.uint64(0x9E3779B97F4A7C15)
+    key += symbols * np.uint64(0xD6E8FEB86659FD93)
+    at = (key >> np.uint64(64 - MET_BITS)).astype(np.int64)
+    key |= np.uint64(1)
+    return key, at
+
+
 def _symbols(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     lowered = [(t or b"").lower() for t in texts]
     sizes = np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1
@@ -312,46 +339,75 @@ def bit_counts(texts: DataFrame, trained: Column, code: Code) -> DataFrame:
 
     def work(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.zeros(2 * size, dtype=np.int32) for size in sizes]
-        joint = np.zeros((GROUPS, 2 * CELLS), dtype=np.int64)
+        joint = np.zeros(GROUPS * 2 * CELLS, dtype=np.int64)
         by_node = np.zeros(2 * (END + 1) * BINS, dtype=np.int64)
         coded = [np.zeros(size, dtype=np.uint8) for size in sizes]
-        waiting = np.empty((len(TABLE_BITS) + 2, COUNTED_AT_ONCE), dtype=np.int64)
+        # What is met again in the same contexts is only counted, by group, until the codes change.
+        keys = np.zeros(1 << MET_BITS, dtype=np.uint64)
+        met = [np.zeros(1 << MET_BITS, dtype=t) for t in (np.uint16, np.uint32, np.uint32)]
+        times = np.zeros((GROUPS, 1 << MET_BITS), dtype=np.int32)
         gathered = counted = turn = 0
         due = FIRST_CODED
 
-        def add_up() -> None:
-            for table, keys in zip((*tables, joint[turn % GROUPS], by_node), waiting):
-                table += np.bincount(keys[:gathered], minlength=len(table)).astype(table.dtype)
+        def add_up(symbols: np.ndarray, before: np.ndarray, word: np.ndarray, n: np.ndarray) -> None:
+            """Adds the decisions of symbols that came n (groups, symbols) times."""
+            node, bit, slots, length = spread(code, symbols, before, word)
+            cell = joint_codes(coded, slots)
+            node *= np.int32(BINS)
+            node += bins.take(cell)
+            every = np.repeat(n.sum(axis=0, dtype=np.int32), length)
+            for table, keys_ in zip((*tables, by_node), (*slots, node)):
+                np.add.at(table, (keys_.astype(np.int64) << 1) | bit, every.astype(table.dtype, copy=False))
+            for g in np.flatnonzero(n.any(axis=1)):
+                own = (cell.astype(np.int64) + g * CELLS << 1) | bit
+                np.add.at(joint, own, np.repeat(n[g], length).astype(joint.dtype))
+
+        def hand_over() -> None:
+            held = np.flatnonzero(keys)
+            for start in range(0, len(held), CHUNK_BYTES):
+                part = held[start : start + CHUNK_BYTES]
+                add_up(*(column[part] for column in met), times[:, part])
+            keys[:] = 0
+            times[:] = 0
+
+        def count(symbols: np.ndarray, before: np.ndarray, word: np.ndarray) -> None:
+            key, at = _met_as(symbols, before, word)
+            free = np.flatnonzero(keys[at] == 0)
+            keys[at[free]] = key[free]
+            same = keys[at] == key
+            free = free[same[free]]
+            for column, values in zip(met, (symbols, before, word)):
+                column[at[free]] = values[free]
+            np.add.at(times[turn % GROUPS], at[same], np.int32(1))
+            others = np.flatnonzero(~same)
+            n = np.zeros((GROUPS, len(others)), dtype=np.int32)
+            n[turn % GROUPS] = 1
+            add_up(symbols[others], before[others], word[others], n)
 
         for block in blocks:
             for symbols, starts, _ in _chunks(block.column("text").to_pylist()):
-                node, bit, slots, _ = decisions(code, symbols, starts)
-                cell = joint_codes(coded, slots)
-                node *= np.int32(BINS)
-                node += bins.take(cell)
-                done = 0
-                while done < len(bit):
-                    upto = min(len(bit), done + COUNTED_AT_ONCE - gathered)
-                    for row, keys in zip(waiting, (*slots, cell, node)):
-                        part = row[gathered : gathered + upto - done]
-                        part[:] = keys[done:upto]
-                        part <<= 1
-                        part |= bit[done:upto]
-                    gathered += upto - done
-                    done = upto
-                    if gathered == COUNTED_AT_ONCE:
-                        add_up()
-                        gathered, turn = 0, turn + 1
-                counted += len(bit)
+                every = (symbols, *contexts(symbols, starts))
+                ends = np.cumsum(code.length.take(symbols), dtype=np.int64)
+                done = reached = 0
+                while done < len(symbols):
+                    # A group ends with the symbol whose decisions fill it; long texts are counted in parts.
+                    full = 1 + int(np.searchsorted(ends, reached + COUNTED_AT_ONCE - gathered))
+                    upto = min(len(symbols), done + 4 * CHUNK_BYTES, full)
+                    count(*(column[done:upto] for column in every))
+                    gathered += int(ends[upto - 1]) - reached
+                    done, reached = upto, int(ends[upto - 1])
+                    if gathered >= COUNTED_AT_ONCE:
+                        gathered, turn = gathered - COUNTED_AT_ONCE, turn + 1
+                counted += reached
                 if counted >= due:
-                    add_up()
+                    hand_over()
                     gathered, turn, due = 0, turn + 1, 2 * counted
                     for table, some in zip(tables, coded):
-                        seen = np.flatnonzero(table.reshape(-1, 2).any(axis=1))
+                        seen = np.flatnonzero(table.view(np.int64))  # zeros and ones of a slot at once
                         some[seen] = codes(table[2 * seen], table[2 * seen + 1])
-        add_up()
+        hand_over()
         offset = 0
-        for table in (*tables, joint.ravel(), by_node):
+        for table in (*tables, joint, by_node):
             pairs = table.reshape(-1, 2)
             seen = np.flatnonzero(pairs.any(axis=1))
             for start in range(0, len(seen), 1 << 18):
@@ -494,28 +550,50 @@ def learn(joint: np.ndarray, by_node: np.ndarray) -> Mixer:
     return Mixer(weights.astype(np.float32), np.log(share / (1 - share)).astype(np.float32))
 
 
+class Costs:
+    """Costs of whole texts under one model.
+
+    A task remembers what symbols cost in the contexts it met them in, as many as a table of fixed size holds.
+    """
+
+    def __init__(self, code: Code, tables: list[np.ndarray], mixer: Mixer):
+        self.code, self.tables, self.mixer, self.table = code, tables, mixer, mixer.cost_table()
+        self.keys = np.zeros(1 << MET_BITS, dtype=np.uint64)
+        self.known = np.zeros(1 << MET_BITS)
+
+    def of_symbols(self, symbols: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        key, at = _met_as(symbols, before, word)
+        out = self.known[at]
+        new = np.flatnonzero(self.keys[at] != key)
+        if len(new):
+            node, bit, slots, length = spread(self.code, symbols[new], before[new], word[new])
+            cost = costs(self.table, node, bit, self.mixer.mixed(*self.mixer.inputs(self.tables, slots)))
+            out[new] = np.add.reduceat(cost.astype(np.float64), np.cumsum(length) - length)
+            self.keys[at[new]] = key[new]
+            self.known[at[new]] = out[new]
+        return out
+
+    def of_texts(self, texts: list[bytes | None]) -> np.ndarray:
+        """Natural logarithm of one over the probability of each whole text, its end included."""
+        out = np.zeros(len(texts))
+        for symbols, starts, which in _chunks(texts):
+            sums = np.zeros(len(which))
+            # A very long text is scored in stretches that overlap; a context reaches no further back.
+            for begin in range(0, len(symbols), 4 * CHUNK_BYTES):
+                low = max(0, begin - OVERLAP)
+                part = symbols[low : begin + 4 * CHUNK_BYTES]
+                own = np.array([0]) if low else starts[starts < len(part)]
+                cost = self.of_symbols(*(c[begin - low :] for c in (part, *contexts(part, own))))
+                if low:
+                    sums[0] += cost.sum()
+                else:
+                    sums[: len(own)] += np.add.reduceat(cost, own)
+            out[which] = sums
+        return out
+
+
 def text_costs(texts: list[bytes | None], code: Code, tables: list[np.ndarray], mixer: Mixer) -> np.ndarray:
-    """Natural logarithm of one over the probability of each whole text, its end included."""
-    out, table = np.zeros(len(texts)), mixer.cost_table()
-    for symbols, starts, which in _chunks(texts):
-        sums = np.zeros(len(which))
-        # A very long text is scored in stretches that overlap; a context reaches no further back.
-        for begin in range(0, len(symbols), 4 * CHUNK_BYTES):
-            low = max(0, begin - OVERLAP)
-            part = symbols[low : begin + 4 * CHUNK_BYTES]
-            if low == 0:
-                own = starts[starts < len(part)]
-            else:
-                own = np.array([0])
-            node, bit, slots, length = decisions(code, part, own)
-            cost = costs(table, node, bit, mixer.mixed(*mixer.inputs(tables, slots)))
-            first = np.cumsum(length) - length
-            if low:
-                sums[0] += cost[first[begin - low] :].sum(dtype=np.float64)
-            else:
-                sums[: len(own)] += np.add.reduceat(cost.astype(np.float64), first[own])
-        out[which] = sums
-    return out
+    return Costs(code, tables, mixer).of_texts(texts)
 
 
 # ---------------------------------------------------------------- scoring
@@ -559,13 +637,13 @@ def score(docs: DataFrame, trained: Column) -> DataFrame:
 
     def work(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables_, weights, refined, keys, key_counts = shared.value
-        mixing = Mixer(weights, refined)
+        priced = Costs(code, tables_, Mixer(weights, refined))
         logs = np.log10(key_counts + 0.5) - below
         numbers = _Numbers()
         known_keys, known_logs = np.empty(0, np.int64), np.empty(0)
         for block in blocks:
             texts = block.column("text").to_pylist()
-            cost = text_costs(texts, code, tables_, mixing)
+            cost = priced.of_texts(texts)
             if len(numbers) > KEPT_WORDS:
                 numbers.clear()
                 known_keys, known_logs = np.empty(0, np.int64), np.empty(0)
