@@ -349,8 +349,10 @@ def bit_counts(texts: DataFrame, trained: Column, code: Code) -> DataFrame:
         gathered = counted = turn = 0
         due = FIRST_CODED
 
-        def add_up(symbols: np.ndarray, before: np.ndarray, word: np.ndarray, n: np.ndarray) -> None:
-            """Adds the decisions of symbols that came n (groups, symbols) times."""
+        def add_up(
+            symbols: np.ndarray, before: np.ndarray, word: np.ndarray, n: np.ndarray, cut: int | None = None
+        ) -> None:
+            """Adds the decisions of symbols that came n (groups, symbols) times, those from ``cut`` on to the next group."""
             node, bit, slots, length = spread(code, symbols, before, word)
             cell = joint_codes(coded, slots)
             node *= np.int32(BINS)
@@ -360,6 +362,8 @@ def bit_counts(texts: DataFrame, trained: Column, code: Code) -> DataFrame:
                 np.add.at(table, (keys_.astype(np.int64) << 1) | bit, every.astype(table.dtype, copy=False))
             for g in np.flatnonzero(n.any(axis=1)):
                 own = (cell.astype(np.int64) + g * CELLS << 1) | bit
+                if cut is not None:
+                    own[cut:] = (own[cut:] + 2 * CELLS) % len(joint)
                 np.add.at(joint, own, np.repeat(n[g], length).astype(joint.dtype))
 
         def hand_over() -> None:
@@ -380,9 +384,12 @@ def bit_counts(texts: DataFrame, trained: Column, code: Code) -> DataFrame:
                 column[at[free]] = values[free]
             np.add.at(times[turn % GROUPS], at[same], np.int32(1))
             others = np.flatnonzero(~same)
-            n = np.zeros((GROUPS, len(others)), dtype=np.int32)
-            n[turn % GROUPS] = 1
-            add_up(symbols[others], before[others], word[others], n)
+            add_up(symbols[others], before[others], word[others], once(len(others)))
+
+        def once(n: int) -> np.ndarray:
+            out = np.zeros((GROUPS, n), dtype=np.int32)
+            out[turn % GROUPS] = 1
+            return out
 
         for block in blocks:
             for symbols, starts, _ in _chunks(block.column("text").to_pylist()):
@@ -390,10 +397,15 @@ def bit_counts(texts: DataFrame, trained: Column, code: Code) -> DataFrame:
                 ends = np.cumsum(code.length.take(symbols), dtype=np.int64)
                 done = reached = 0
                 while done < len(symbols):
-                    # A group ends with the symbol whose decisions fill it; long texts are counted in parts.
-                    full = 1 + int(np.searchsorted(ends, reached + COUNTED_AT_ONCE - gathered))
-                    upto = min(len(symbols), done + 4 * CHUNK_BYTES, full)
-                    count(*(column[done:upto] for column in every))
+                    # A group may end amid a symbol's decisions; long texts are counted in parts.
+                    room = COUNTED_AT_ONCE - gathered
+                    whole = int(np.searchsorted(ends, reached + room, side="right"))
+                    upto = min(len(symbols), done + 4 * CHUNK_BYTES, max(whole, done + 1))
+                    part = [column[done:upto] for column in every]
+                    if whole > done:
+                        count(*part)
+                    else:
+                        add_up(*part, once(1), room)
                     gathered += int(ends[upto - 1]) - reached
                     done, reached = upto, int(ends[upto - 1])
                     if gathered >= COUNTED_AT_ONCE:
