@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlake.llm.common import among, over_texts, seeded_unit, written
@@ -342,13 +342,11 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     return low[order], rank[order]
 
 
-def prefixes(
-    docs: DataFrame, words: int, similarity: float, common: Broadcast, shared: int = 1
-) -> DataFrame:
+def prefixes(docs: DataFrame, words: int, similarity: float, common: Broadcast) -> DataFrame:
     """(shingle, key, n, at): the first shingles of each document's set of ``n``, and their places.
 
-    Sets of Jaccard similarity ``similarity`` share at least ``shared`` of their first
-    ``n - ceil(similarity * n) + shared`` shingles in any order common to all sets; here the commonest come last.
+    Sets of Jaccard similarity ``similarity`` share one of their first ``n - ceil(similarity * n) + 1``
+    shingles in any order common to all sets; here the commonest come last.
     """
 
     def work(block: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -358,7 +356,7 @@ def prefixes(
         for i, found in enumerate(sets):
             if not len(found):
                 continue
-            most = len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + shared
+            most = len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1
             ranks = np.zeros(len(found), dtype=np.int64)
             if len(often):
                 low = found.astype(np.uint32)
@@ -474,14 +472,14 @@ class _Sets:
             .distinct()
         )
 
-    def stars(self, rows: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    def stars(self, rows: DataFrame, known: DataFrame, first: tuple[str, ...] = ("key",)) -> tuple[DataFrame, DataFrame]:
         """(rows in shared buckets with their pivot, links to pivots) of ``rows`` (bucket, key, n, at).
 
         ``known`` (node, component) names sets that are linked already and need no comparison.
 
-        The pivot of a bucket is its smallest key. Every other set is compared with it, once whatever
-        buckets they share: as many comparisons as rows, whatever the size of a bucket. What is left before and
-        after the shared places has to allow the similarity.
+        The pivot of a bucket is its least set by the columns ``first``, which are a set's own. Every other set is
+        compared with it, once whatever buckets they share: as many comparisons as rows, whatever the size of a
+        bucket. What is left before and after the shared places has to allow the similarity.
         """
         ends = rows.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high"))
         # Most shingles stand in one set only.
@@ -489,7 +487,7 @@ class _Sets:
         shared = written(among(rows, several), "simhash-shared")
         pivots = written(
             shared.groupBy("bucket").agg(
-                F.min(F.struct("key", "n", "at")).alias("pivot"), F.count(F.lit(1)).alias("held")
+                F.min(F.struct(*first, "n", "at")).alias("pivot"), F.count(F.lit(1)).alias("held")
             ),
             "simhash-pivots",
         )
@@ -503,13 +501,12 @@ class _Sets:
             .where("room >= least")
             .drop("room")
         )
-        if known is not None:
-            of_a, of_b = known.toDF("a", "of_a"), known.toDF("b", "of_b")
-            pairs = (
-                pairs.join(of_a, "a", "left").join(of_b, "b", "left")
-                .where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-                .select("a", "b", "least")
-            )
+        of_a, of_b = known.toDF("a", "of_a"), known.toDF("b", "of_b")
+        pairs = (
+            pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+            .where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+            .select("a", "b", "least")
+        )
         return met, self.verified(pairs)
 
     def mixed(self, met: DataFrame, forest: DataFrame) -> DataFrame:
@@ -525,26 +522,76 @@ class _Sets:
         # Copies have the same rows.
         return written(named.join(several, "bucket", "left_semi").distinct(), "simhash-mixed")
 
-    def across(self, rows: DataFrame, by_place: bool) -> DataFrame:
-        """Links between sets of different components that share a bucket, but for those with its pivot."""
-        x, y = rows.alias("x"), rows.alias("y")
+    def across(self, rows: DataFrame) -> DataFrame:
+        """Links between sets of different components that share a bucket, but for those with its pivot.
+
+        Two such sets are not both of the bucket's largest component, so only the sets of the others look for
+        partners. Places count what comes after the first shared shingle; before it none is shared.
+        """
+        largest = (
+            rows.groupBy("bucket", "component")
+            .count()
+            .groupBy("bucket")
+            .agg(F.max(F.struct("count", "component")).alias("largest"))
+            .select("bucket", F.col("largest.component").alias("largest"))
+        )
+        # Both the others and all rows are dealt by bucket.
+        marked = written(rows.where(F.col("key") != F.col("pivot.key")).join(largest, "bucket"), "simhash-marked")
+        x, y = marked.where("component != largest").alias("x"), marked.alias("y")
         least = self.needed(F.col("x.n"), F.col("y.n"))
-        left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) if by_place else F.least("x.n", "y.n")
         pairs = (
-            x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")))
-            .where(
-                (F.col("x.key") < F.col("y.key"))
-                & (F.col("x.key") != F.col("x.pivot.key"))
+            x.join(
+                y,
+                (F.col("x.bucket") == F.col("y.bucket"))
+                & (F.col("x.component") != F.col("y.component"))
+                & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.key") < F.col("y.key")))
                 & (F.least("x.n", "y.n") >= least)
+                & (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= least),
             )
-            # Places count what comes after the first shared shingle; before it none is shared.
-            .groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-            .agg(F.max(left - least).alias("room"), F.first(least).alias("least"))
-            .where("room >= 0")
-            .select("a", "b", "least")
+            .groupBy(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
+            .agg(F.first(least).alias("least"))
         )
         return self.verified(pairs)
 
+    def rarest(self, keys: DataFrame) -> DataFrame:
+        """(bucket, key, n, at, rare): prefixes of the sets named in ``keys`` (key), their rarest shingles first.
+
+        Shingles are counted over these sets, all of each. One that stands in a single set takes a place and makes no row,
+        and neither does one after which too little is left even for the smallest set that has it. ``rare`` is
+        least of the set that has most in common with others.
+        """
+
+        def work(block: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
+            lengths = [len(s) for s in sets]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)),
+                    pa.array(np.repeat(_set_keys(sets), lengths)),
+                    pa.array(np.repeat(np.array(lengths, np.int32), lengths)),
+                ],
+                ["bucket", "key", "n"],
+            )
+
+        keys = written(keys, "simhash-crowded")
+        every = _text_sets(self.holders(keys), self.words, work, "bucket BIGINT, key BIGINT, n INT")
+        # Rows that share a doc_id may hold a set twice, or another one.
+        every = written(among(every, keys).distinct(), "simhash-shingles")
+        counts = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("sets"), F.min("n").alias("least_n"))
+        of_set = Window.partitionBy("key")
+        placed = every.join(counts, "bucket").select(
+            "bucket",
+            "key",
+            "n",
+            "sets",
+            "least_n",
+            (F.row_number().over(of_set.orderBy("sets", "bucket")) - 1).alias("at"),
+            F.sum(F.floor(F.lit(1000) / F.col("sets"))).over(of_set).alias("rare"),
+        )
+        smallest = F.greatest(F.col("least_n"), F.ceil(F.lit(self.similarity) * F.col("n") - F.lit(1e-9)))
+        return placed.where((F.col("sets") > 1) & (F.col("n") - F.col("at") >= self.needed(F.col("n"), smallest))).select(
+            "bucket", "key", "n", "at", "rare"
+        )
+
 
 def linked_sets(docs: DataFrame, reps: DataFrame, keys: DataFrame, words: int, similarity: float) -> DataFrame:
     """(node, component): the keys of shingle sets that link with others, and the smallest key reachable.
@@ -553,12 +600,12 @@ def linked_sets(docs: DataFrame, reps: DataFrame, keys: DataFrame, words: int, s
     size. Links come from the SimHashes first, as far as they reach: what they link is verified on whole sets and not
     compared again. The rest comes from prefixes: sets that link share a shingle of their prefixes. In each shingle's bucket all sets are first compared with one, which makes a group of near
     copies one component by as many comparisons as it has members. Only sets of different components
-    that share a bucket are compared after that: pair by pair in small buckets; a larger one is split by
-    a second shingle (sets that link share two of prefixes one longer), again with one comparison each
-    before the pairs. All comparisons are of whole sets, and no pair that may link is left out.
+    that share a bucket are compared after that: pair by pair in small buckets. The sets of larger ones get prefixes
+    of their own, rarest first by the counts of all their shingles; there each is compared with the one that has
+    most in common with others before the pairs. All comparisons are of whole sets, and no pair that may link is left out.
     """
     doc_id = F.col("doc_id").cast("bigint")
-    docs = docs.select(doc_id.alias("doc_id"), "text")
+    docs = docs.select(doc_id.alias("doc_id"), "text").where("doc_id IS NOT NULL")  # as the sets of ``reps``
     sets = _Sets(docs, reps, words, similarity)
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
     # Copies give the same rows again, which costs less than to leave them out by a join of all texts.
@@ -568,22 +615,14 @@ def linked_sets(docs: DataFrame, reps: DataFrame, keys: DataFrame, words: int, s
     met, links = sets.stars(first.withColumnRenamed("shingle", "bucket"), known)
     forest = written(components(offered.unionByName(links)), "simhash-forest")
     mixed = sets.mixed(met, forest)
-    edges = forest.toDF("a", "b").unionByName(sets.across(mixed.where(F.col("held") <= PAIRED_BUCKET), True))
-    large = mixed.where(F.col("held") > PAIRED_BUCKET).select("bucket", "key").distinct()
+    edges = forest.toDF("a", "b").unionByName(sets.across(mixed.where(F.col("held") <= PAIRED_BUCKET)))
+    large = mixed.where(F.col("held") > PAIRED_BUCKET).select("key").distinct()
     if not large.isEmpty():
-        holders = sets.holders(large.select("key").distinct())
-        longer = prefixes(holders, words, similarity, common, shared=2)
-        longer = longer.join(large, "key").where(F.col("shingle") != F.col("bucket"))
-        both = longer.select(
-            F.xxhash64(F.least("bucket", "shingle"), F.greatest("bucket", "shingle")).alias("bucket"),
-            "key",
-            "n",
-            F.lit(0).alias("at"),
-        )
-        met, links = sets.stars(written(both.distinct(), "simhash-second"))
-        edges = edges.unionByName(links)
         forest = written(components(edges), "simhash-forest")
-        edges = forest.toDF("a", "b").unionByName(sets.across(sets.mixed(met, forest), False))
+        met, links = sets.stars(written(sets.rarest(large), "simhash-second"), forest, ("rare", "key"))
+        edges = forest.toDF("a", "b").unionByName(links)
+        forest = written(components(edges), "simhash-forest")
+        edges = forest.toDF("a", "b").unionByName(sets.across(sets.mixed(met, forest)))
     return components(edges)
 
 
