@@ -295,15 +295,21 @@ def told(found: DataFrame) -> DataFrame:
 
 
 def keep_told(docs: DataFrame, network: Network) -> DataFrame:
-    """The rows of ``docs`` (text, lang and other columns) whose language can be told, as `told`.
+    """The rows of ``docs`` (text, lang and other columns) whose language can be told.
 
-    Predictions are written without their texts, by 128 bits of the texts' hashes: equal texts have equal ones.
-    What goes is filtered from ``docs`` in place if it is little.
+    The least score of a labelled row whose language the network finds is the limit; a label that it does not find sets
+    none, so labelled rows below the limit go too. Text that is null or has no letter goes. If the network finds no
+    row's language, all rows with letters stay.
+
+    Predictions are written without their texts, by 128 bits of the texts' hashes. Scores of copies may differ in their
+    last digits, so the highest decides for all of them. What goes is filtered from ``docs`` in place if it is little.
     """
     text_key = [F.xxhash64("text").alias("of"), F.xxhash64(F.lit(9), F.col("text")).alias("of2")]
     found = written(predict(docs.select("text", "lang", *text_key), network, keep=("lang", "of", "of2")), "language-told")
-    least = _least(found)
+    least = _least(found.where("lang = lang_pred"))
     if least is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    gone = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("of", "of2").distinct()
-    return among(docs.select("*", *text_key), written(gone, "language-gone"), "left_anti").select(docs.columns)
+    score = F.max(F.when(F.col("lang_pred") != UNKNOWN, F.col("score")))
+    gone = found.groupBy("of", "of2").agg(score.alias("score")).where((F.col("score") < least) | F.isnull("score"))
+    gone = written(gone.select("of", "of2"), "language-gone")
+    return among(docs.select("*", *text_key), gone, "left_anti").select(docs.columns)

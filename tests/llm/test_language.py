@@ -68,3 +68,42 @@ def test_stage_keeps_lettered_text_without_labels(spark):
 
     docs = spark.createDataFrame([(1, "clean words", None, "a", 11), (2, "12 3", None, "a", 4), (None, "more", None, None, None)], SCHEMA)
     assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, SF).collect()} == {1, None}
+
+
+def test_labels_the_network_does_not_find_set_no_limit(spark, monkeypatch):
+    from tests.llm.conftest import SCHEMA
+
+    scores = {"sure": ("en", 0.9), "least": ("de", 0.6), "low": ("en", 0.5), "unsure": ("en", 0.59), "between": ("fr", 0.7)}
+    rows = [(1, "sure", "en", "a", 4), (2, "least", "de", "a", 5), (None, "low", "de", "a", 3), (4, "unsure", None, "b", 6)]
+    rows += [(5, "between", "en", "b", 7), (6, "12", "en", "b", 2), (7, None, "en", None, None), (8, "least", None, "b", 5)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+
+    def predicted(docs, network, keep):
+        known = spark.createDataFrame([(t, *x) for t, x in scores.items()], "text STRING, lang_pred STRING, score DOUBLE")
+        # Of copies the one without a label scores less in the last digits.
+        score = F.coalesce("score", F.lit(0.0)) - F.when(F.col("lang").isNull(), 1e-9).otherwise(0)
+        found = docs.join(known, "text", "left")
+        return found.select(*keep, F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), score.alias("score"))
+
+    monkeypatch.setattr(language, "predict", predicted)
+    kept = language.keep_told(docs, None)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == sorted(rows[i] for i in (0, 1, 4, 7))
+    # No label is found: all text with letters stays.
+    wrong = docs.withColumn("lang", F.lit("es"))
+    assert {r.doc_id for r in language.keep_told(wrong, None).collect()} == {1, 2, None, 4, 5, 8}
+
+
+def test_network_rejects_labelled_text_it_cannot_tell(spark):
+    import corpus_pipeline
+    from tests.llm.conftest import SCHEMA, SF
+
+    english = "the quick brown fox jumps over the lazy dog and then it goes home to sleep"
+    german = "der schnelle braune fuchs springt \u00fcber den faulen hund und geht nach hause"
+    rows = [(i, english, "en", "a", 0) for i in range(40)] + [(i, german, "de", "a", 0) for i in range(40, 80)]
+    # Half of either language, and a label that the text doesn't bear out.
+    rows += [(80, " ".join(w for pair in zip(english.split(), german.split()) for w in pair), "fr", "b", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    network = language.train(docs.where("lang <> 'fr'"))
+    assert {r.doc_id for r in language.keep_told(docs, network).collect()} == set(range(80))
+    assert corpus_pipeline.identify_language(spark, docs.limit(0), SF).count() == 0
